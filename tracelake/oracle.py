@@ -200,17 +200,18 @@ def attempts_cte() -> list[tuple[str, str]]:
     return [("att_base", base), ("attempts", att)]
 
 
-def with_ctes(select: str, *groups: list[tuple[str, str]], extra: list[tuple[str, str]] | None = None) -> str:
+def with_ctes(select: str, *groups: list[tuple[str, str]], extra: list[tuple[str, str]] | None = None,
+              recursive: bool = False) -> str:
     ctes: list[tuple[str, str]] = []
     for g in groups:
         ctes.extend(g)
     ctes.extend(extra or [])
     body = ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes)
-    return f"WITH {body}\n{select}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"
 
 
-def with_spans(select: str, extra: list[tuple[str, str]] | None = None) -> str:
-    return with_ctes(select, spans_ctes(), extra=extra)
+def with_spans(select: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
+    return with_ctes(select, spans_ctes(), extra=extra, recursive=recursive)
 
 
 def canon_json(m: str) -> str:

@@ -41,7 +41,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def salted_top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int,
+def salted_top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int | Column,
                  salt_col: Column | None = None, salts: int = 64, rank_name: str = "rank") -> DataFrame:
     """Exact top-k rows per group that survives a hot group.
 
@@ -49,7 +49,9 @@ def salted_top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     group holding a third of all rows is spread over ``salts`` tasks; phase 2
     ranks the at most ``salts * k`` survivors per group. ``order_cols`` must
     be a total order (add a unique tie-breaker) for a deterministic result.
+    ``k`` may be a column (a per-group budget).
     """
+    k = F.lit(k) if isinstance(k, int) else k
     salt = salt_col if salt_col is not None else F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
     pre = (df.withColumn("_salt", salt)

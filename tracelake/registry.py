@@ -313,3 +313,247 @@ SELECT le, bucket_count, (SELECT round(sum(seconds), 6) FROM attempts) AS total_
 FROM ({_LE})""", O.attempts_cte()))
 def q_latency_histogram(spark, sf_dir):
     return profile.latency_histogram(attempts_of(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# joins and trace structure
+# --------------------------------------------------------------------------
+from .operators import filters, traces, windows  # noqa: E402
+from .sources import catalog  # noqa: E402
+
+PC = "spans c JOIN spans p ON c.TraceId = p.TraceId AND c.ParentSpanId = p.SpanId"
+CS = PC + " WHERE p.SpanKind = 'Client' AND c.SpanKind = 'Server'"
+
+
+@register("join_parent_child", S(f"""
+SELECT c.TraceId, c.SpanId, c.ParentSpanId, p.ServiceName AS parent_service, c.ServiceName AS child_service,
+       p.SpanName AS parent_name, c.SpanName AS child_name, c.StartUnixNano - p.StartUnixNano AS start_offset_ns
+FROM {PC} WHERE c.ParentSpanId <> ''"""))
+def q_join_parent_child(spark, sf_dir):
+    return traces.parent_child_pairs(spans_of(spark, sf_dir))
+
+
+@register("service_edges", S(f"""
+SELECT p.ServiceName AS caller, c.ServiceName AS callee, count(*) AS calls,
+       sum(CASE WHEN p.StatusCode = 'Error' THEN 1 ELSE 0 END)::BIGINT AS client_errors,
+       sum(CASE WHEN c.StatusCode = 'Error' THEN 1 ELSE 0 END)::BIGINT AS server_errors,
+       round(avg(p.Duration), 3) AS mean_client_ns, round(avg(c.Duration), 3) AS mean_server_ns
+FROM {CS} GROUP BY 1, 2"""))
+def q_service_edges(spark, sf_dir):
+    return traces.service_edges(spans_of(spark, sf_dir))
+
+
+@register("network_gap", S(f"""
+SELECT p.ServiceName AS caller, c.ServiceName AS callee, count(*) AS calls,
+       round(avg(p.Duration - c.Duration), 3) AS mean_gap_ns, min(p.Duration - c.Duration) AS min_gap_ns,
+       max(p.Duration - c.Duration) AS max_gap_ns
+FROM {CS} GROUP BY 1, 2"""))
+def q_network_gap(spark, sf_dir):
+    return traces.network_gap(spans_of(spark, sf_dir))
+
+
+@register("orphans", S("""
+SELECT c.TraceId, c.SpanId, c.ParentSpanId FROM spans c
+WHERE c.ParentSpanId <> '' AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.TraceId = c.TraceId AND p.SpanId = c.ParentSpanId)"""))
+def q_orphans(spark, sf_dir):
+    return traces.orphans(spans_of(spark, sf_dir))
+
+
+@register("error_traces", S("""
+SELECT TraceId, SpanId, ServiceName, StatusCode FROM spans
+WHERE TraceId IN (SELECT TraceId FROM spans WHERE StatusCode = 'Error')"""))
+def q_error_traces(spark, sf_dir):
+    return traces.error_traces(spans_of(spark, sf_dir))
+
+
+@register("containment_violations", S(f"""
+SELECT c.TraceId, c.SpanId, c.ParentSpanId, c.StartUnixNano AS child_start_ns, c.StartUnixNano + c.Duration AS child_end_ns,
+       p.StartUnixNano AS parent_start_ns, p.StartUnixNano + p.Duration AS parent_end_ns
+FROM {PC} WHERE c.ParentSpanId <> ''
+  AND (c.StartUnixNano < p.StartUnixNano OR c.StartUnixNano + c.Duration > p.StartUnixNano + p.Duration)"""))
+def q_containment_violations(spark, sf_dir):
+    return traces.containment_violations(spans_of(spark, sf_dir))
+
+
+@register("dag_violations", S(f"""
+SELECT e.caller, e.callee, a.service_idx AS caller_idx, b.service_idx AS callee_idx, e.calls
+FROM (SELECT p.ServiceName AS caller, c.ServiceName AS callee, count(*) AS calls FROM {CS} GROUP BY 1, 2) e
+LEFT JOIN services a ON a.name = e.caller LEFT JOIN services b ON b.name = e.callee
+WHERE a.service_idx IS NULL OR b.service_idx IS NULL OR b.service_idx <= a.service_idx"""))
+def q_dag_violations(spark, sf_dir):
+    svc = catalog.services(spark, fixtures.N_FIXTURE_SERVICES)
+    return traces.dag_violations(spans_of(spark, sf_dir), svc, fixtures.N_FIXTURE_SERVICES)
+
+
+_TREE = [("tree", f"""
+SELECT TraceId, SpanId, 1 AS depth, lpad(StartUnixNano::VARCHAR, 20, '0') || SpanId AS path
+FROM spans WHERE ParentSpanId = ''
+UNION ALL
+SELECT s.TraceId, s.SpanId, t.depth + 1, t.path || '/' || lpad(s.StartUnixNano::VARCHAR, 20, '0') || s.SpanId
+FROM spans s JOIN tree t ON s.TraceId = t.TraceId AND s.ParentSpanId = t.SpanId
+WHERE s.ParentSpanId <> '' AND t.depth < {traces.MAX_LEVELS}""")]
+
+
+@register("trace_depth", S("""
+SELECT TraceId, max(depth) AS max_depth, count(*) AS spans_reached FROM tree GROUP BY TraceId""",
+                           extra=_TREE, recursive=True))
+def q_trace_depth(spark, sf_dir):
+    return traces.trace_depth(spans_of(spark, sf_dir))
+
+
+@register("preorder_cap", S("""
+SELECT TraceId, SpanId, preorder_rank FROM (
+  SELECT TraceId, SpanId, row_number() OVER (PARTITION BY TraceId ORDER BY path) AS preorder_rank,
+         5 + (('0x' || substr(TraceId, 9, 4))::INTEGER % 16) AS budget
+  FROM tree) WHERE preorder_rank <= budget""", extra=_TREE, recursive=True))
+def q_preorder_cap(spark, sf_dir):
+    return traces.preorder_cap(spans_of(spark, sf_dir))
+
+
+@register("self_time", S("""
+SELECT s.TraceId, s.SpanId, (s.Duration - coalesce(cov.child_ns, 0))::BIGINT AS self_ns
+FROM spans s LEFT JOIN cov ON s.TraceId = cov.TraceId AND s.SpanId = cov.SpanId""", extra=[
+    ("iv", f"""SELECT c.TraceId, c.ParentSpanId AS SpanId, greatest(c.StartUnixNano, p.StartUnixNano) AS s,
+        least(c.StartUnixNano + c.Duration, p.StartUnixNano + p.Duration) AS e FROM {PC} WHERE c.ParentSpanId <> ''"""),
+    ("iv3", """SELECT *, max(e) OVER (PARTITION BY TraceId, SpanId ORDER BY s, e
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM iv WHERE e > s"""),
+    ("iv4", """SELECT *, sum(CASE WHEN prev_end IS NULL OR s > prev_end THEN 1 ELSE 0 END) OVER (
+        PARTITION BY TraceId, SpanId ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM iv3"""),
+    ("cov", """SELECT TraceId, SpanId, sum(len) AS child_ns FROM (
+        SELECT TraceId, SpanId, island, max(e) - min(s) AS len FROM iv4 GROUP BY 1, 2, 3) GROUP BY 1, 2"""),
+]))
+def q_self_time(spark, sf_dir):
+    return traces.self_time(spans_of(spark, sf_dir))
+
+
+@register("critical_path", S("""
+SELECT TraceId, len AS cp_spans, SpanId AS cp_leaf_span_id, SpanName AS cp_leaf_name
+FROM cp WHERE NOT EXISTS (SELECT 1 FROM lc WHERE lc.TraceId = cp.TraceId AND lc.ParentSpanId = cp.SpanId)""", extra=[
+    ("lc", """SELECT TraceId, ParentSpanId, SpanId, SpanName FROM (
+        SELECT *, row_number() OVER (PARTITION BY TraceId, ParentSpanId
+                                     ORDER BY StartUnixNano + Duration DESC, SpanId DESC) AS rn
+        FROM spans WHERE ParentSpanId <> '') WHERE rn = 1"""),
+    ("cp", f"""SELECT TraceId, SpanId, SpanName, 1 AS len FROM spans WHERE ParentSpanId = ''
+        UNION ALL
+        SELECT lc.TraceId, lc.SpanId, lc.SpanName, cp.len + 1 FROM cp JOIN lc ON lc.TraceId = cp.TraceId
+        AND lc.ParentSpanId = cp.SpanId WHERE cp.len < {traces.MAX_LEVELS}"""),
+], recursive=True))
+def q_critical_path(spark, sf_dir):
+    return traces.critical_path(spans_of(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# windows
+# --------------------------------------------------------------------------
+@register("service_rank", S("""
+SELECT ServiceName, spans, rank() OVER (ORDER BY spans DESC) AS rank, dense_rank() OVER (ORDER BY spans DESC) AS dense_rank,
+       row_number() OVER (ORDER BY spans DESC, ServiceName) AS position, round(spans / sum(spans) OVER (), 6) AS share
+FROM (SELECT ServiceName, count(*) AS spans FROM spans GROUP BY 1)"""))
+def q_service_rank(spark, sf_dir):
+    return windows.service_rank(spans_of(spark, sf_dir))
+
+
+@register("sibling_order", S("""
+SELECT TraceId, SpanId, ParentSpanId,
+       row_number() OVER w AS sibling_no, StartUnixNano - lag(StartUnixNano + Duration) OVER w AS gap_ns
+FROM spans WHERE ParentSpanId <> ''
+WINDOW w AS (PARTITION BY TraceId, ParentSpanId ORDER BY StartUnixNano, SpanId)"""))
+def q_sibling_order(spark, sf_dir):
+    return windows.sibling_order(spans_of(spark, sf_dir))
+
+
+@register("slowest_spans", S("""
+SELECT ServiceName, rank, TraceId, SpanId, SpanName, Duration FROM (
+  SELECT *, row_number() OVER (PARTITION BY ServiceName ORDER BY Duration DESC, SpanId) AS rank FROM spans)
+WHERE rank <= 5"""))
+def q_slowest_spans(spark, sf_dir):
+    return windows.slowest_spans(spans_of(spark, sf_dir))
+
+
+@register("limit_spans", S("SELECT TraceId, SpanId, StartUnixNano FROM spans ORDER BY StartUnixNano, SpanId LIMIT 1000"))
+def q_limit_spans(spark, sf_dir):
+    return windows.limit_spans(spans_of(spark, sf_dir))
+
+
+_BATCH = """SELECT TraceId, slice, spans, (sum(spans) OVER (PARTITION BY slice ORDER BY TraceId
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - spans) // 5000 AS batch_no
+  FROM (SELECT TraceId, count(*) AS spans, ('0x' || substr(TraceId, 13, 4))::INTEGER % 8 AS slice
+        FROM spans GROUP BY TraceId)"""
+
+
+@register("assign_batches", S(f"SELECT TraceId, slice, spans, batch_no::BIGINT AS batch_no FROM ({_BATCH})"))
+def q_assign_batches(spark, sf_dir):
+    return windows.assign_batches(spans_of(spark, sf_dir))
+
+
+@register("batch_sizes", S(f"""
+SELECT slice, batch_no::BIGINT AS batch_no, count(*) AS traces, sum(spans)::BIGINT AS spans FROM ({_BATCH}) GROUP BY 1, 2"""))
+def q_batch_sizes(spark, sf_dir):
+    return windows.batch_sizes(spans_of(spark, sf_dir))
+
+
+def _bucket_sql(seconds: int) -> str:
+    return f"make_timestamp((epoch_us(ts) // {seconds * 1000000}) * {seconds * 1000000})"
+
+
+_ACH = f"""SELECT {_bucket_sql(2)} AS window_start, sum(spans)::BIGINT AS spans, round(sum(spans) / 2.0::DOUBLE, 6) AS rate
+  FROM attempts WHERE ok GROUP BY 1"""
+
+
+@register("achieved_rate", O.with_ctes(_ACH, O.attempts_cte()))
+def q_achieved_rate(spark, sf_dir):
+    return windows.achieved_rate(attempts_of(spark, sf_dir))
+
+
+@register("status_rate", O.with_ctes(f"""
+SELECT {_bucket_sql(5)} AS window_start, sum(CASE WHEN ok THEN spans ELSE 0 END)::BIGINT AS spans,
+       sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS errors,
+       round(sum(CASE WHEN ok THEN spans ELSE 0 END) / 5.0::DOUBLE, 6) AS rate
+FROM attempts GROUP BY 1""", O.attempts_cte()))
+def q_status_rate(spark, sf_dir):
+    return windows.status_rate(attempts_of(spark, sf_dir))
+
+
+@register("target_vs_achieved", O.with_ctes("""
+SELECT window_start,
+       round(CASE WHEN el < 30000000 THEN 100000.0::DOUBLE * greatest(0.01::DOUBLE, el::DOUBLE / 30000000.0::DOUBLE)
+                  ELSE 100000.0::DOUBLE END, 3) AS target_rate,
+       rate AS achieved_rate
+FROM (SELECT *, epoch_us(window_start) - (SELECT epoch_us(min(ts)) FROM attempts) AS el FROM ach)""",
+                                              O.attempts_cte(), extra=[("ach", _ACH)]))
+def q_target_vs_achieved(spark, sf_dir):
+    return windows.target_vs_achieved(attempts_of(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# filters
+# --------------------------------------------------------------------------
+_LEAN = "SELECT TraceId, SpanId, SpanName, ServiceName, Duration, StartUnixNano FROM spans WHERE "
+_TRACE7 = filters.trace_id_for_order(7)
+
+
+def _lean_q(name: str, where: str, fn):
+    @register(name, S(_LEAN + where))
+    def q(spark, sf_dir):
+        return filters.lean(fn(spans_of(spark, sf_dir)))
+
+    return q
+
+
+_lean_q("filter_time_range", "Timestamp >= TIMESTAMP '1998-01-01' AND Timestamp < TIMESTAMP '1998-02-01'",
+        lambda s: filters.filter_time_range(s, "1998-01-01", "1998-02-01"))
+_lean_q("lookup_trace", f"TraceId = '{_TRACE7}'", lambda s: filters.lookup_trace(s, _TRACE7))
+_lean_q("filter_attr_key", "map_contains(SpanAttributes, 'db.system')",
+        lambda s: filters.filter_attr_key(s, "db.system"))
+_lean_q("filter_attr_value", "list_contains(map_values(SpanAttributes), 'redis')",
+        lambda s: filters.filter_attr_value(s, "redis"))
+_lean_q("filter_attr_equals", "SpanAttributes['http.request.method'] = 'POST'",
+        lambda s: filters.filter_attr_equals(s, "http.request.method", "POST"))
+_lean_q("filter_duration", "Duration BETWEEN 1000000 AND 50000000",
+        lambda s: filters.filter_duration(s, 1_000_000, 50_000_000))
+_lean_q("filter_status", "StatusCode = 'Error'", lambda s: filters.filter_status(s, "Error"))
+_lean_q("filter_span_name", "SpanName = 'GET /api/cart'", lambda s: filters.filter_span_name(s, "GET /api/cart"))
+_lean_q("filter_recent", "Timestamp > (SELECT max(Timestamp) FROM spans) - INTERVAL 5 MINUTE",
+        lambda s: filters.filter_recent(s, 5))
+_lean_q("filter_expired", "Timestamp + INTERVAL 5 HOUR <= (SELECT max(Timestamp) FROM spans)",
+        lambda s: filters.filter_expired(s, 5))
