@@ -30,11 +30,14 @@ def _side(spans: DataFrame, prefix: str, cols: list[str]) -> DataFrame:
     return spans.select("TraceId", *[F.col(c).alias(f"{prefix}{c}") for c in cols])
 
 
-def join_parent_child(spans: DataFrame, how: str = "inner") -> DataFrame:
-    """Every non-root span with its parent (``how='left'`` keeps orphans)."""
-    cols = ["SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName", "StatusCode", "StartUnixNano", "Duration"]
+def join_parent_child(spans: DataFrame, how: str = "inner", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Every non-root span with its parent (``how='left'`` keeps orphans).
+    Columns are prefixed ``c_`` (child) and ``p_`` (parent); ``extra`` adds
+    more span columns to both sides."""
+    cols = ["SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName", "StatusCode", "StartUnixNano", "Duration",
+            *extra]
     c = _side(spans.filter(F.col("ParentSpanId") != ""), "c_", cols)
-    p = _side(spans, "p_", ["SpanId", "SpanName", "SpanKind", "ServiceName", "StatusCode", "StartUnixNano", "Duration"])
+    p = _side(spans, "p_", [x for x in cols if x != "ParentSpanId"])
     return c.join(p, (c.TraceId == p.TraceId) & (c.c_ParentSpanId == p.p_SpanId), how).select(c.TraceId, *[
         x for x in c.columns + p.columns if x != "TraceId"])
 
@@ -49,9 +52,9 @@ def parent_child_pairs(spans: DataFrame) -> DataFrame:
     )
 
 
-def client_server_pairs(spans: DataFrame) -> DataFrame:
+def client_server_pairs(spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """CLIENT spans joined to the SERVER spans they caused (callee child)."""
-    j = join_parent_child(spans)
+    j = join_parent_child(spans, extra=extra)
     return j.filter((F.col("p_SpanKind") == "Client") & (F.col("c_SpanKind") == "Server"))
 
 

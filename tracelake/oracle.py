@@ -216,4 +216,5 @@ def with_spans(select: str, extra: list[tuple[str, str]] | None = None, recursiv
 
 def canon_json(m: str) -> str:
     """Sorted-key compact JSON text of a map expression; '{}' when empty/NULL."""
-    return f"coalesce(CASE WHEN cardinality({m}) > 0 THEN to_json(map_from_entries(list_sort(map_entries({m})))) END, '{{}}')"
+    return (f"coalesce(CASE WHEN cardinality({m}) > 0 THEN to_json(map_from_entries(list_sort(map_entries({m}))))::VARCHAR "
+            f"END, '{{}}')")

@@ -557,3 +557,261 @@ _lean_q("filter_recent", "Timestamp > (SELECT max(Timestamp) FROM spans) - INTER
         lambda s: filters.filter_recent(s, 5))
 _lean_q("filter_expired", "Timestamp + INTERVAL 5 HOUR <= (SELECT max(Timestamp) FROM spans)",
         lambda s: filters.filter_expired(s, 5))
+
+
+# --------------------------------------------------------------------------
+# data quality (clean table and a deliberately corrupted copy)
+# --------------------------------------------------------------------------
+from .operators import encode, nested, quality, setops  # noqa: E402
+
+_CORRUPT = [
+    ("corrupted_base", """SELECT * REPLACE (
+        CASE WHEN SpanId LIKE 'a1%' THEN upper(SpanId) WHEN SpanId LIKE 'b2%' THEN substr(SpanId, 1, 15)
+             ELSE SpanId END AS SpanId,
+        CASE WHEN ParentSpanId <> '' AND SpanId LIKE '0f%' THEN 'deadbeefdeadbeef' ELSE ParentSpanId END AS ParentSpanId,
+        CASE WHEN ParentSpanId <> '' AND SpanId LIKE '1f%' THEN StartUnixNano - 1000000000 ELSE StartUnixNano END AS StartUnixNano,
+        CASE WHEN ParentSpanId <> '' AND SpanId LIKE '1f%' THEN Timestamp - INTERVAL 1 SECOND ELSE Timestamp END AS Timestamp,
+        CASE WHEN ParentSpanId <> '' AND SpanKind = 'Server' AND SpanId LIKE 'c%' THEN 'frontend' ELSE ServiceName END AS ServiceName,
+        CASE WHEN SpanId LIKE 'dd%' THEN 'SERVER' ELSE SpanKind END AS SpanKind,
+        CASE WHEN StatusCode = 'Error' AND SpanId LIKE '3%' THEN 0 ELSE n_events END AS n_events,
+        CASE WHEN StatusCode = 'Error' AND SpanId LIKE '3%' THEN NULL ELSE ev_name END AS ev_name,
+        CASE WHEN StatusCode = 'Error' AND SpanId LIKE '3%' THEN NULL ELSE ev_us END AS ev_us,
+        CASE WHEN StatusCode = 'Error' AND SpanId LIKE '3%' THEN NULL ELSE ev_attrs END AS ev_attrs)
+      FROM spans"""),
+    ("corrupted", "SELECT * FROM corrupted_base UNION ALL SELECT * FROM corrupted_base WHERE TraceId LIKE '00%'"),
+]
+
+
+def _conformance_sql(table: str) -> str:
+    def bad(cond):
+        return f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)::BIGINT"
+
+    kinds = ", ".join(f"'{k}'" for k in quality.KINDS)
+    statuses = ", ".join(f"'{k}'" for k in quality.STATUSES)
+    return f"""SELECT count(*) AS spans,
+      {bad("NOT regexp_matches(TraceId, '^[0-9a-f]{32}$')")} AS bad_trace_id,
+      {bad("NOT regexp_matches(SpanId, '^[0-9a-f]{16}$')")} AS bad_span_id,
+      {bad("ParentSpanId <> '' AND NOT regexp_matches(ParentSpanId, '^[0-9a-f]{16}$')")} AS bad_parent_id,
+      {bad(f"SpanKind NOT IN ({kinds})")} AS bad_kind,
+      {bad(f"StatusCode NOT IN ({statuses})")} AS bad_status,
+      {bad("Duration < 0")} AS negative_duration,
+      {bad("n_events > 0 AND (ev_us < StartUnixNano // 1000 OR ev_us > (StartUnixNano + Duration) // 1000)")} AS event_outside_span,
+      {bad("StatusCode = 'Error' AND coalesce(ev_name, '') <> 'exception'")} AS error_without_one_exception,
+      {bad("StatusCode <> 'Error' AND coalesce(ev_name, '') = 'exception'")} AS exception_without_error,
+      {bad(f"(StatusCode = 'Error' AND StatusMessage <> '{pools.STATUS_MESSAGE_ERROR}') OR (StatusCode <> 'Error' AND StatusMessage <> '')")} AS status_message_mismatch
+    FROM {table}"""
+
+
+def corrupted_of(spark, sf_dir):
+    return quality.corrupt(spans_of(spark, sf_dir))
+
+
+@register("schema_conformance", S(_conformance_sql("spans")))
+def q_schema_conformance(spark, sf_dir):
+    return quality.schema_conformance(spans_of(spark, sf_dir))
+
+
+@register("schema_conformance_corrupted", S(_conformance_sql("corrupted"), extra=_CORRUPT))
+def q_schema_conformance_corrupted(spark, sf_dir):
+    return quality.schema_conformance(corrupted_of(spark, sf_dir))
+
+
+_DUP = "SELECT TraceId, SpanId, count(*) AS copies FROM {t} GROUP BY 1, 2 HAVING count(*) > 1"
+
+
+@register("duplicate_spans", S(_DUP.format(t="spans")))
+def q_duplicate_spans(spark, sf_dir):
+    return quality.duplicate_spans(spans_of(spark, sf_dir))
+
+
+@register("duplicate_spans_corrupted", S(_DUP.format(t="corrupted"), extra=_CORRUPT))
+def q_duplicate_spans_corrupted(spark, sf_dir):
+    return quality.duplicate_spans(corrupted_of(spark, sf_dir))
+
+
+@register("orphans_corrupted", S("""
+SELECT c.TraceId, c.SpanId, c.ParentSpanId FROM corrupted c
+WHERE c.ParentSpanId <> '' AND NOT EXISTS (
+  SELECT 1 FROM corrupted p WHERE p.TraceId = c.TraceId AND p.SpanId = c.ParentSpanId)""", extra=_CORRUPT))
+def q_orphans_corrupted(spark, sf_dir):
+    return traces.orphans(corrupted_of(spark, sf_dir))
+
+
+_PCC = "corrupted c JOIN corrupted p ON c.TraceId = p.TraceId AND c.ParentSpanId = p.SpanId"
+
+
+@register("containment_violations_corrupted", S(f"""
+SELECT c.TraceId, c.SpanId, c.ParentSpanId, c.StartUnixNano AS child_start_ns, c.StartUnixNano + c.Duration AS child_end_ns,
+       p.StartUnixNano AS parent_start_ns, p.StartUnixNano + p.Duration AS parent_end_ns
+FROM {_PCC} WHERE c.ParentSpanId <> ''
+  AND (c.StartUnixNano < p.StartUnixNano OR c.StartUnixNano + c.Duration > p.StartUnixNano + p.Duration)""", extra=_CORRUPT))
+def q_containment_violations_corrupted(spark, sf_dir):
+    return traces.containment_violations(corrupted_of(spark, sf_dir))
+
+
+@register("dag_violations_corrupted", S(f"""
+SELECT e.caller, e.callee, a.service_idx AS caller_idx, b.service_idx AS callee_idx, e.calls
+FROM (SELECT p.ServiceName AS caller, c.ServiceName AS callee, count(*) AS calls FROM {_PCC}
+      WHERE p.SpanKind = 'Client' AND c.SpanKind = 'Server' GROUP BY 1, 2) e
+LEFT JOIN services a ON a.name = e.caller LEFT JOIN services b ON b.name = e.callee
+WHERE a.service_idx IS NULL OR b.service_idx IS NULL OR b.service_idx <= a.service_idx""", extra=_CORRUPT))
+def q_dag_violations_corrupted(spark, sf_dir):
+    svc = catalog.services(spark, fixtures.N_FIXTURE_SERVICES)
+    return traces.dag_violations(corrupted_of(spark, sf_dir), svc, fixtures.N_FIXTURE_SERVICES)
+
+
+# --------------------------------------------------------------------------
+# encoders and layouts
+# --------------------------------------------------------------------------
+def _events_text_sql() -> tuple[str, str, str]:
+    return ("coalesce(ev_us::VARCHAR, '')", "coalesce(ev_name, '')",
+            f"CASE WHEN n_events > 0 THEN {O.canon_json('ev_attrs')} ELSE '' END")
+
+
+@register("encode_map_layout", S(f"""
+SELECT TraceId, SpanId, {O.canon_json('ResourceAttributes')} AS resource_json, {O.canon_json('SpanAttributes')} AS span_json,
+       Duration, {_events_text_sql()[0]} AS events_ts_us, {_events_text_sql()[1]} AS events_name,
+       {_events_text_sql()[2]} AS events_attrs, 0 AS n_links
+FROM spans"""))
+def q_encode_map_layout(spark, sf_dir):
+    from .functions.scalars import canonical_json
+
+    m = encode.encode_map_layout(spans_of(spark, sf_dir))
+    return m.select(
+        "TraceId", "SpanId", canonical_json("ResourceAttributes").alias("resource_json"),
+        canonical_json("SpanAttributes").alias("span_json"), "Duration",
+        F.array_join(F.transform(encode.q("Events.Timestamp"), lambda t: F.unix_micros(t).cast("string")), ",").alias("events_ts_us"),
+        F.array_join(encode.q("Events.Name"), ",").alias("events_name"),
+        F.array_join(F.transform(encode.q("Events.Attributes"), canonical_json), ",").alias("events_attrs"),
+        F.size(encode.q("Links.TraceId")).alias("n_links"))
+
+
+@register("encode_json_layout", S(f"""
+SELECT TraceId, SpanId, {O.canon_json('ResourceAttributes')} AS resource_json, {O.canon_json('SpanAttributes')} AS span_json,
+       '{{}}' AS scope_json, Duration, {_events_text_sql()[1]} AS events_name,
+       {_events_text_sql()[2]} AS events_attrs, 0 AS n_links
+FROM spans"""))
+def q_encode_json_layout(spark, sf_dir):
+    j = encode.encode_json_layout(spans_of(spark, sf_dir))
+    return j.select(
+        "TraceId", "SpanId", F.to_json("ResourceAttributes").alias("resource_json"),
+        F.to_json("SpanAttributes").alias("span_json"), F.to_json("ScopeAttributes").alias("scope_json"), "Duration",
+        F.array_join(encode.q("Events.Name"), ",").alias("events_name"),
+        F.array_join(F.transform(encode.q("Events.Attributes"), lambda v: F.to_json(v)), ",").alias("events_attrs"),
+        F.size(encode.q("Links.Attributes")).alias("n_links"))
+
+
+@register("attrs_to_json", S(f"""
+SELECT TraceId, SpanId, {O.canon_json('SpanAttributes')} AS span_attrs_json,
+       {O.canon_json('ResourceAttributes')} AS resource_attrs_json FROM spans"""))
+def q_attrs_to_json(spark, sf_dir):
+    return encode.attrs_to_json(spans_of(spark, sf_dir))
+
+
+@register("attrs_to_strings", S(f"""
+SELECT TraceId, SpanId, {O.canon_json('SpanAttributes')} AS span_attrs_json FROM spans"""))
+def q_attrs_to_strings(spark, sf_dir):
+    """VARIANT attributes of the JSON layout back to MAP<STRING,STRING>."""
+    from .functions.scalars import canonical_json
+
+    j = encode.encode_json_layout(spans_of(spark, sf_dir))
+    return j.select("TraceId", "SpanId", canonical_json(encode.variant_to_map(F.col("SpanAttributes"))).alias("span_attrs_json"))
+
+
+@register("attrs_by_op_type", S(f"""
+SELECT TraceId, SpanId, {_FAMILY} AS op_type, {O.canon_json('SpanAttributes')} AS span_attrs_json FROM spans"""))
+def q_attrs_by_op_type(spark, sf_dir):
+    from .functions.scalars import canonical_json
+
+    s = profile.op_family(spans_of(spark, sf_dir))
+    return s.select("TraceId", "SpanId", "op_type", canonical_json("SpanAttributes").alias("span_attrs_json"))
+
+
+@register("events_to_arrays", S("""
+SELECT TraceId, SpanId, n_events AS n_timestamps, n_events AS n_names, n_events AS n_attributes,
+       coalesce(ev_name, '') AS names FROM spans"""))
+def q_events_to_arrays(spark, sf_dir):
+    m = encode.encode_map_layout(spans_of(spark, sf_dir))
+    return m.select("TraceId", "SpanId", F.size(encode.q("Events.Timestamp")).alias("n_timestamps"),
+                    F.size(encode.q("Events.Name")).alias("n_names"), F.size(encode.q("Events.Attributes")).alias("n_attributes"),
+                    F.array_join(encode.q("Events.Name"), ",").alias("names"))
+
+
+@register("links_to_arrays", S("""
+SELECT TraceId, SpanId, 0 AS n_trace_ids, 0 AS n_span_ids, 0 AS n_states, 0 AS n_attributes FROM spans"""))
+def q_links_to_arrays(spark, sf_dir):
+    m = encode.encode_json_layout(spans_of(spark, sf_dir))
+    return m.select("TraceId", "SpanId", *[F.size(encode.q(f"Links.{c}")).alias(a) for c, a in (
+        ("TraceId", "n_trace_ids"), ("SpanId", "n_span_ids"), ("TraceState", "n_states"), ("Attributes", "n_attributes"))])
+
+
+@register("span_events_build", S("""
+SELECT TraceId, SpanId, StatusCode, n_events, coalesce(ev_name, '') AS event_name, ev_us AS event_us FROM spans"""))
+def q_span_events_build(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    ev = F.try_element_at("Events", F.lit(1))
+    return s.select("TraceId", "SpanId", "StatusCode", F.size("Events").alias("n_events"),
+                    F.coalesce(ev.getField("Name"), F.lit("")).alias("event_name"),
+                    F.unix_micros(ev.getField("Timestamp")).alias("event_us"))
+
+
+@register("server_counterpart", S(f"""
+SELECT count(*) AS pairs,
+  sum(CASE WHEN c.SpanName = (CASE WHEN p.SpanAttributes['rpc.service'] IS NOT NULL
+        THEN p.SpanAttributes['rpc.service'] || '/' || p.SpanAttributes['rpc.method']
+        ELSE concat_ws(' ', p.SpanAttributes['http.request.method'], p.SpanAttributes['url.path']) END) THEN 1 ELSE 0 END)::BIGINT AS name_match,
+  sum(CASE WHEN c.StartUnixNano = p.StartUnixNano + p.Duration // 10 THEN 1 ELSE 0 END)::BIGINT AS start_match,
+  sum(CASE WHEN c.Duration = p.Duration * 85 // 100 THEN 1 ELSE 0 END)::BIGINT AS duration_match
+FROM {CS}"""))
+def q_server_counterpart(spark, sf_dir):
+    return encode.server_counterpart(spans_of(spark, sf_dir))
+
+
+@register("layout_parity", S("SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, count(*) AS rows, count(*) AS right_rows FROM spans"))
+def q_layout_parity(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    back = encode.json_to_map_layout(encode.map_to_json_layout(s))
+    return setops.parity(s, back)
+
+
+# --------------------------------------------------------------------------
+# nested export payloads and the second ingest path
+# --------------------------------------------------------------------------
+_BATCH2K = """SELECT TraceId, slice::BIGINT * 1000000 + (sum(spans) OVER (PARTITION BY slice ORDER BY TraceId
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - spans) // 2000 AS batch_id
+  FROM (SELECT TraceId, count(*) AS spans, ('0x' || substr(TraceId, 13, 4))::INTEGER % 8 AS slice
+        FROM spans GROUP BY TraceId)"""
+_PAYLOAD = [
+    ("b2k", _BATCH2K),
+    ("sb", "SELECT s.*, b2k.batch_id FROM spans s JOIN b2k ON s.TraceId = b2k.TraceId"),
+    ("sz", """SELECT batch_id, ServiceName, greatest(1, ceil(count(*) * 2 / 2000.0))::BIGINT AS n_chunks
+              FROM sb GROUP BY 1, 2"""),
+    ("payload", """SELECT sb.*, ('0x' || substr(SpanId, 1, 8))::BIGINT % sz.n_chunks AS chunk
+                   FROM sb JOIN sz ON sb.batch_id = sz.batch_id AND sb.ServiceName = sz.ServiceName"""),
+]
+
+
+@register("group_by_resource", S("""
+SELECT batch_id, ServiceName, chunk, count(*) AS n_spans FROM payload GROUP BY 1, 2, 3""", extra=_PAYLOAD))
+def q_group_by_resource(spark, sf_dir):
+    return nested.payload_sizes(nested.group_by_resource(spans_of(spark, sf_dir)))
+
+
+@register("flatten_otlp", S("SELECT TraceId, SpanId, ServiceName, batch_id FROM payload", extra=_PAYLOAD))
+def q_flatten_otlp(spark, sf_dir):
+    flat = nested.flatten_otlp(nested.group_by_resource(spans_of(spark, sf_dir)))
+    return flat.select("TraceId", "SpanId", "ServiceName", "batch_id")
+
+
+@register("path_parity", S("SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, count(*) AS rows, count(*) AS right_rows FROM spans"))
+def q_path_parity(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    flat = nested.flatten_otlp(nested.group_by_resource(s)).drop("batch_id")
+    return setops.parity(s, flat)
+
+
+@register("common_traces", S("SELECT count(DISTINCT TraceId) AS common_traces FROM spans"))
+def q_common_traces(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    flat = nested.flatten_otlp(nested.group_by_resource(s))
+    return setops.common_traces(s, flat)
