@@ -815,3 +815,256 @@ def q_common_traces(spark, sf_dir):
     s = spans_of(spark, sf_dir)
     flat = nested.flatten_otlp(nested.group_by_resource(s))
     return setops.common_traces(s, flat)
+
+
+# --------------------------------------------------------------------------
+# physical layout: written tables read back (in the shared checkpoint folder)
+# --------------------------------------------------------------------------
+import datetime as _dt  # noqa: E402
+
+from .plans import layout  # noqa: E402
+from .session import scratch_path  # noqa: E402
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _written(spark, sf_dir, kind: str, writer) -> str:
+    key = (kind, sf_dir, spark.sparkContext.applicationId)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = scratch_path(spark, kind)
+        writer(spans_of(spark, sf_dir), path)
+        _WRITTEN[key] = path
+    return path
+
+
+def map_table(spark, sf_dir):
+    return layout.read_spans(spark, _written(spark, sf_dir, "spans-map", layout.write_spans_map))
+
+
+def json_table(spark, sf_dir):
+    return layout.read_spans(spark, _written(spark, sf_dir, "spans-json", layout.write_spans_json))
+
+
+def sharded_table(spark, sf_dir):
+    path = _written(spark, sf_dir, "spans-sharded",
+                    lambda s, p: layout.write_sharded_hash(s, 3, p, method="md5prefix"))
+    return path, layout.read_all_shards(spark, path)
+
+
+@register("write_spans_map", S("""
+SELECT Timestamp::DATE AS dt, count(*) AS spans, sum(Duration)::BIGINT AS duration_ns FROM spans GROUP BY 1"""))
+def q_write_spans_map(spark, sf_dir):
+    t = map_table(spark, sf_dir)
+    return t.groupBy("dt").agg(F.count(F.lit(1)).alias("spans"), F.sum("Duration").cast("bigint").alias("duration_ns"))
+
+
+@register("read_spans_map", S(f"""
+SELECT TraceId, SpanId, ServiceName, SpanKind, Duration, StartUnixNano, {O.canon_json('SpanAttributes')} AS span_json,
+       n_events FROM spans"""))
+def q_read_spans_map(spark, sf_dir):
+    from .functions.scalars import canonical_json
+
+    t = map_table(spark, sf_dir)
+    return t.select("TraceId", "SpanId", "ServiceName", "SpanKind", "Duration", "StartUnixNano",
+                    canonical_json("SpanAttributes").alias("span_json"), F.size("Events").alias("n_events"))
+
+
+@register("write_spans_json", S("""
+SELECT Timestamp::DATE AS dt, hour(Timestamp) AS hour, count(*) AS spans FROM spans GROUP BY 1, 2"""))
+def q_write_spans_json(spark, sf_dir):
+    t = json_table(spark, sf_dir)
+    return t.groupBy("dt", "hour").agg(F.count(F.lit(1)).alias("spans"))
+
+
+@register("read_spans_json", S("""
+SELECT coalesce(SpanAttributes['http.request.method'], '') AS method, count(*) AS n FROM spans GROUP BY 1"""))
+def q_read_spans_json(spark, sf_dir):
+    """The attribute-path count of the JSON layout (VARIANT subcolumn)."""
+    return verify.count_by_attribute_json(json_table(spark, sf_dir))
+
+
+@register("json_path", S("""
+SELECT TraceId, SpanId, SpanAttributes['db.system'] AS db_system FROM spans WHERE SpanAttributes['db.system'] IS NOT NULL"""))
+def q_json_path(spark, sf_dir):
+    t = json_table(spark, sf_dir)
+    v = F.variant_get("SpanAttributes", "$['db.system']", "string")
+    return t.select("TraceId", "SpanId", v.alias("db_system")).filter(F.col("db_system").isNotNull())
+
+
+@register("layout_parity_written", S(
+    "SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, count(*) AS rows, count(*) AS right_rows FROM spans"))
+def q_layout_parity_written(spark, sf_dir):
+    m = map_table(spark, sf_dir).drop("dt")
+    j = encode.json_to_map_layout(json_table(spark, sf_dir))
+    return setops.parity(m, j)
+
+
+@register("rows_per_shard_written", S(f"SELECT {SHARD} AS host, count(*) AS rows_on_node FROM spans GROUP BY 1 ORDER BY 1"))
+def q_rows_per_shard_written(spark, sf_dir):
+    _, t = sharded_table(spark, sf_dir)
+    return verify.rows_per_shard(t)
+
+
+@register("union_shards", S("SELECT count(*) AS spans, count(DISTINCT TraceId) AS traces FROM spans"))
+def q_union_shards(spark, sf_dir):
+    path, _ = sharded_table(spark, sf_dir)
+    u = setops.union_shards([layout.read_shard(spark, path, i) for i in range(3)])
+    return u.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("TraceId").alias("traces"))
+
+
+@register("trace_colocation_written", S(f"""
+SELECT count(*) AS traces, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END)::BIGINT AS traces_on_one_shard,
+       sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS traces_split
+FROM (SELECT TraceId, count(DISTINCT {SHARD_NO}) AS n FROM spans GROUP BY TraceId)"""))
+def q_trace_colocation_written(spark, sf_dir):
+    _, t = sharded_table(spark, sf_dir)
+    return profile.trace_colocation(t)
+
+
+@register("write_sharded_rr", S("""
+SELECT 'shard-' || ((1 + slice + batch_no) % 3)::VARCHAR AS host, sum(spans)::BIGINT AS rows_on_node FROM (
+  SELECT slice, (sum(spans) OVER (PARTITION BY slice ORDER BY TraceId ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 - spans) // 5000 AS batch_no, spans
+  FROM (SELECT TraceId, count(*) AS spans, ('0x' || substr(TraceId, 13, 4))::INTEGER % 8 AS slice FROM spans GROUP BY 1))
+GROUP BY 1 ORDER BY 1"""))
+def q_write_sharded_rr(spark, sf_dir):
+    path = _written(spark, sf_dir, "spans-rr", lambda s, p: layout.write_sharded_rr(s, 3, 0, 5000, p))
+    return verify.rows_per_shard(layout.read_all_shards(spark, path))
+
+
+@register("lookup_trace_bloom", S(_LEAN + f"TraceId = '{_TRACE7}'"))
+def q_lookup_trace_bloom(spark, sf_dir):
+    """Point lookup on the written table (Bloom filter + min/max pushdown)."""
+    return filters.lean(filters.lookup_trace(map_table(spark, sf_dir), _TRACE7))
+
+
+@register("filter_time_range_pruned", S(_LEAN + "Timestamp >= TIMESTAMP '1998-01-01' AND Timestamp < TIMESTAMP '1998-02-01'"))
+def q_filter_time_range_pruned(spark, sf_dir):
+    """Time range on the written table: partition pruning on dt plus the row predicate."""
+    return filters.lean(filters.filter_time_range(map_table(spark, sf_dir), "1998-01-01", "1998-02-01"))
+
+
+RETENTION_TTL = _dt.timedelta(days=3 * 365)
+
+
+@register("retention_drop", S(f"""
+SELECT count(*) AS spans_kept, count(DISTINCT Timestamp::DATE) AS partitions_kept FROM spans
+WHERE Timestamp::DATE + INTERVAL 1 DAY + INTERVAL {RETENTION_TTL.days} DAY > (SELECT max(Timestamp) FROM spans)"""))
+def q_retention_drop(spark, sf_dir):
+    path = scratch_path(spark, "retention")
+    layout.write_spans_map(spans_of(spark, sf_dir), path)
+    t = layout.read_spans(spark, path)
+    now = t.agg(F.max("Timestamp").cast("timestamp_ntz")).first()[0]
+    layout.retention_drop(spark, path, RETENTION_TTL, now)
+    kept = layout.read_spans(spark, path)
+    return kept.agg(F.count(F.lit(1)).alias("spans_kept"), F.countDistinct("dt").alias("partitions_kept"))
+
+
+@register("files_per_partition")
+def q_files_per_partition(spark, sf_dir):
+    path, _ = sharded_table(spark, sf_dir)
+    return layout.files_per_partition(spark, path, partition_cols=())
+
+
+@register("compact_partitions")
+def q_compact_partitions(spark, sf_dir):
+    src = _written(spark, sf_dir, "spans-map", layout.write_spans_map)
+    out = layout.compact_partitions(spark, src, scratch_path(spark, "compacted"), target_rows=50_000)
+    return layout.files_per_partition(spark, out)
+
+
+@register("filter_files")
+def q_filter_files(spark, sf_dir):
+    """Rows of files above a size threshold, filtered on file metadata."""
+    t = map_table(spark, sf_dir)
+    return filters.lean(filters.filter_files(t, min_bytes=1))
+
+
+# --------------------------------------------------------------------------
+# streaming (availableNow runs over time-ordered span files)
+# --------------------------------------------------------------------------
+from .streaming import streams  # noqa: E402
+
+CLOSING_TRACE = "f" * 32
+
+
+def stream_input(spark, sf_dir, kind: str = "spans", dup_prefix: str | None = None):
+    key = ("stream-in", kind, sf_dir, spark.sparkContext.applicationId)
+    if key not in _WRITTEN:
+        s = spans_of(spark, sf_dir)
+        if dup_prefix is not None:
+            s = s.unionByName(s.filter(F.col("TraceId").startswith(dup_prefix)))
+        closing = s.limit(1).select(
+            *[F.lit(CLOSING_TRACE).alias(c) if c == "TraceId" else
+              (F.lit("2100-01-01 00:00:00").cast("timestamp").alias(c) if c == "Timestamp" else F.col(c))
+              for c in s.columns])
+        path = scratch_path(spark, f"stream-in-{kind}")
+        streams.write_arrival_files(s, path, 8, closing=closing)
+        _WRITTEN[key] = path
+    path = _WRITTEN[key]
+    schema = spark.read.parquet(path).schema
+    return streams.stream_spans(spark, path, schema, files_per_trigger=2)
+
+
+def _not_closing(df):
+    return df.filter(F.col("TraceId") != CLOSING_TRACE) if "TraceId" in df.columns else df
+
+
+@register("stream_service_counts", S("""
+SELECT ServiceName, SpanKind, StatusCode, count(*) AS n FROM spans GROUP BY 1, 2, 3"""))
+def q_stream_service_counts(spark, sf_dir):
+    src = _not_closing(stream_input(spark, sf_dir))
+    path, _ = streams.run_available_now(streams.service_counts(src), "service-counts", "complete")
+    return streams.read_result(spark, path, complete=True)
+
+
+@register("stream_ingest_rate", S("""
+SELECT date_trunc('minute', Timestamp) AS minute, count(*) AS spans, round(count(*) / 60.0::DOUBLE, 6) AS spans_per_sec
+FROM spans GROUP BY 1"""))
+def q_stream_ingest_rate(spark, sf_dir):
+    src = _not_closing(stream_input(spark, sf_dir))
+    path, _ = streams.run_available_now(streams.ingest_rate(src), "ingest-rate", "complete")
+    return streams.read_result(spark, path, complete=True)
+
+
+@register("stream_recent_rate", S("""
+SELECT minute, count(*) AS spans, round(count(*) / 300.0::DOUBLE, 6) AS spans_per_sec FROM (
+  SELECT date_trunc('minute', Timestamp) - to_minutes(o) AS minute
+  FROM spans, (SELECT unnest(range(0, 5)) AS o)) GROUP BY 1"""))
+def q_stream_recent_rate(spark, sf_dir):
+    src = _not_closing(stream_input(spark, sf_dir))
+    q = streams.ingest_rate(src, every="1 minute", window="5 minutes")
+    path, _ = streams.run_available_now(q, "recent-rate", "complete")
+    return streams.read_result(spark, path, complete=True)
+
+
+@register("stream_dedup", S("SELECT TraceId, SpanId, ServiceName FROM spans"))
+def q_stream_dedup(spark, sf_dir):
+    src = _not_closing(stream_input(spark, sf_dir, kind="dups", dup_prefix="0"))
+    path, _ = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId", "ServiceName"), "dedup")
+    return streams.read_result(spark, path)
+
+
+@register("stream_trace_assembly", S("""
+SELECT TraceId, count(*) AS spans, sum(CASE WHEN StatusCode = 'Error' THEN 1 ELSE 0 END)::BIGINT AS errors,
+       min(StartUnixNano) AS start_ns, max(StartUnixNano + Duration) AS end_ns
+FROM spans GROUP BY TraceId"""))
+def q_stream_trace_assembly(spark, sf_dir):
+    src = stream_input(spark, sf_dir)
+    path, _ = streams.run_available_now(streams.trace_assembly(src), "trace-assembly")
+    return _not_closing(streams.read_result(spark, path))
+
+
+@register("stream_to_table", S(_LEAN + "TRUE"))
+def q_stream_to_table(spark, sf_dir):
+    src = _not_closing(stream_input(spark, sf_dir))
+    path, _ = streams.run_available_now(filters.lean(src), "to-table")
+    return streams.read_result(spark, path)
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf_dir):
+    src = _not_closing(stream_input(spark, sf_dir))
+    _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "metrics")
+    return streams.progress_metrics(q)
