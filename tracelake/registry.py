@@ -1067,4 +1067,4 @@ def q_stream_to_table(spark, sf_dir):
 def q_stream_metrics(spark, sf_dir):
     src = _not_closing(stream_input(spark, sf_dir))
     _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "metrics")
-    return streams.progress_metrics(q)
+    return streams.progress_metrics(spark, q)

@@ -113,9 +113,9 @@ def _seconds(length: str) -> int:
     return int(n) * mult
 
 
-def progress_metrics(q: StreamingQuery) -> DataFrame:
-    """Per-batch progress of a finished query: input rows, rate, late rows dropped."""
-    spark = q.sparkSession
+def progress_metrics(spark: SparkSession, q: StreamingQuery) -> DataFrame:
+    """Per-batch progress of a finished query: input rows, rate, late rows
+    dropped by the watermark (one small row per micro-batch)."""
     rows = []
     for p in q.recentProgress:
         ops = p.get("stateOperators") or [{}]
