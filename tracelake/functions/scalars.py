@@ -2,7 +2,9 @@
 
 Keyed hash draws replace a random stream: a draw is a slice of an md5 hex
 digest of a stable key, so the value does not depend on partitioning, task
-retries or the engine (DuckDB reproduces it with ``('0x'||substr(h,p,4))::INT``).
+retries or the engine (DuckDB reproduces it with ``('0x'||substr(h,p,15))::BIGINT``
+and the same shifts and masks). Hex parsing (``conv``) is the costly part, so
+a digest is parsed once (``hex60``) and cut into several draws (``bits``).
 """
 
 from __future__ import annotations
@@ -33,6 +35,17 @@ def hex_draw(h: Column | str, pos: int, width: int = 4) -> Column:
     return F.conv(F.substring(col(h), pos, width), 16, 10).cast(kind)
 
 
+def hex60(h: Column | str, pos: int) -> Column:
+    """60-bit integer from 15 hex digits of digest ``h`` at 1-based ``pos``:
+    one parse per digest, from which several draws are cut by ``bits``."""
+    return F.conv(F.substring(col(h), pos, 15), 16, 10).cast("bigint")
+
+
+def bits(x: Column | str, shift: int, mask: int = 0xFFFF) -> Column:
+    """A draw of ``mask`` width taken ``shift`` bits up from integer ``x``."""
+    return F.shiftright(col(x), shift).bitwiseAND(F.lit(mask)) if shift else col(x).bitwiseAND(F.lit(mask))
+
+
 def draw_uniform(key: Column | str) -> Column:
     """Uniform double in [0, 1) from the first 13 hex digits (52 bits) of md5(key)."""
     return hex_draw(F.md5(col(key).cast("string")), 1, 13) / F.lit(float(1 << 52))
@@ -44,7 +57,7 @@ def pick(pool: Sequence, draw: Column) -> Column:
     Weighted choice is the same call with repeated entries (e.g. 200 three
     times among six status codes).
     """
-    return F.element_at(F.array(*[F.lit(v) for v in pool]), F.pmod(draw, F.lit(len(pool))) + 1)
+    return F.element_at(F.array(*[F.lit(v) for v in pool]), (F.pmod(draw, F.lit(len(pool))) + 1).cast("int"))
 
 
 def sample_lognormal(mu: Column | float, sigma: Column | float, key: Column | str) -> Column:
@@ -152,7 +165,7 @@ def client_ip(d1: Column, d2: Column, d3: Column) -> Column:
 
 
 def query_text(db_op: Column | str, collection: Column | str) -> Column:
-    return F.format_string("%s FROM %s WHERE id = ?", col(db_op), col(collection))
+    return F.concat(col(db_op), F.lit(" FROM "), col(collection), F.lit(" WHERE id = ?"))
 
 
 def canonical_json(m: Column | str) -> Column:

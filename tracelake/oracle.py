@@ -24,6 +24,18 @@ def _draw(h: str, pos: int) -> str:
     return f"('0x' || substr({h}, {pos}, 4))::INTEGER"
 
 
+def _hex60(h: str, pos: int) -> str:
+    return f"('0x' || substr({h}, {pos}, 15))::BIGINT"
+
+
+def _bits(x: str, shift: int, mask: int = 0xFFFF) -> str:
+    return f"(({x} >> {shift}) & {mask})" if shift else f"({x} & {mask})"
+
+
+def _op_draw(h: str) -> str:
+    return f"{_bits(_hex60(h, 17), 48, 0xFFF)}::INTEGER"
+
+
 def _pick(values, draw: str) -> str:
     return f"({_lst(values)})[({draw}) % {len(values)} + 1]"
 
@@ -71,7 +83,7 @@ def spans_ctes() -> list[tuple[str, str]]:
         CASE WHEN consumer THEN 'msg_consumer' ELSE 'http_server' END AS op_type,
         CASE WHEN consumer THEN 'Consumer' ELSE 'Server' END AS kind,
         root_start AS start_ns, root_dur AS dur_ns,
-        {_draw("md5('r:' || k::VARCHAR)", 29)} AS op_draw, NULL::INTEGER AS peer
+        {_op_draw("md5('r:' || k::VARCHAR)")} AS op_draw, NULL::INTEGER AS peer
       FROM fx_o"""
     lines = f"""SELECT l_orderkey AS k,
         concat_ws(':', l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR,
@@ -85,7 +97,7 @@ def spans_ctes() -> list[tuple[str, str]]:
         least(l.line_dur, o.root_dur - (o.root_dur * 7 * (l.l_partkey % 100)) // 1000) AS call_dur,
         CASE WHEN o.svc < {LAST} THEN (o.svc + 1 + l.l_partkey % ({LAST} - o.svc))::INTEGER END AS peer
       FROM fx_l l JOIN fx_o o ON l.k = o.k"""
-    callish = f"""SELECT *, {_draw('md5(call_key)', 29)} AS op_draw,
+    callish = f"""SELECT *, {_op_draw('md5(call_key)')} AS op_draw,
         unnest(CASE WHEN typ IN (0, 1) AND svc < {LAST} THEN ['c', 's'] ELSE ['c'] END) AS role
       FROM fx_calls"""
     children = """SELECT k, role,
@@ -104,8 +116,9 @@ def spans_ctes() -> list[tuple[str, str]]:
     skeleton = "SELECT * FROM fx_roots UNION ALL SELECT * FROM fx_children"
     methods = [m for m, _ in pools.HTTP_ROUTES]
     routes = [r for _, r in pools.HTTP_ROUTES]
-    d1 = f"""SELECT *, md5(key) AS h, md5(key || '#') AS a FROM fx_skeleton"""
-    status_draw = _draw("h", 25)
+    d0 = """SELECT *, md5(key) AS h, md5(key || '#') AS a FROM fx_skeleton"""
+    d1 = f"""SELECT *, {_hex60('h', 17)} AS hb, {_hex60('a', 1)} AS a1, {_hex60('a', 16)} AS a2 FROM fx_d0"""
+    status_draw = _bits("hb", 32)
     d2 = f"""SELECT *, substr(h, 1, 16) AS SpanId,
         CASE WHEN parent_key IS NULL THEN '' ELSE substr(md5(parent_key), 1, 16) END AS ParentSpanId,
         md5('t:' || k::VARCHAR) AS TraceId,
@@ -115,8 +128,8 @@ def spans_ctes() -> list[tuple[str, str]]:
         {_pick([x[0] for x in pools.DB_SYSTEMS], 'op_draw')} AS db_system,
         {_pick([x[1] for x in pools.DB_SYSTEMS], 'op_draw')} AS db_op,
         {_pick([x[2] for x in pools.DB_SYSTEMS], 'op_draw')} AS db_coll,
-        ({_draw('h', 17)} % 1000) < {int(pools.ERROR_RATE * 1000)} AS is_err,
-        ({_draw('h', 21)} % 10) = 0 AS info_draw,
+        ({_bits('hb', 0)} % 1000) < {int(pools.ERROR_RATE * 1000)} AS is_err,
+        ({_bits('hb', 16)} % 10) = 0 AS info_draw,
         {status_draw} AS status_draw
       FROM fx_d1"""
     http_common = [
@@ -125,9 +138,9 @@ def spans_ctes() -> list[tuple[str, str]]:
         ("server.port", "'8080'"), ("http.response.status_code", "http_code"),
     ]
     http_extra = [
-        ("client.address", f"'10.' || ({_draw('a', 5)} % 4)::VARCHAR || '.' || ({_draw('a', 9)} % 256)::VARCHAR"
-                           f" || '.' || ({_draw('a', 13)} % 256)::VARCHAR"),
-        ("user_agent.original", _pick(pools.USER_AGENTS, _draw('a', 1))),
+        ("client.address", f"'10.' || ({_bits('a1', 16)} % 4)::VARCHAR || '.' || ({_bits('a1', 32)} % 256)::VARCHAR"
+                           f" || '.' || ({_bits('a2', 0)} % 256)::VARCHAR"),
+        ("user_agent.original", _pick(pools.USER_AGENTS, _bits('a1', 0))),
         ("url.full", f"'http://{pools.PEER_HOST}' || route"),
     ]
     ports = " ".join(f"WHEN '{k}' THEN {v}" for k, v in pools.DB_PORTS.items())
@@ -147,9 +160,9 @@ def spans_ctes() -> list[tuple[str, str]]:
         WHEN op_type = 'msg_consumer' THEN {_smap([
             ("messaging.system", "'kafka'"), ("messaging.destination.name", "ServiceName || '.events'"),
             ("messaging.operation", "'process'"),
-            ("messaging.message.body.size", f"(256 + {_draw('a', 21)} % 8192)::VARCHAR")])}
+            ("messaging.message.body.size", f"(256 + {_bits('a2', 32)} % 8192)::VARCHAR")])}
         ELSE {_smap([("code.namespace", "'compute.' || ServiceName"),
-                     ("thread.name", f"'worker-' || ({_draw('a', 17)} % 16)::VARCHAR")])}
+                     ("thread.name", f"'worker-' || ({_bits('a2', 16)} % 16)::VARCHAR")])}
       END"""
     name = """CASE
         WHEN op_type IN ('http_server', 'http_client') THEN method || ' ' || route
@@ -158,7 +171,7 @@ def spans_ctes() -> list[tuple[str, str]]:
         WHEN op_type = 'rpc_server' THEN ServiceName || '.v1.Service/Get'
         WHEN op_type = 'msg_consumer' THEN ServiceName || '.events process'
         ELSE 'compute.' || ServiceName END"""
-    ev_pick = _draw("a", 25)
+    ev_pick = _bits("a1", 48, 0xFFF)
     d3 = f"""SELECT *,
         (CASE WHEN is_err THEN {_pick(pools.HTTP_STATUS_ERROR, 'status_draw')}
               ELSE {_pick(pools.HTTP_STATUS_OK, 'status_draw')} END)::VARCHAR AS http_code,
@@ -186,7 +199,7 @@ def spans_ctes() -> list[tuple[str, str]]:
     return services_cte() + [
         ("fx_o", o), ("fx_roots", roots), ("fx_l", lines), ("fx_calls", calls),
         ("fx_callish", callish), ("fx_children", children), ("fx_skeleton", skeleton),
-        ("fx_d1", d1), ("fx_d2", d2), ("fx_d3", d3), ("spans", final),
+        ("fx_d0", d0), ("fx_d1", d1), ("fx_d2", d2), ("fx_d3", d3), ("spans", final),
     ]
 
 

@@ -39,6 +39,19 @@ def bloom_options(columns: dict[str, tuple[float, int]]) -> dict[str, str]:
 DEFAULT_BLOOM = {"TraceId": (0.001, 1_000_000), "SpanName": (0.01, 10_000)}
 
 
+def _range_write(df: DataFrame, write) -> None:
+    """Run ``write(df)`` over a persisted input: range partitioning samples
+    its input in a separate pass, which would otherwise recompute the whole
+    upstream plan (spill-backed, released after the write)."""
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        write(cached)
+    finally:
+        cached.unpersist()
+
+
 def _writer(df: DataFrame, mode: str, bloom: dict | None, max_records: int):
     w = df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", max_records)
     for k, v in bloom_options(bloom or {}).items():
@@ -46,14 +59,31 @@ def _writer(df: DataFrame, mode: str, bloom: dict | None, max_records: int):
     return w
 
 
+def partition_key(granularity: str | None) -> F.Column | None:
+    """Partition column for a granularity: 'day' (the table default), 'month'
+    for sparse data spread over years, or None (no directory partitioning)."""
+    if granularity == "day":
+        return F.to_date("Timestamp")
+    if granularity == "month":
+        return F.to_date(F.date_trunc("month", "Timestamp"))
+    return None
+
+
 def write_spans_map(spans: DataFrame, path: str, n_tasks: int | None = None, bloom: dict | None = None,
-                    mode: str = "overwrite", max_records: int = MAX_RECORDS_PER_FILE) -> str:
+                    mode: str = "overwrite", max_records: int = MAX_RECORDS_PER_FILE,
+                    granularity: str | None = "day") -> str:
     """Daily partitions (``dt``), clustered by (ServiceName, SpanName, Timestamp)."""
     n = _n_tasks(spans, n_tasks)
-    out = (spans.withColumn("dt", F.to_date("Timestamp"))
-           .repartitionByRange(n, "dt", "ServiceName", "SpanName", "Timestamp")
-           .sortWithinPartitions("dt", "ServiceName", "SpanName", "Timestamp"))
-    _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy("dt").parquet(path)
+    key = partition_key(granularity)
+    parts = [] if key is None else ["dt"]
+
+    def write(src: DataFrame) -> None:
+        src = src if key is None else src.withColumn("dt", key)
+        out = (src.repartitionByRange(n, *parts, "ServiceName", "SpanName", "Timestamp")
+               .sortWithinPartitions(*parts, "ServiceName", "SpanName", "Timestamp"))
+        _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*parts).parquet(path)
+
+    _range_write(spans, write)
     return path
 
 
@@ -63,13 +93,16 @@ def write_spans_json(spans: DataFrame, path: str, n_tasks: int | None = None, gr
     """JSON layout (VARIANT attributes) partitioned by day and hour (or day
     only), ordered by Timestamp."""
     n = _n_tasks(spans, n_tasks)
-    j = encode_json_layout(spans).withColumn("dt", F.to_date("Timestamp"))
-    parts = ["dt"]
-    if granularity == "hour":
-        j = j.withColumn("hour", F.hour("Timestamp"))
-        parts.append("hour")
-    out = j.repartitionByRange(n, "Timestamp").sortWithinPartitions("Timestamp")
-    _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*parts).parquet(path)
+    parts = ["dt"] + (["hour"] if granularity == "hour" else [])
+
+    def write(src: DataFrame) -> None:
+        j = encode_json_layout(src).withColumn("dt", F.to_date("Timestamp"))
+        if granularity == "hour":
+            j = j.withColumn("hour", F.hour("Timestamp"))
+        out = j.repartitionByRange(n, "Timestamp").sortWithinPartitions("Timestamp")
+        _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*parts).parquet(path)
+
+    _range_write(spans, write)
     return path
 
 
@@ -82,10 +115,14 @@ def write_sharded_hash(spans: DataFrame, n_shards: int, path: str, method: str =
                        n_tasks: int | None = None, mode: str = "overwrite") -> str:
     """Shard by a hash of TraceId: balanced shards, every trace on one shard."""
     n = _n_tasks(spans, n_tasks)
-    out = (spans.withColumn("shard", shard_of("TraceId", n_shards, method))
-           .repartitionByRange(n, "shard", "TraceId", "SpanId")
-           .sortWithinPartitions("shard", "TraceId"))
-    _writer(out, mode, {"TraceId": (0.001, 1_000_000)}, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
+
+    def write(src: DataFrame) -> None:
+        out = (src.withColumn("shard", shard_of("TraceId", n_shards, method))
+               .repartitionByRange(n, "shard", "TraceId", "SpanId")
+               .sortWithinPartitions("shard", "TraceId"))
+        _writer(out, mode, {"TraceId": (0.001, 1_000_000)}, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
+
+    _range_write(spans, write)
     return path
 
 
@@ -97,10 +134,13 @@ def write_sharded_rr(spans: DataFrame, n_shards: int, replica: int, batch_size:
 
     b = assign_batches(spans, batch_size, slices).select("TraceId", "slice", "batch_no")
     shard = F.pmod(F.lit(replica % n_shards + 1) + F.col("slice") + F.col("batch_no"), F.lit(n_shards)).cast("int")
-    out = spans.join(b, "TraceId").withColumn("shard", shard).drop("slice", "batch_no")
     n = _n_tasks(spans, n_tasks)
-    out = out.repartitionByRange(n, "shard", "TraceId", "SpanId")
-    _writer(out, mode, None, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
+
+    def write(src: DataFrame) -> None:
+        out = src.repartitionByRange(n, "shard", "TraceId", "SpanId")
+        _writer(out, mode, None, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
+
+    _range_write(spans.join(b, "TraceId").withColumn("shard", shard).drop("slice", "batch_no"), write)
     return path
 
 

@@ -60,3 +60,19 @@ def salted_top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column],
            .drop("_r1", "_salt"))
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return pre.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= k)
+
+
+def ensure_parallel(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A small input stored as one large row group is read by one task; hash
+    repartitioning it on the downstream join/group key puts every core to
+    work and is the partitioning the join needs anyway. Inputs that already
+    arrive in enough splits (the normal case at scale) are left alone, so
+    this adds no shuffle there.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)

@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 
 from ..functions import pools
 from ..functions.scalars import (
+    bits,
     client_ip,
     db_port,
+    hex60,
     hex_draw,
     idiv,
     pick,
@@ -55,6 +57,11 @@ def _num_key(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint").cast("string")
 
 
+def _op_draw(h: Column) -> Column:
+    """Route / db pick of a span: 12 bits of its digest (shared by a call and its callee)."""
+    return bits(hex60(h, 17), 48, 0xFFF).cast("int")
+
+
 def span_skeleton(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Tree shape, intervals and operation family of every span.
 
@@ -75,7 +82,7 @@ def span_skeleton(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.when(F.col("consumer"), F.lit("msg_consumer")).otherwise(F.lit("http_server")).alias("op_type"),
         F.when(F.col("consumer"), F.lit("Consumer")).otherwise(F.lit("Server")).alias("kind"),
         F.col("root_start").alias("start_ns"), F.col("root_dur").alias("dur_ns"),
-        hex_draw(F.md5(root_key), 29).alias("op_draw"),
+        _op_draw(F.md5(root_key)).alias("op_draw"),
         F.lit(None).cast("int").alias("peer"),
     )
 
@@ -98,7 +105,7 @@ def span_skeleton(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.least(F.col("line_dur"), F.col("root_dur") - off).alias("call_dur"),
         F.when(F.col("svc") < LAST_SERVICE,
                F.col("svc") + 1 + F.col("l_partkey") % (F.lit(LAST_SERVICE) - F.col("svc"))).cast("int").alias("peer"),
-    ).withColumn("op_draw", hex_draw(F.md5("call_key"), 29))
+    ).withColumn("op_draw", _op_draw(F.md5("call_key")))
     has_callee = F.col("typ").isin(0, 1) & (F.col("svc") < LAST_SERVICE)
     roles = F.explode(F.when(has_callee, F.array(F.lit("c"), F.lit("s"))).otherwise(F.array(F.lit("c"))))
     callish = calls.select("*", roles.alias("role"))
@@ -132,10 +139,20 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
         F.md5("key").alias("h"),
         F.md5(F.concat(F.col("key"), F.lit("#"))).alias("a"),
     )
+    # Draws: one 60-bit parse per digest, cut into 16-bit (12-bit) slices.
+    #   hb = h[17..31]: error (bits 0-15), event (16-31), status (32-47), op pick (48-59)
+    #   a1 = a[1..15]: user agent, ip octet 1, ip octet 2, event detail (48-59)
+    #   a2 = a[16..30]: ip octet 3, thread, body size
+    s = s.select("*", hex60("h", 17).alias("hb"), hex60("a", 1).alias("a1"), hex60("a", 16).alias("a2"))
+    s = s.select(
+        "*",
+        (F.pmod(bits("hb", 0), F.lit(1000)) < int(pools.ERROR_RATE * 1000)).alias("is_err"),
+        (F.pmod(bits("hb", 16), F.lit(10)) == 0).alias("info_draw"),
+        bits("hb", 32).alias("status_draw"),
+    )
     names = pools.SERVICE_NAMES
-    is_err = F.pmod(hex_draw("h", 17), F.lit(1000)) < int(pools.ERROR_RATE * 1000)
-    has_info = F.pmod(hex_draw("h", 21), F.lit(10)) == 0
-    status_draw = hex_draw("h", 25)
+    status_draw = F.col("status_draw")
+    is_err = F.col("is_err")
     methods = [m for m, _ in pools.HTTP_ROUTES]
     routes = [r for _, r in pools.HTTP_ROUTES]
     s = s.select(
@@ -150,8 +167,7 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
         pick([x[0] for x in pools.DB_SYSTEMS], F.col("op_draw")).alias("db_system"),
         pick([x[1] for x in pools.DB_SYSTEMS], F.col("op_draw")).alias("db_op"),
         pick([x[2] for x in pools.DB_SYSTEMS], F.col("op_draw")).alias("db_coll"),
-        is_err.alias("is_err"),
-        (~is_err & has_info).alias("has_info"),
+        (~is_err & F.col("info_draw")).alias("has_info"),
         F.when(is_err, pick(pools.HTTP_STATUS_ERROR, status_draw))
         .otherwise(pick(pools.HTTP_STATUS_OK, status_draw)).cast("string").alias("http_code"),
         F.when(is_err, pick(pools.GRPC_STATUS_ERROR, status_draw)).otherwise(F.lit(0)).cast("string").alias("grpc_code"),
@@ -167,8 +183,8 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
         F.lit("http.response.status_code"), F.col("http_code"),
     ]
     http_server_extra = [
-        F.lit("client.address"), client_ip(hex_draw("a", 5), hex_draw("a", 9), hex_draw("a", 13)),
-        F.lit("user_agent.original"), pick(pools.USER_AGENTS, hex_draw("a", 1)),
+        F.lit("client.address"), client_ip(bits("a1", 16), bits("a1", 32), bits("a2", 0)),
+        F.lit("user_agent.original"), pick(pools.USER_AGENTS, bits("a1", 0)),
         F.lit("url.full"), F.concat(F.lit("http://" + pools.PEER_HOST), F.col("route")),
     ]
     rpc_service = F.when(t == "rpc_server", F.col("ServiceName")).otherwise(F.col("peer_name"))
@@ -192,10 +208,10 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
             F.lit("messaging.system"), F.lit("kafka"),
             F.lit("messaging.destination.name"), F.concat(F.col("ServiceName"), F.lit(".events")),
             F.lit("messaging.operation"), F.lit("process"),
-            F.lit("messaging.message.body.size"), (F.lit(256) + F.pmod(hex_draw("a", 21), F.lit(8192))).cast("string")))
+            F.lit("messaging.message.body.size"), (F.lit(256) + F.pmod(bits("a2", 32), F.lit(8192))).cast("string")))
         .otherwise(F.create_map(
             F.lit("code.namespace"), F.concat(F.lit("compute."), F.col("ServiceName")),
-            F.lit("thread.name"), F.concat(F.lit("worker-"), F.pmod(hex_draw("a", 17), F.lit(16)).cast("string"))))
+            F.lit("thread.name"), F.concat(F.lit("worker-"), F.pmod(bits("a2", 16), F.lit(16)).cast("string"))))
     )
     span_name = (
         F.when(t.isin("http_server", "http_client"), F.concat_ws(" ", "method", "route"))
@@ -205,7 +221,7 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
         .when(t == "msg_consumer", F.concat(F.col("ServiceName"), F.lit(".events process")))
         .otherwise(F.concat(F.lit("compute."), F.col("ServiceName")))
     )
-    event_pick = hex_draw("a", 25)
+    event_pick = bits("a1", 48, 0xFFF)
     events = (
         F.when(F.col("is_err"), F.array(F.struct(
             ts_from_ns(F.col("start_ns") + idiv("dur_ns", 2)).alias("Timestamp"),
@@ -254,9 +270,13 @@ SPAN_COLUMNS = [
 
 
 def spans_from_tables(orders: DataFrame, lineitem: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    from ..plans.strategies import ensure_parallel
+
     spark = orders.sparkSession
     if services is None:
         services = catalog.services(spark, N_FIXTURE_SERVICES)
+    orders = ensure_parallel(orders, "o_orderkey")
+    lineitem = ensure_parallel(lineitem, "l_orderkey")
     return decorate(span_skeleton(orders, lineitem), services)
 
 
