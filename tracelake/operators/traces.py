@@ -7,8 +7,8 @@ which AQE's skew-join splitting handles (enabled in ``session.configure``).
 
 Tree walks (depth, pre-order path, critical path) go level by level: each
 level is one join of the frontier against the child edges, and the frontier
-is checkpointed into the shared checkpoint folder so plans stay short and a
-lost executor recomputes one level, not the whole walk.
+is written as a Parquet table into the shared checkpoint folder so plans stay
+short and a lost executor recomputes one level, not the whole walk.
 """
 
 from __future__ import annotations
@@ -131,14 +131,14 @@ def span_tree(spans: DataFrame, max_levels: int = MAX_LEVELS, checkpoint: bool =
     level = spans.filter(F.col("ParentSpanId") == "").select(
         "TraceId", "SpanId", F.lit(1).alias("depth"), _path_step().alias("path"))
     if checkpoint:
-        level = cut_lineage(level)
+        level = cut_lineage(level, "tree-level")
     levels = [level]
     for depth in range(2, max_levels + 1):
         frontier = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("path").alias("ppath"))
         level = edges.join(frontier, ["TraceId", "ParentSpanId"]).select(
             "TraceId", "SpanId", F.lit(depth).alias("depth"), F.concat_ws("/", "ppath", "step").alias("path"))
         if checkpoint:
-            level = cut_lineage(level)
+            level = cut_lineage(level, "tree-level")
         if level.isEmpty():
             break
         levels.append(level)
@@ -195,26 +195,27 @@ def self_time(spans: DataFrame) -> DataFrame:
 def critical_path(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Per trace, the chain of latest-ending children from the root: length,
     leaf span and leaf name. The 'last child' of every span is one
-    aggregation (max_by on (end, SpanId)), so the walk joins one row per step."""
+    aggregation (max_by on (end, SpanId)), so the walk joins one row per step;
+    path ends are the visited spans without a last child (one anti-join at
+    the end)."""
     last = (spans.filter(F.col("ParentSpanId") != "")
             .groupBy("TraceId", "ParentSpanId")
             .agg(F.max_by(F.struct("SpanId", "SpanName"), F.struct(end_ns(), F.col("SpanId"))).alias("nxt"))
             .select("TraceId", "ParentSpanId", F.col("nxt.SpanId").alias("SpanId"), F.col("nxt.SpanName").alias("SpanName")))
-    last = cut_lineage(last)
+    last = cut_lineage(last, "cp-last")
     cur = cut_lineage(spans.filter(F.col("ParentSpanId") == "").select(
-        "TraceId", "SpanId", "SpanName", F.lit(1).alias("len")))
-    done = []
+        "TraceId", "SpanId", "SpanName", F.lit(1).alias("len")), "cp-step")
+    visited = [cur]
     for step in range(2, max_levels + 1):
         nxt = cur.select("TraceId", F.col("SpanId").alias("ParentSpanId")).join(last, ["TraceId", "ParentSpanId"]).select(
             "TraceId", "SpanId", "SpanName", F.lit(step).alias("len"))
-        # spans of `cur` without a child are path ends
-        ends = cur.join(last.select("TraceId", F.col("ParentSpanId").alias("SpanId")), ["TraceId", "SpanId"], "left_anti")
-        done.append(cut_lineage(ends))
-        cur = cut_lineage(nxt)
+        cur = cut_lineage(nxt, "cp-step")
         if cur.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("TraceId", F.col("len").alias("cp_spans"), F.col("SpanId").alias("cp_leaf_span_id"),
-                      F.col("SpanName").alias("cp_leaf_name"))
+        visited.append(cur)
+    out = visited[0]
+    for v in visited[1:]:
+        out = out.unionByName(v)
+    ends = out.join(last.select("TraceId", F.col("ParentSpanId").alias("SpanId")), ["TraceId", "SpanId"], "left_anti")
+    return ends.select("TraceId", F.col("len").alias("cp_spans"), F.col("SpanId").alias("cp_leaf_span_id"),
+                       F.col("SpanName").alias("cp_leaf_name"))

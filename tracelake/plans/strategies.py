@@ -29,16 +29,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= max_rows else df
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table in the shared
+    checkpoint folder (``spark.checkpoint.dir``) and reading it back.
 
     Used by iterative jobs (level-by-level tree walks) so plans stay short
-    and a lost executor recomputes from the checkpoint, not from the scan.
+    and a lost executor recomputes from the written table, not from the
+    scan. Parquet is columnar and compressed, cheaper to write and re-read
+    than row checkpoints.
     """
-    from ..session import checkpoint_dir
+    from ..session import scratch_path
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def salted_top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: int | Column,
