@@ -1068,3 +1068,135 @@ def q_stream_metrics(spark, sf_dir):
     src = _not_closing(stream_input(spark, sf_dir))
     _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "metrics")
     return streams.progress_metrics(spark, q)
+
+
+# --------------------------------------------------------------------------
+# trace expansion: seeds (from orders) grown through the service topology
+# --------------------------------------------------------------------------
+from .sources import expand  # noqa: E402
+
+N_EXPAND_SERVICES = 30
+
+
+def _ops_sql(n: int) -> list[tuple[str, str]]:
+    D = O._draw
+    methods = [m for m, _ in pools.HTTP_ROUTES]
+    routes = [r for _, r in pools.HTTP_ROUTES]
+    lp = pools.LATENCY_PARAMS
+    mu = "CASE " + " ".join(f"WHEN op_type = '{k}' THEN {v[0]}::DOUBLE" for k, v in lp.items()) + " END"
+    sigma = "CASE " + " ".join(f"WHEN op_type = '{k}' THEN {v[1]}::DOUBLE" for k, v in lp.items()) + " END"
+    dbp = [(i, x) for i, x in enumerate(pools.DB_SYSTEMS)]
+    return [
+        ("ops_h", "SELECT service_idx, name, md5('ops:' || service_idx::VARCHAR) AS h FROM services"),
+        ("ops_entry_idx", f"SELECT service_idx, name, unnest(range(0, 2 + {D('h', 1)} % 3)) AS op_idx FROM ops_h"),
+        ("ops_entry", f"""SELECT service_idx, op_idx::INTEGER AS op_idx, 'entry' AS role, 'http_server' AS op_type,
+            'Server' AS kind, {O._pick(methods, D('r', 1))} AS method, {O._pick(routes, D('r', 1))} AS route,
+            NULL::VARCHAR AS db_system, NULL::VARCHAR AS db_op, NULL::VARCHAR AS collection, -1 AS peer
+          FROM (SELECT *, md5('entry:' || service_idx::VARCHAR || ':' || op_idx::VARCHAR) AS r FROM ops_entry_idx)"""),
+        ("ops_consumer", f"""SELECT service_idx, (2 + {D('h', 1)} % 3)::INTEGER AS op_idx, 'entry' AS role,
+            'msg_consumer' AS op_type, 'Consumer' AS kind, NULL::VARCHAR AS method, NULL::VARCHAR AS route,
+            NULL::VARCHAR AS db_system, NULL::VARCHAR AS db_op, NULL::VARCHAR AS collection, -1 AS peer
+          FROM ops_h WHERE {D('h', 5)} % 10 < 4"""),
+        ("ops_counts0", f"""SELECT service_idx, name,
+            CASE WHEN service_idx + 1 < {n} THEN {D('h', 9)} % 3 ELSE 0 END AS n_peers,
+            1 + {D('h', 13)} % 2 AS n_db FROM ops_h"""),
+        ("ops_slots", """SELECT service_idx, unnest(range(0, n_peers)) AS op_idx, 'call' AS slot FROM ops_counts0
+          UNION ALL SELECT service_idx, unnest(range(n_peers, n_peers + n_db)), 'db' FROM ops_counts0
+          UNION ALL SELECT service_idx, n_peers + n_db, 'internal' FROM ops_counts0"""),
+        ("ops_child0", f"""SELECT service_idx, op_idx::INTEGER AS op_idx, slot,
+            CASE WHEN slot = 'call' THEN service_idx + 1 + {D('r', 1)} % greatest({n} - service_idx - 1, 1) ELSE -1 END AS peer,
+            {D('r', 5)} % 2 = 0 AS is_http, {O._pick(methods, D('r', 13))} AS m, {O._pick(routes, D('r', 13))} AS rt,
+            {D('r', 9)} AS dbi
+          FROM (SELECT *, md5('child:' || service_idx::VARCHAR || ':' || op_idx::VARCHAR) AS r FROM ops_slots)"""),
+        ("ops_child", f"""SELECT service_idx, op_idx, 'child' AS role, op_type,
+            CASE WHEN op_type = 'internal' THEN 'Internal' ELSE 'Client' END AS kind,
+            CASE WHEN op_type = 'http_client' THEN m END AS method, CASE WHEN op_type = 'http_client' THEN rt END AS route,
+            CASE WHEN op_type = 'db_client' THEN {O._pick([x[0] for _, x in dbp], 'dbi')} END AS db_system,
+            CASE WHEN op_type = 'db_client' THEN {O._pick([x[1] for _, x in dbp], 'dbi')} END AS db_op,
+            CASE WHEN op_type = 'db_client' THEN {O._pick([x[2] for _, x in dbp], 'dbi')} END AS collection, peer
+          FROM (SELECT *, CASE WHEN slot = 'db' THEN 'db_client' WHEN slot = 'internal' THEN 'internal'
+                               WHEN is_http THEN 'http_client' ELSE 'rpc_client' END AS op_type FROM ops_child0)"""),
+        ("ops", f"""SELECT *, {mu} AS mu_log, {sigma} AS sigma_log FROM (
+            SELECT * FROM ops_entry UNION ALL SELECT * FROM ops_consumer UNION ALL SELECT * FROM ops_child)"""),
+        ("ops_counts", """SELECT service_idx AS svc, sum(CASE WHEN role = 'entry' THEN 1 ELSE 0 END)::INTEGER AS n_entry,
+            sum(CASE WHEN role = 'child' THEN 1 ELSE 0 END)::INTEGER AS n_child FROM ops GROUP BY 1"""),
+    ]
+
+
+def _expand_sql(n: int) -> str:
+    D, H, B = O._draw, O._hex60, O._bits
+    ln = ("greatest(1000, floor(exp(mu_log + sigma_log * (sqrt(-2.0::DOUBLE * ln((" + B("x2", 0, 0x3FFFFFFF)
+          + " + 1) / 1073741824.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (" + B("x2", 30, 0x3FFFFFFF)
+          + " / 1073741824.0::DOUBLE)))))::BIGINT)")
+    e = "md5({k} || '#e')"
+    seeds = f"""SELECT o_orderkey AS trace_no,
+        (((o_orderdate::DATE - DATE '1970-01-01')::BIGINT * 86400 + o_orderkey % 86400) * 1000000000
+          - ({D("md5('seed:' || o_orderkey::VARCHAR)", 1)} % 2000)::BIGINT * 1000000) AS start_ns,
+        (5 + {D("md5('seed:' || o_orderkey::VARCHAR)", 5)} % 16)::INTEGER AS budget FROM orders"""
+    roots0 = f"""SELECT trace_no, start_ns, budget, 'x:' || trace_no::VARCHAR AS key,
+        {H(e.format(k="('x:' || trace_no::VARCHAR)"), 1)} AS x1, {H(e.format(k="('x:' || trace_no::VARCHAR)"), 16)} AS x2
+      FROM ex_seeds"""
+    roots = f"""SELECT r.trace_no, r.budget, '' AS path, r.key, NULL::VARCHAR AS parent_key, r.svc, o.op_type, o.kind,
+        o.method, o.route, o.db_system, o.db_op, o.collection, o.peer, r.start_ns,
+        {ln.replace('mu_log', 'o.mu_log').replace('sigma_log', 'o.sigma_log').replace('x2', 'r.x2')} AS dur_ns,
+        1 AS depth, TRUE AS expand, r.x1
+      FROM (SELECT *, ({B('x1', 0)} % {n})::INTEGER AS svc FROM ex_roots0) r
+      JOIN ops_counts c ON c.svc = r.svc
+      JOIN ops o ON o.service_idx = r.svc AND o.role = 'entry' AND o.op_idx = ({B('r.x1', 16)} % c.n_entry)::INTEGER"""
+    kids = f"""SELECT p.trace_no, p.budget, p.path AS ppath, p.key AS pkey, p.svc, c.n_child, p.start_ns AS p_start,
+        p.dur_ns AS p_dur, p.depth, unnest(range(0, ({B('p.x1', 48, 0xFFF)} % 3 + 1)::INTEGER)) AS i
+      FROM nodes p JOIN ops_counts c ON c.svc = p.svc WHERE p.expand AND p.depth <= {expand.MAX_DEPTH}"""
+    kids2 = f"""SELECT k.*, {H(e.format(k='k.key'), 1)} AS x1, {H(e.format(k='k.key'), 16)} AS x2 FROM (
+        SELECT *, pkey || i::VARCHAR AS key FROM ({kids})) k"""
+    kids3 = f"""SELECT k.*, o.op_type, o.kind, o.method, o.route, o.db_system, o.db_op, o.collection, o.peer,
+        o.mu_log, o.sigma_log,
+        floor(k.p_dur::DOUBLE * 0.7::DOUBLE * ({B('k.x1', 16, 0xFFFFFFFF)}::DOUBLE / 4294967296.0::DOUBLE))::BIGINT AS "offset"
+      FROM ({kids2}) k JOIN ops o ON o.service_idx = k.svc AND o.role = 'child' AND o.op_idx = ({B('k.x1', 0)} % k.n_child)::INTEGER"""
+    calls = f"""SELECT trace_no, budget, ppath || i::VARCHAR AS path, key, pkey AS parent_key, svc, op_type, kind, method,
+        route, db_system, db_op, collection, peer, p_start + "offset" AS start_ns,
+        CASE WHEN {ln} > p_dur - "offset" AND p_dur - "offset" > 0 THEN p_dur - "offset" ELSE {ln} END AS dur_ns, depth
+      FROM ({kids3})"""
+    both = f"""SELECT *, unnest(CASE WHEN peer >= 0 THEN ['c', 's'] ELSE ['c'] END) AS role FROM ({calls})"""
+    nxt = f"""SELECT trace_no, budget,
+        CASE WHEN role = 's' THEN path || 's' ELSE path END AS path,
+        CASE WHEN role = 's' THEN key || 's' ELSE key END AS key,
+        CASE WHEN role = 's' THEN key ELSE parent_key END AS parent_key,
+        CASE WHEN role = 's' THEN peer ELSE svc END AS svc,
+        CASE WHEN role = 's' THEN (CASE WHEN op_type = 'rpc_client' THEN 'rpc_server' ELSE 'http_server' END) ELSE op_type END AS op_type,
+        CASE WHEN role = 's' THEN 'Server' ELSE kind END AS kind,
+        method, route, db_system, db_op, collection,
+        CASE WHEN role = 's' THEN -1 ELSE peer END AS peer,
+        CASE WHEN role = 's' THEN start_ns + floor(dur_ns::DOUBLE * 0.1::DOUBLE)::BIGINT ELSE start_ns END AS start_ns,
+        CASE WHEN role = 's' THEN floor(dur_ns::DOUBLE * 0.85::DOUBLE)::BIGINT ELSE dur_ns END AS dur_ns,
+        CASE WHEN role = 's' OR (op_type = 'internal' AND depth < {expand.INTERNAL_DEPTH}) THEN depth + 1 ELSE depth END AS depth,
+        (role = 's' OR (peer < 0 AND op_type = 'internal' AND depth < {expand.INTERNAL_DEPTH})) AS expand
+      FROM ({both})"""
+    rec = f"""SELECT * FROM ex_roots
+      UNION ALL
+      SELECT n.*, {H(e.format(k='n.key'), 1)} AS x1 FROM ({nxt}) n"""
+    kept = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_no ORDER BY path) AS preorder_rank FROM nodes)
+      WHERE preorder_rank <= budget"""
+    hb = O._hex60("md5(k.key)", 17)
+    final = f"""SELECT md5('t:' || k.trace_no::VARCHAR) AS TraceId, substr(md5(k.key), 1, 16) AS SpanId,
+        CASE WHEN k.parent_key IS NULL THEN '' ELSE substr(md5(k.parent_key), 1, 16) END AS ParentSpanId,
+        CASE WHEN k.op_type IN ('http_server', 'http_client') THEN k.method || ' ' || k.route
+             WHEN k.op_type = 'db_client' THEN k.db_op || ' ' || k.collection
+             WHEN k.op_type = 'rpc_client' THEN 'grpc.' || p.name || '/Get'
+             WHEN k.op_type = 'rpc_server' THEN s.name || '.v1.Service/Get'
+             WHEN k.op_type = 'msg_consumer' THEN s.name || '.events process'
+             ELSE 'compute.' || s.name END AS SpanName,
+        k.kind AS SpanKind, s.name AS ServiceName, k.start_ns AS StartUnixNano, k.dur_ns AS Duration,
+        CASE WHEN ({B(hb, 0)} % 1000) < {int(pools.ERROR_RATE * 1000)} THEN 'Error' ELSE 'Unset' END AS StatusCode
+      FROM ex_kept k JOIN services s ON s.service_idx = k.svc LEFT JOIN services p ON p.service_idx = k.peer"""
+    ctes = O.services_cte(n) + _ops_sql(n) + [
+        ("ex_seeds", seeds), ("ex_roots0", roots0), ("ex_roots", roots), ("nodes", rec), ("ex_kept", kept)]
+    return O.with_ctes(final, ctes, recursive=True)
+
+
+@register("trace_expand", _expand_sql(N_EXPAND_SERVICES))
+def q_trace_expand(spark, sf_dir):
+    configure(spark)
+    seeds = fixtures.seeds_from_orders(fixtures.read_table(spark, sf_dir, "orders"))
+    sp = expand.trace_expand(seeds, N_EXPAND_SERVICES)
+    return sp.select("TraceId", "SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName", "StartUnixNano",
+                     "Duration", "StatusCode")

@@ -154,7 +154,8 @@ def operations(svc: DataFrame, n: int) -> DataFrame:
         mu.alias("mu_log"), sigma.alias("sigma_log"),
         F.lit(None).cast("string").alias("destination"), "peer",
         F.lit(None).cast("string").alias("peer_name"), "name",
-        "db_system", "db_op", "collection", "namespace",
+        *[F.when(op_type == "db_client", F.col(c)).alias(c) for c in ("db_system", "db_op", "collection")],
+        "namespace",
     )
     peers = svc.select(F.col("service_idx").alias("p_idx"), F.col("name").alias("p_name"))
     child = (child.join(F.broadcast(peers), child.peer == peers.p_idx, "left")

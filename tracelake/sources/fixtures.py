@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import pools
 from ..functions.scalars import (
+    service_name_of,
     bits,
     client_ip,
     db_port,
@@ -131,9 +132,17 @@ def span_skeleton(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return roots.unionByName(children)
 
 
-def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
+def decorate(skeleton: DataFrame, services: DataFrame, max_services: int = N_FIXTURE_SERVICES) -> DataFrame:
     """Ids, names, status, attributes and events of every skeleton row, in
-    the span-table column layout (map attributes) plus ``StartUnixNano``."""
+    the span-table column layout (map attributes) plus ``StartUnixNano``.
+
+    Operation details (method, route, db_system, db_op, db_coll) are taken
+    from the skeleton when it carries them (catalog-driven expansion), else
+    picked from the pools by ``op_draw``."""
+    given_cols = [c for c in ("method", "route", "db_system", "db_op", "db_coll") if c in skeleton.columns]
+    for c in given_cols:
+        skeleton = skeleton.withColumnRenamed(c, f"_given_{c}")
+    given = {c: F.col(f"_given_{c}") for c in given_cols}
     s = skeleton.select(
         "*",
         F.md5("key").alias("h"),
@@ -150,7 +159,6 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
         (F.pmod(bits("hb", 16), F.lit(10)) == 0).alias("info_draw"),
         bits("hb", 32).alias("status_draw"),
     )
-    names = pools.SERVICE_NAMES
     status_draw = F.col("status_draw")
     is_err = F.col("is_err")
     methods = [m for m, _ in pools.HTTP_ROUTES]
@@ -160,13 +168,14 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
         F.substring("h", 1, 16).alias("SpanId"),
         F.when(F.col("parent_key").isNull(), F.lit("")).otherwise(F.substring(F.md5("parent_key"), 1, 16)).alias("ParentSpanId"),
         F.md5(F.concat(F.lit("t:"), F.col("k").cast("string"))).alias("TraceId"),
-        pick(names, F.col("svc")).alias("ServiceName"),
-        pick(names, F.col("peer")).alias("peer_name"),
-        pick(methods, F.col("op_draw")).alias("method"),
-        pick(routes, F.col("op_draw")).alias("route"),
-        pick([x[0] for x in pools.DB_SYSTEMS], F.col("op_draw")).alias("db_system"),
-        pick([x[1] for x in pools.DB_SYSTEMS], F.col("op_draw")).alias("db_op"),
-        pick([x[2] for x in pools.DB_SYSTEMS], F.col("op_draw")).alias("db_coll"),
+        service_name_of("svc").alias("ServiceName"),
+        service_name_of("peer").alias("peer_name"),
+        *[given.get(c, default).alias(c) for c, default in (
+            ("method", pick(methods, F.col("op_draw"))),
+            ("route", pick(routes, F.col("op_draw"))),
+            ("db_system", pick([x[0] for x in pools.DB_SYSTEMS], F.col("op_draw"))),
+            ("db_op", pick([x[1] for x in pools.DB_SYSTEMS], F.col("op_draw"))),
+            ("db_coll", pick([x[2] for x in pools.DB_SYSTEMS], F.col("op_draw"))))],
         (~is_err & F.col("info_draw")).alias("has_info"),
         F.when(is_err, pick(pools.HTTP_STATUS_ERROR, status_draw))
         .otherwise(pick(pools.HTTP_STATUS_OK, status_draw)).cast("string").alias("http_code"),
@@ -238,7 +247,7 @@ def decorate(skeleton: DataFrame, services: DataFrame) -> DataFrame:
     )
     res = broadcast_bounded(
         services.select(F.col("service_idx").alias("svc"), F.col("resource_attributes").alias("ResourceAttributes")),
-        max_rows=catalog.MAX_SERVICES)
+        max_rows=max_services)
     out = s.select(
         ts_from_ns("start_ns").alias("Timestamp"),
         "TraceId", "SpanId", "ParentSpanId",
