@@ -1200,3 +1200,197 @@ def q_trace_expand(spark, sf_dir):
     sp = expand.trace_expand(seeds, N_EXPAND_SERVICES)
     return sp.select("TraceId", "SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName", "StartUnixNano",
                      "Duration", "StatusCode")
+
+
+# --------------------------------------------------------------------------
+# scalar expressions over the whole span table
+# --------------------------------------------------------------------------
+from .functions import scalars as SC  # noqa: E402
+
+
+@register("hex_id", S("""
+SELECT TraceId, SpanId, CASE WHEN lower(substr(md5(SpanId), 1, 16)) = '0000000000000000' THEN ''
+                             ELSE lower(substr(md5(SpanId), 1, 16)) END AS derived_id,
+       length(TraceId) AS trace_hex_len, length(SpanId) AS span_hex_len FROM spans"""))
+def q_hex_id(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    return s.select("TraceId", "SpanId", SC.hex_id(F.md5("SpanId"), 16).alias("derived_id"),
+                    F.length("TraceId").alias("trace_hex_len"), F.length("SpanId").alias("span_hex_len"))
+
+
+@register("duration_ns", S("""
+SELECT TraceId, SpanId, (StartUnixNano + Duration) - StartUnixNano AS duration_ns,
+       StartUnixNano + Duration AS end_ns FROM spans"""))
+def q_duration_ns(spark, sf_dir):
+    s = spans_of(spark, sf_dir).withColumn("end_ns", F.col("StartUnixNano") + F.col("Duration"))
+    return s.select("TraceId", "SpanId", SC.duration_ns("StartUnixNano", "end_ns").alias("duration_ns"), "end_ns")
+
+
+@register("time_buckets", S("""
+SELECT date_trunc('minute', Timestamp) AS minute, date_trunc('hour', Timestamp) AS hour, Timestamp::DATE AS day,
+       epoch(date_trunc('second', Timestamp))::BIGINT AS seconds, count(*) AS spans
+FROM spans GROUP BY 1, 2, 3, 4"""))
+def q_time_buckets(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    return s.groupBy(SC.ntz(SC.start_of_minute("Timestamp")).alias("minute"), SC.ntz(SC.start_of_hour("Timestamp")).alias("hour"),
+                     SC.to_day("Timestamp").alias("day"), SC.to_seconds("Timestamp").alias("seconds")) \
+        .agg(F.count(F.lit(1)).alias("spans"))
+
+
+def _readable_sql(x: str) -> str:
+    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
+    parts = " ".join(f"WHEN {x}::DOUBLE >= {float(1024 ** i)} THEN printf('%.2f', {x}::DOUBLE / {float(1024 ** i)}) || ' {units[i]}'"
+                     for i in range(len(units) - 1, 0, -1))
+    return f"CASE {parts} ELSE printf('%.2f', {x}::DOUBLE) || ' B' END"
+
+
+@register("readable_size", S(f"""
+SELECT ServiceName, sum(Duration)::BIGINT AS total, {_readable_sql('sum(Duration)')} AS readable FROM spans GROUP BY 1"""))
+def q_readable_size(spark, sf_dir):
+    s = spans_of(spark, sf_dir).groupBy("ServiceName").agg(F.sum("Duration").cast("bigint").alias("total"))
+    return s.select("ServiceName", "total", SC.readable_size("total").alias("readable"))
+
+
+@register("map_keys_values", S("""
+SELECT TraceId, SpanId, array_to_string(list_sort(map_keys(SpanAttributes)), ',') AS keys,
+       array_to_string(list_sort(map_values(SpanAttributes)), ',') AS vals,
+       cardinality(ResourceAttributes) AS n_resource FROM spans"""))
+def q_map_keys_values(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    return s.select("TraceId", "SpanId", F.array_join(F.array_sort(F.map_keys("SpanAttributes")), ",").alias("keys"),
+                    F.array_join(F.array_sort(F.map_values("SpanAttributes")), ",").alias("vals"),
+                    F.size("ResourceAttributes").alias("n_resource"))
+
+
+@register("shard_of", S(f"SELECT TraceId, {SHARD_NO} AS shard FROM spans GROUP BY 1, 2"))
+def q_shard_of(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    return s.select("TraceId", SC.shard_of("TraceId", 3).alias("shard")).distinct()
+
+
+@register("draw_uniform", S("""
+SELECT TraceId, round(('0x' || substr(md5(TraceId), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE, 12) AS u,
+       (['GET', 'POST', 'PUT'])[('0x' || substr(md5(TraceId), 1, 13))::BIGINT % 3 + 1] AS picked
+FROM spans WHERE ParentSpanId = ''"""))
+def q_draw_uniform(spark, sf_dir):
+    s = spans_of(spark, sf_dir).filter(F.col("ParentSpanId") == "")
+    d = SC.hex_draw(F.md5("TraceId"), 1, 13)
+    return s.select("TraceId", F.round(SC.draw_uniform("TraceId"), 12).alias("u"),
+                    SC.pick(["GET", "POST", "PUT"], d).alias("picked"))
+
+
+@register("sample_lognormal", S("""
+SELECT TraceId, greatest(1000, floor(exp(13.0::DOUBLE + 0.9::DOUBLE *
+         (sqrt(-2.0::DOUBLE * ln(greatest(('0x' || substr(md5(TraceId || ':u1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE, 1e-300::DOUBLE)))
+          * cos(6.283185307179586::DOUBLE * (('0x' || substr(md5(TraceId || ':u2'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)))))::BIGINT) AS d
+FROM spans WHERE ParentSpanId = ''"""))
+def q_sample_lognormal(spark, sf_dir):
+    s = spans_of(spark, sf_dir).filter(F.col("ParentSpanId") == "")
+    return s.select("TraceId", SC.sample_lognormal(13.0, 0.9, "TraceId").alias("d"))
+
+
+@register("lookups", S(f"""
+SELECT TraceId, SpanId, CASE SpanAttributes['db.system'] {' '.join(f"WHEN '{k}' THEN {v}" for k, v in pools.DB_PORTS.items())} ELSE 0 END AS db_port,
+       CASE WHEN SpanKind = 'Producer' THEN 'publish' ELSE 'process' END AS msg_operation,
+       CASE WHEN coalesce(SpanAttributes['url.path'], '') <> '' THEN '{pools.PEER_HOST}' ELSE 'localhost' END AS peer_host
+FROM spans"""))
+def q_lookups(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    return s.select("TraceId", "SpanId", SC.db_port(F.col("SpanAttributes").getItem("db.system")).alias("db_port"),
+                    SC.msg_operation(F.when(F.col("SpanKind") == "Producer", F.lit("msg_producer"))
+                                     .otherwise(F.lit("msg_consumer"))).alias("msg_operation"),
+                    SC.peer_host(F.col("SpanAttributes").getItem("url.path")).alias("peer_host"))
+
+
+@register("text_from_draws", S("""
+SELECT TraceId, SpanId, SpanAttributes['client.address'] AS client_ip, SpanAttributes['user_agent.original'] AS user_agent,
+       SpanAttributes['db.query.text'] AS query_text
+FROM spans WHERE SpanAttributes['client.address'] IS NOT NULL OR SpanAttributes['db.query.text'] IS NOT NULL"""))
+def q_text_from_draws(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    a = F.col("SpanAttributes")
+    return s.filter(a.getItem("client.address").isNotNull() | a.getItem("db.query.text").isNotNull()).select(
+        "TraceId", "SpanId", a.getItem("client.address").alias("client_ip"),
+        a.getItem("user_agent.original").alias("user_agent"), a.getItem("db.query.text").alias("query_text"))
+
+
+@register("service_name_of", S("""
+SELECT ServiceName, count(*) AS spans FROM spans GROUP BY 1"""))
+def q_service_name_of(spark, sf_dir):
+    """Service names re-derived from the index (o_custkey % 24) via the cycling rule."""
+    configure(spark)
+    o = fixtures.read_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 24).cast("int").alias("svc"))
+    s = spans_of(spark, sf_dir)
+    return s.groupBy("ServiceName").agg(F.count(F.lit(1)).alias("spans")).select(
+        "ServiceName", "spans").join(
+        o.select(SC.service_name_of("svc").alias("ServiceName")).distinct(), "ServiceName", "left_semi")
+
+
+# --------------------------------------------------------------------------
+# more joins, sinks and streams
+# --------------------------------------------------------------------------
+@register("join_span_operation", S("""
+SELECT s.TraceId, s.SpanId, v.service_idx, v.version, v.host FROM spans s JOIN services v ON v.name = s.ServiceName"""))
+def q_join_span_operation(spark, sf_dir):
+    svc = catalog.services(spark, fixtures.N_FIXTURE_SERVICES)
+    from .plans.strategies import broadcast_bounded
+
+    dim = broadcast_bounded(svc.select(F.col("name").alias("ServiceName"), "service_idx", "version", "host"),
+                            fixtures.N_FIXTURE_SERVICES)
+    return spans_of(spark, sf_dir).join(dim, "ServiceName").select("TraceId", "SpanId", "service_idx", "version", "host")
+
+
+@register("write_otlp_nested", S("SELECT ServiceName, count(*) AS spans FROM spans GROUP BY 1"))
+def q_write_otlp_nested(spark, sf_dir):
+    """Nested payloads written as JSON lines, read back and flattened."""
+    payload = nested.group_by_resource(spans_of(spark, sf_dir))
+    path = scratch_path(spark, "otlp-json")
+    payload.write.mode("overwrite").option("compression", "gzip").json(path)
+    back = spark.read.schema(payload.schema).json(path)
+    return nested.flatten_otlp(back).groupBy("ServiceName").agg(F.count(F.lit(1)).alias("spans"))
+
+
+def attempts_stream(spark, sf_dir):
+    key = ("stream-in", "attempts", sf_dir, spark.sparkContext.applicationId)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "stream-in-attempts")
+        streams.write_arrival_files(attempts_of(spark, sf_dir), path, 8, order_col="ts")
+        _WRITTEN[key] = path
+    path = _WRITTEN[key]
+    return streams.stream_spans(spark, path, spark.read.parquet(path).schema, files_per_trigger=2)
+
+
+@register("stream_achieved_rate", O.with_ctes(_ACH, O.attempts_cte()))
+def q_stream_achieved_rate(spark, sf_dir):
+    src = attempts_stream(spark, sf_dir)
+    q = (src.filter(F.col("ok")).withWatermark("ts", "1 minute")
+         .groupBy(F.window("ts", "2 seconds").alias("w"))
+         .agg(F.sum("spans").cast("bigint").alias("spans"))
+         .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "spans",
+                 F.round(F.col("spans") / F.lit(2.0), 6).alias("rate")))
+    path, _ = streams.run_available_now(q, "achieved-rate", "complete")
+    return streams.read_result(spark, path, complete=True)
+
+
+@register("stream_batching")
+def q_stream_batching(spark, sf_dir):
+    """Micro-batch sizes under maxFilesPerTrigger back-pressure (2 files per trigger)."""
+    src = _not_closing(stream_input(spark, sf_dir))
+    _, q = streams.run_available_now(filters.lean(src), "batching")
+    return streams.progress_metrics(spark, q)
+
+
+@register("late_rows")
+def q_late_rows(spark, sf_dir):
+    """Rows dropped by the watermark when the input is replayed out of order."""
+    key = ("stream-in", "late", sf_dir, spark.sparkContext.applicationId)
+    if key not in _WRITTEN:
+        s = spans_of(spark, sf_dir)
+        path = scratch_path(spark, "stream-in-late")
+        streams.write_arrival_files(s, path, 4)
+        streams.write_arrival_files(s.filter(F.col("TraceId").startswith("0")), path, 1)  # replayed, late
+        _WRITTEN[key] = path
+    path = _WRITTEN[key]
+    src = streams.stream_spans(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "late")
+    return streams.progress_metrics(spark, q)
