@@ -174,20 +174,26 @@ def preorder_cap(spans: DataFrame, budget: F.Column | None = None, salts: int =
 
 def self_time(spans: DataFrame) -> DataFrame:
     """Span duration minus the union of its children's intervals (clipped to
-    the span). Children are merged gaps-and-islands style within a parent."""
+    the span).
+
+    Children sorted by start: a child adds ``e - max(s, M)`` new coverage,
+    where M is the largest end among the children before it. M is a running
+    maximum within a parent, computed by ``plans.scan.group_scan`` over a
+    range partitioning, so a parent with millions of children is spread over
+    many tasks instead of one window partition.
+    """
+    from ..plans.scan import group_scan
+
     j = join_parent_child(spans)
     p_end = F.col("p_StartUnixNano") + F.col("p_Duration")
     iv = j.select(
-        "TraceId", F.col("c_ParentSpanId").alias("SpanId"),
+        "TraceId", F.col("c_ParentSpanId").alias("SpanId"), F.col("c_SpanId").alias("child"),
         F.greatest("c_StartUnixNano", "p_StartUnixNano").alias("s"),
         F.least(F.col("c_StartUnixNano") + F.col("c_Duration"), p_end).alias("e"),
     ).filter(F.col("e") > F.col("s"))
-    w = Window.partitionBy("TraceId", "SpanId").orderBy("s", "e")
-    prev_end = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    iv = iv.withColumn("new_island", F.when(prev_end.isNull() | (F.col("s") > prev_end), 1).otherwise(0))
-    iv = iv.withColumn("island", F.sum("new_island").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = iv.groupBy("TraceId", "SpanId", "island").agg((F.max("e") - F.min("s")).alias("len"))
-    covered = islands.groupBy("TraceId", "SpanId").agg(F.sum("len").alias("child_ns"))
+    scanned = group_scan(iv, ["TraceId", "SpanId"], ["s", "e", "child"], "e")
+    new_cov = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.col("prev_max"), F.col("s"))))
+    covered = scanned.groupBy("TraceId", "SpanId").agg(F.sum(new_cov).alias("child_ns"))
     return (spans.select("TraceId", "SpanId", "Duration").join(covered, ["TraceId", "SpanId"], "left")
             .select("TraceId", "SpanId", (F.col("Duration") - F.coalesce(F.col("child_ns"), F.lit(0))).alias("self_ns")))
 
