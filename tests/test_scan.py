@@ -19,8 +19,10 @@ def test_hot_group_matches_window(spark):
         w = Window.partitionBy("g1", "g2").orderBy("o")
         want = df.select("g1", "g2", "o", "v", F.row_number().over(w).alias("rank"),
                          F.lag("v").over(w).alias("prev_value"),
-                         F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_max"))
-        diff = got.select("g1", "g2", "o", "v", "rank", "prev_value", "prev_max").exceptAll(want)
+                         F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_max"),
+                         F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                         .alias("prev_sum"))
+        diff = got.select("g1", "g2", "o", "v", "rank", "prev_value", "prev_max", "prev_sum").exceptAll(want)
         assert diff.count() == 0
         assert got.count() == 23000
         # the hot group really was spread over several tasks

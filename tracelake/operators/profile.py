@@ -119,23 +119,64 @@ def exception_counts(spans: DataFrame) -> DataFrame:
             .agg(count_star().alias("n")))
 
 
-def latency_by_operation(spans: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+QUANTILES = [0.5, 0.9, 0.95, 0.99]
+
+
+def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_col: str,
+                    qs: list[float] = QUANTILES) -> DataFrame:
+    """Exact interpolated quantiles (= ``percentile`` / ``quantile_cont``) per
+    group without gathering a group in one task.
+
+    Ranks within each group come from the range-partitioned ordered scan; the
+    group counts (one row per group, broadcast after a size check) give each
+    quantile's two neighbouring ranks, and only those rows are aggregated.
+    """
+    from ..plans.scan import group_scan
+    from ..plans.strategies import broadcast_if_small
+
+    counts = df.groupBy(*group_cols).agg(count_star().alias("_n"))
+    ranked = group_scan(df.select(*group_cols, value_col, tie_col), group_cols, [value_col, tie_col], value_col)
+    ranked = ranked.join(broadcast_if_small(counts, 1_000_000), group_cols)
+    pos = {q: (F.col("_n") - 1) * F.lit(q) for q in qs}  # 0-based positions
+    lo = {q: F.floor(p) + 1 for q, p in pos.items()}
+    hi = {q: F.ceil(p) + 1 for q, p in pos.items()}
+    needed = None
+    for q in qs:
+        c = (F.col("rank") == lo[q]) | (F.col("rank") == hi[q])
+        needed = c if needed is None else needed | c
+    aggs = []
+    for i, q in enumerate(qs):
+        aggs += [F.max(F.when(F.col("rank") == lo[q], F.col(value_col))).cast("double").alias(f"_lo{i}"),
+                 F.max(F.when(F.col("rank") == hi[q], F.col(value_col))).cast("double").alias(f"_hi{i}"),
+                 F.first(pos[q]).alias(f"_pos{i}")]
+    picked = ranked.filter(needed).groupBy(*group_cols).agg(*aggs)
+    return picked.select(*group_cols, *[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (F.col(f"_pos{i}") - F.floor(f"_pos{i}")))
+        .alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
+
+
+def latency_by_operation(spans: DataFrame, method: str = "scan", accuracy: int = 10000) -> DataFrame:
     """Mean, min, max and p50/p90/p95/p99 of Duration by (service, span name).
 
-    ``exact`` uses ``percentile`` (linear interpolation, = quantile_cont);
-    at very large group sizes ``exact=False`` switches to the bounded-memory
+    ``scan`` (default): exact linear-interpolated quantiles (= quantile_cont)
+    from the skew-safe ordered scan; ``exact``: Spark's ``percentile`` (one
+    value map per group, fine for small groups); ``approx``: the bounded
     ``percentile_approx`` sketch.
     """
-    qs = [0.5, 0.9, 0.95, 0.99]
-    if exact:
-        pct = F.percentile(F.col("Duration").cast("double"), qs)
-    else:
-        pct = F.percentile_approx(F.col("Duration").cast("double"), qs, accuracy)
-    out = spans.groupBy("ServiceName", "SpanName").agg(
+    keys = ["ServiceName", "SpanName"]
+    base = spans.groupBy(*keys).agg(
         count_star().alias("n"), _r(F.avg("Duration"), 3).alias("mean_ns"),
-        F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns"), pct.alias("_q"))
-    return out.select("ServiceName", "SpanName", "n", "mean_ns", "min_ns", "max_ns",
-                      *[_r(F.col("_q")[i], 3).alias(f"p{int(q * 100)}_ns") for i, q in enumerate(qs)])
+        F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns"))
+    names = [f"p{int(q * 100)}_ns" for q in QUANTILES]
+    if method == "scan":
+        q = exact_quantiles(spans, keys, "Duration", "SpanId")
+        q = q.select(*keys, *[_r(F.col(f"p{int(x * 100)}"), 3).alias(n) for x, n in zip(QUANTILES, names)])
+        return base.join(q, keys).select(*keys, "n", "mean_ns", "min_ns", "max_ns", *names)
+    col = F.col("Duration").cast("double")
+    pct = F.percentile(col, QUANTILES) if method == "exact" else F.percentile_approx(col, QUANTILES, accuracy)
+    out = spans.groupBy(*keys).agg(pct.alias("_q"))
+    return base.join(out, keys).select(*keys, "n", "mean_ns", "min_ns", "max_ns",
+                                       *[_r(F.col("_q")[i], 3).alias(n) for i, n in enumerate(names)])
 
 
 def op_family(spans: DataFrame) -> DataFrame:

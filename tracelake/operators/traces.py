@@ -126,22 +126,32 @@ def span_tree(spans: DataFrame, max_levels: int = MAX_LEVELS, checkpoint: bool =
     sorting by it is pre-order with siblings in start order. Spans under a
     missing parent are not reached (see ``orphans``).
     """
-    edges = spans.filter(F.col("ParentSpanId") != "").select(
-        "TraceId", "ParentSpanId", "SpanId", _path_step().alias("step"))
+    from pyspark import StorageLevel
+
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # child edges hash-partitioned on the join key once and kept for the walk:
+    # each level then shuffles only the (smaller) frontier
+    edges = (spans.filter(F.col("ParentSpanId") != "")
+             .select("TraceId", "ParentSpanId", "SpanId", _path_step().alias("step"))
+             .repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK))
     level = spans.filter(F.col("ParentSpanId") == "").select(
         "TraceId", "SpanId", F.lit(1).alias("depth"), _path_step().alias("path"))
-    if checkpoint:
-        level = cut_lineage(level, "tree-level")
-    levels = [level]
-    for depth in range(2, max_levels + 1):
-        frontier = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("path").alias("ppath"))
-        level = edges.join(frontier, ["TraceId", "ParentSpanId"]).select(
-            "TraceId", "SpanId", F.lit(depth).alias("depth"), F.concat_ws("/", "ppath", "step").alias("path"))
+    try:
         if checkpoint:
             level = cut_lineage(level, "tree-level")
-        if level.isEmpty():
-            break
-        levels.append(level)
+        levels = [level]
+        for depth in range(2, max_levels + 1):
+            frontier = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("path").alias("ppath"))
+            level = edges.join(frontier, ["TraceId", "ParentSpanId"]).select(
+                "TraceId", "SpanId", F.lit(depth).alias("depth"), F.concat_ws("/", "ppath", "step").alias("path"))
+            if checkpoint:
+                level = cut_lineage(level, "tree-level")
+            if level.isEmpty():
+                break
+            levels.append(level)
+    finally:
+        if checkpoint:
+            edges.unpersist()
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
@@ -208,17 +218,24 @@ def critical_path(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
             .groupBy("TraceId", "ParentSpanId")
             .agg(F.max_by(F.struct("SpanId", "SpanName"), F.struct(end_ns(), F.col("SpanId"))).alias("nxt"))
             .select("TraceId", "ParentSpanId", F.col("nxt.SpanId").alias("SpanId"), F.col("nxt.SpanName").alias("SpanName")))
+    from pyspark import StorageLevel
+
     last = cut_lineage(last, "cp-last")
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last_p = last.repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK)
     cur = cut_lineage(spans.filter(F.col("ParentSpanId") == "").select(
         "TraceId", "SpanId", "SpanName", F.lit(1).alias("len")), "cp-step")
     visited = [cur]
-    for step in range(2, max_levels + 1):
-        nxt = cur.select("TraceId", F.col("SpanId").alias("ParentSpanId")).join(last, ["TraceId", "ParentSpanId"]).select(
-            "TraceId", "SpanId", "SpanName", F.lit(step).alias("len"))
-        cur = cut_lineage(nxt, "cp-step")
-        if cur.isEmpty():
-            break
-        visited.append(cur)
+    try:
+        for step in range(2, max_levels + 1):
+            nxt = cur.select("TraceId", F.col("SpanId").alias("ParentSpanId")).join(last_p, ["TraceId", "ParentSpanId"]).select(
+                "TraceId", "SpanId", "SpanName", F.lit(step).alias("len"))
+            cur = cut_lineage(nxt, "cp-step")
+            if cur.isEmpty():
+                break
+            visited.append(cur)
+    finally:
+        last_p.unpersist()
     out = visited[0]
     for v in visited[1:]:
         out = out.unionByName(v)

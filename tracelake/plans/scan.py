@@ -2,7 +2,7 @@
 
 A window ``PARTITION BY g ORDER BY o`` puts every row of group ``g`` into one
 task. ``group_scan`` computes the same running values — the row number, the
-previous row's value and the running maximum of the earlier rows — over a
+previous row's value, the running maximum and sum of the earlier rows — over a
 *range* partitioning of (g, o) instead, so a group holding a third of all
 rows is cut into many contiguous slices processed by many tasks:
 
@@ -36,7 +36,7 @@ def _local_pass(group_cols: list[str], value_col: str):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        carry_key, carry_rank, carry_last, carry_max = None, 0, None, None
+        carry_key, carry_rank, carry_last, carry_max, carry_sum = None, 0, None, None, 0
         first_key = None
         pending = []
         for pdf in batches:
@@ -52,6 +52,7 @@ def _local_pass(group_cols: list[str], value_col: str):
             rank = gid.groupby(gid).cumcount() + 1
             prev = v.groupby(gid).shift(1)
             prev_max = v.groupby(gid).cummax().groupby(gid).shift(1)
+            prev_sum = v.groupby(gid).cumsum() - v
             head = gid == 0
             k0 = key_at(pdf, 0)
             if carry_key is not None and k0 == carry_key:
@@ -59,18 +60,22 @@ def _local_pass(group_cols: list[str], value_col: str):
                 prev = prev.where(~head | prev.notna(), carry_last)
                 cm = pd.Series(carry_max, index=pdf.index, dtype="Int64")
                 prev_max = prev_max.where(~head, pd.concat([prev_max, cm], axis=1).max(axis=1))
+                prev_sum = prev_sum.where(~head, prev_sum + carry_sum)
             if first_key is None:
                 first_key = k0
             last_gid = int(gid.iloc[-1])
             last = gid == last_gid
             k1 = key_at(pdf, len(pdf) - 1)
             last_max = int(v[last].max())
+            last_sum = int(v[last].sum())
             if carry_key is not None and k1 == carry_key and last_gid == 0:
                 carry_rank += int(last.sum())
                 carry_max = max(carry_max, last_max)
+                carry_sum += last_sum
             else:
                 carry_rank = int(last.sum())
                 carry_max = last_max
+                carry_sum = last_sum
             carry_key = k1
             carry_last = int(v.iloc[-1])
             out = pdf
@@ -78,6 +83,7 @@ def _local_pass(group_cols: list[str], value_col: str):
             out["_l_rank"] = rank.astype("int64")
             out["_l_prev"] = prev.astype("Int64")
             out["_l_prev_max"] = prev_max.astype("Int64")
+            out["_l_prev_sum"] = prev_sum.astype("int64")
             pending.append((out, k0, head, k1, last))
         # edge rows: the task's first and last group, known only at the end
         for out, k0, head, k1, last in pending:
@@ -90,8 +96,8 @@ def _local_pass(group_cols: list[str], value_col: str):
 def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
                n_partitions: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based position in the group), ``prev_value`` (the
-    previous row's ``value_col``) and ``prev_max`` (max ``value_col`` over all
-    earlier rows of the group) — exact, in (group_cols, order_cols) order,
+    previous row's ``value_col``), ``prev_max`` (max ``value_col`` over all
+    earlier rows of the group) and ``prev_sum`` (their sum) — exact, in (group_cols, order_cols) order,
     which must be a total order within a group. ``value_col`` is an integer
     column (exact; nanosecond timestamps do not fit a double)."""
     spark = df.sparkSession
@@ -100,7 +106,7 @@ def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], valu
     schema = T.StructType(df.schema.fields + [
         T.StructField("_pid", T.IntegerType()), T.StructField("_l_rank", T.LongType()),
         T.StructField("_l_prev", T.LongType()), T.StructField("_l_prev_max", T.LongType()),
-        T.StructField("_edge", T.BooleanType())])
+        T.StructField("_l_prev_sum", T.LongType()), T.StructField("_edge", T.BooleanType())])
     from .strategies import cut_lineage
 
     # written once to the shared checkpoint folder: read by the summary and the final join
@@ -108,6 +114,7 @@ def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], valu
     # edge groups of every partition: <= 2 summary rows per partition
     summary = (local.filter("_edge").groupBy("_pid", *group_cols)
                .agg(F.count(F.lit(1)).alias("_n"), F.max(value_col).cast("bigint").alias("_max"),
+                    F.sum(value_col).cast("bigint").alias("_sum"),
                     F.max_by(F.col(value_col).cast("bigint"), F.struct(*order_cols)).alias("_last")))
     w = Window.partitionBy(*group_cols).orderBy("_pid")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -115,6 +122,7 @@ def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], valu
         "_pid", *group_cols,
         F.sum("_n").over(before).alias("_c_rank"),
         F.max("_max").over(before).alias("_c_max"),
+        F.sum("_sum").over(before).alias("_c_sum"),
         F.lag("_last").over(w).alias("_c_last"),
     ).filter(F.col("_c_rank").isNotNull())
     carry = F.broadcast(carry)  # bounded: at most 2 rows per partition
@@ -124,5 +132,6 @@ def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], valu
         (F.col("_l_rank") + F.coalesce(F.col("_c_rank"), F.lit(0))).alias("rank"),
         F.coalesce(F.col("_l_prev"), F.col("_c_last")).alias("prev_value"),
         F.greatest(F.col("_l_prev_max"), F.col("_c_max")).alias("prev_max"),
+        (F.col("_l_prev_sum") + F.coalesce(F.col("_c_sum"), F.lit(0))).alias("prev_sum"),
     )
     return out
