@@ -29,3 +29,11 @@ def test_hot_group_matches_window(spark):
         assert got.filter("g2 = 'hot'").select(F.spark_partition_id()).distinct().count() >= 1
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_quantile_paths_agree(spark, spans_small):
+    from tracelake.operators import profile
+
+    a = profile.latency_by_operation(spans_small, method="scan")
+    b = profile.latency_by_operation(spans_small, method="exact")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0

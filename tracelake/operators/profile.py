@@ -155,28 +155,39 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_co
         .alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
 
 
-def latency_by_operation(spans: DataFrame, method: str = "scan", accuracy: int = 10000) -> DataFrame:
+# Largest group for which Spark's exact ``percentile`` (a value map per group,
+# merged in one task) is used; beyond it the ordered scan takes over.
+PERCENTILE_GROUP_LIMIT = 2_000_000
+
+
+def latency_by_operation(spans: DataFrame, method: str = "auto", accuracy: int = 10000) -> DataFrame:
     """Mean, min, max and p50/p90/p95/p99 of Duration by (service, span name).
 
-    ``scan`` (default): exact linear-interpolated quantiles (= quantile_cont)
-    from the skew-safe ordered scan; ``exact``: Spark's ``percentile`` (one
-    value map per group, fine for small groups); ``approx``: the bounded
-    ``percentile_approx`` sketch.
+    ``auto`` (default) checks the largest group first: up to
+    ``PERCENTILE_GROUP_LIMIT`` rows it uses Spark's exact ``percentile``,
+    above it the skew-safe ordered scan (``scan``). Both give the exact
+    linear-interpolated quantiles (= quantile_cont). ``approx`` uses the
+    bounded ``percentile_approx`` sketch.
     """
     keys = ["ServiceName", "SpanName"]
     base = spans.groupBy(*keys).agg(
         count_star().alias("n"), _r(F.avg("Duration"), 3).alias("mean_ns"),
         F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns"))
     names = [f"p{int(q * 100)}_ns" for q in QUANTILES]
+    if method == "auto":
+        largest = base.agg(F.max("n")).first()[0] or 0
+        method = "exact" if largest <= PERCENTILE_GROUP_LIMIT else "scan"
     if method == "scan":
         q = exact_quantiles(spans, keys, "Duration", "SpanId")
         q = q.select(*keys, *[_r(F.col(f"p{int(x * 100)}"), 3).alias(n) for x, n in zip(QUANTILES, names)])
         return base.join(q, keys).select(*keys, "n", "mean_ns", "min_ns", "max_ns", *names)
     col = F.col("Duration").cast("double")
     pct = F.percentile(col, QUANTILES) if method == "exact" else F.percentile_approx(col, QUANTILES, accuracy)
-    out = spans.groupBy(*keys).agg(pct.alias("_q"))
-    return base.join(out, keys).select(*keys, "n", "mean_ns", "min_ns", "max_ns",
-                                       *[_r(F.col("_q")[i], 3).alias(n) for i, n in enumerate(names)])
+    out = spans.groupBy(*keys).agg(
+        count_star().alias("n"), _r(F.avg("Duration"), 3).alias("mean_ns"),
+        F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns"), pct.alias("_q"))
+    return out.select(*keys, "n", "mean_ns", "min_ns", "max_ns",
+                      *[_r(F.col("_q")[i], 3).alias(n) for i, n in enumerate(names)])
 
 
 def op_family(spans: DataFrame) -> DataFrame:
