@@ -402,7 +402,7 @@ def q_trace_depth(spark, sf_dir):
 
 
 @register("preorder_cap", S("""
-SELECT TraceId, SpanId, preorder_rank FROM (
+SELECT TraceId, SpanId, preorder_rank::INTEGER AS preorder_rank FROM (
   SELECT TraceId, SpanId, row_number() OVER (PARTITION BY TraceId ORDER BY path) AS preorder_rank,
          5 + (('0x' || substr(TraceId, 9, 4))::INTEGER % 16) AS budget
   FROM tree) WHERE preorder_rank <= budget""", extra=_TREE, recursive=True))
@@ -446,8 +446,9 @@ def q_critical_path(spark, sf_dir):
 # windows
 # --------------------------------------------------------------------------
 @register("service_rank", S("""
-SELECT ServiceName, spans, rank() OVER (ORDER BY spans DESC) AS rank, dense_rank() OVER (ORDER BY spans DESC) AS dense_rank,
-       row_number() OVER (ORDER BY spans DESC, ServiceName) AS position, round(spans / sum(spans) OVER (), 6) AS share
+SELECT ServiceName, spans, (rank() OVER (ORDER BY spans DESC))::INTEGER AS rank,
+       (dense_rank() OVER (ORDER BY spans DESC))::INTEGER AS dense_rank,
+       (row_number() OVER (ORDER BY spans DESC, ServiceName))::INTEGER AS position, round(spans / sum(spans) OVER (), 6) AS share
 FROM (SELECT ServiceName, count(*) AS spans FROM spans GROUP BY 1)"""))
 def q_service_rank(spark, sf_dir):
     return windows.service_rank(spans_of(spark, sf_dir))
@@ -455,7 +456,7 @@ def q_service_rank(spark, sf_dir):
 
 @register("sibling_order", S("""
 SELECT TraceId, SpanId, ParentSpanId,
-       row_number() OVER w AS sibling_no, StartUnixNano - lag(StartUnixNano + Duration) OVER w AS gap_ns
+       (row_number() OVER w)::INTEGER AS sibling_no, StartUnixNano - lag(StartUnixNano + Duration) OVER w AS gap_ns
 FROM spans WHERE ParentSpanId <> ''
 WINDOW w AS (PARTITION BY TraceId, ParentSpanId ORDER BY StartUnixNano, SpanId)"""))
 def q_sibling_order(spark, sf_dir):
@@ -463,7 +464,7 @@ def q_sibling_order(spark, sf_dir):
 
 
 @register("slowest_spans", S("""
-SELECT ServiceName, rank, TraceId, SpanId, SpanName, Duration FROM (
+SELECT ServiceName, rank::INTEGER AS rank, TraceId, SpanId, SpanName, Duration FROM (
   SELECT *, row_number() OVER (PARTITION BY ServiceName ORDER BY Duration DESC, SpanId) AS rank FROM spans)
 WHERE rank <= 5"""))
 def q_slowest_spans(spark, sf_dir):
@@ -777,8 +778,8 @@ def q_layout_parity(spark, sf_dir):
 # --------------------------------------------------------------------------
 # nested export payloads and the second ingest path
 # --------------------------------------------------------------------------
-_BATCH2K = """SELECT TraceId, slice::BIGINT * 1000000 + (sum(spans) OVER (PARTITION BY slice ORDER BY TraceId
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - spans) // 2000 AS batch_id
+_BATCH2K = """SELECT TraceId, (slice::BIGINT * 1000000 + (sum(spans) OVER (PARTITION BY slice ORDER BY TraceId
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - spans) // 2000)::BIGINT AS batch_id
   FROM (SELECT TraceId, count(*) AS spans, ('0x' || substr(TraceId, 13, 4))::INTEGER % 8 AS slice
         FROM spans GROUP BY TraceId)"""
 _PAYLOAD = [
@@ -871,7 +872,7 @@ def q_read_spans_map(spark, sf_dir):
 
 
 @register("write_spans_json", S("""
-SELECT Timestamp::DATE AS dt, hour(Timestamp) AS hour, count(*) AS spans FROM spans GROUP BY 1, 2"""))
+SELECT Timestamp::DATE AS dt, hour(Timestamp)::INTEGER AS hour, count(*) AS spans FROM spans GROUP BY 1, 2"""))
 def q_write_spans_json(spark, sf_dir):
     t = json_table(spark, sf_dir)
     return t.groupBy("dt", "hour").agg(F.count(F.lit(1)).alias("spans"))
@@ -1211,7 +1212,7 @@ from .functions import scalars as SC  # noqa: E402
 @register("hex_id", S("""
 SELECT TraceId, SpanId, CASE WHEN lower(substr(md5(SpanId), 1, 16)) = '0000000000000000' THEN ''
                              ELSE lower(substr(md5(SpanId), 1, 16)) END AS derived_id,
-       length(TraceId) AS trace_hex_len, length(SpanId) AS span_hex_len FROM spans"""))
+       length(TraceId)::INTEGER AS trace_hex_len, length(SpanId)::INTEGER AS span_hex_len FROM spans"""))
 def q_hex_id(spark, sf_dir):
     s = spans_of(spark, sf_dir)
     return s.select("TraceId", "SpanId", SC.hex_id(F.md5("SpanId"), 16).alias("derived_id"),
@@ -1254,7 +1255,7 @@ def q_readable_size(spark, sf_dir):
 @register("map_keys_values", S("""
 SELECT TraceId, SpanId, array_to_string(list_sort(map_keys(SpanAttributes)), ',') AS keys,
        array_to_string(list_sort(map_values(SpanAttributes)), ',') AS vals,
-       cardinality(ResourceAttributes) AS n_resource FROM spans"""))
+       cardinality(ResourceAttributes)::INTEGER AS n_resource FROM spans"""))
 def q_map_keys_values(spark, sf_dir):
     s = spans_of(spark, sf_dir)
     return s.select("TraceId", "SpanId", F.array_join(F.array_sort(F.map_keys("SpanAttributes")), ",").alias("keys"),
