@@ -37,7 +37,7 @@ def make_spans(spark, rows):
     df = spark.createDataFrame(data, "TraceId string, SpanId string, ParentSpanId string, SpanName string, "
                                      "SpanKind string, ServiceName string, StartUnixNano long, Duration long, "
                                      "StatusCode string")
-    return (df.withColumn("Timestamp", F.timestamp_micros(F.col("StartUnixNano") / 1000).cast("timestamp"))
+    return (df.withColumn("Timestamp", F.timestamp_micros(F.call_function("div", F.col("StartUnixNano"), F.lit(1000))))
             .withColumn("Events", F.array().cast(EVENT_TYPE))
             .withColumn("StatusMessage", F.lit(""))
             .withColumn("SpanAttributes", F.create_map().cast("map<string,string>")))
