@@ -37,3 +37,16 @@ def test_quantile_paths_agree(spark, spans_small):
     a = profile.latency_by_operation(spans_small, method="scan")
     b = profile.latency_by_operation(spans_small, method="exact")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_window_and_range_plans_agree(spark, spans_small):
+    from pyspark.sql import functions as F
+
+    from tracelake.plans.scan import group_scan
+
+    kids = spans_small.filter(F.col("ParentSpanId") != "").select(
+        "TraceId", "ParentSpanId", "SpanId", "StartUnixNano", "Duration")
+    a = group_scan(kids, ["TraceId", "ParentSpanId"], ["StartUnixNano", "SpanId"], "Duration", max_group=None)
+    b = group_scan(kids, ["TraceId", "ParentSpanId"], ["StartUnixNano", "SpanId"], "Duration", max_group=10)
+    cols = ["TraceId", "SpanId", "rank", "prev_value", "prev_max", "prev_sum"]
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()

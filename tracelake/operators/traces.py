@@ -188,12 +188,15 @@ def self_time(spans: DataFrame) -> DataFrame:
 
     Children sorted by start: a child adds ``e - max(s, M)`` new coverage,
     where M is the largest end among the children before it. M is a running
-    maximum within a parent, computed by ``plans.scan.group_scan`` over a
-    range partitioning, so a parent with millions of children is spread over
-    many tasks instead of one window partition.
+    maximum within a parent, computed by ``plans.scan.group_scan``: a plain
+    window when the largest fan-out (one two-column count) is bounded, else a
+    range-partitioned scan, so a parent with millions of children is spread
+    over many tasks instead of one window partition.
     """
-    from ..plans.scan import group_scan
+    from ..plans.scan import group_scan, max_group_rows
 
+    fanout = max_group_rows(spans.filter(F.col("ParentSpanId") != "").select("TraceId", "ParentSpanId"),
+                            ["TraceId", "ParentSpanId"])
     j = join_parent_child(spans)
     p_end = F.col("p_StartUnixNano") + F.col("p_Duration")
     iv = j.select(
@@ -201,7 +204,7 @@ def self_time(spans: DataFrame) -> DataFrame:
         F.greatest("c_StartUnixNano", "p_StartUnixNano").alias("s"),
         F.least(F.col("c_StartUnixNano") + F.col("c_Duration"), p_end).alias("e"),
     ).filter(F.col("e") > F.col("s"))
-    scanned = group_scan(iv, ["TraceId", "SpanId"], ["s", "e", "child"], "e")
+    scanned = group_scan(iv, ["TraceId", "SpanId"], ["s", "e", "child"], "e", max_group=fanout)
     new_cov = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.col("prev_max"), F.col("s"))))
     covered = scanned.groupBy("TraceId", "SpanId").agg(F.sum(new_cov).alias("child_ns"))
     return (spans.select("TraceId", "SpanId", "Duration").join(covered, ["TraceId", "SpanId"], "left")

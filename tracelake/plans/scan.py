@@ -93,13 +93,42 @@ def _local_pass(group_cols: list[str], value_col: str):
     return run
 
 
+# Largest group a plain window partition may hold (spillable, but one task).
+WINDOW_GROUP_LIMIT = 1_000_000
+
+
+def window_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str) -> DataFrame:
+    """``group_scan``'s result with ordinary window functions (one task per group)."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return df.select(
+        *df.columns,
+        F.row_number().over(w).cast("bigint").alias("rank"),
+        F.lag(value_col).over(w).cast("bigint").alias("prev_value"),
+        F.max(value_col).over(before).cast("bigint").alias("prev_max"),
+        F.coalesce(F.sum(value_col).over(before), F.lit(0)).cast("bigint").alias("prev_sum"),
+    )
+
+
+def max_group_rows(df: DataFrame, group_cols: list[str]) -> int:
+    """Rows in the largest group (one partial aggregation; used to pick a plan)."""
+    return df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+
+
 def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
-               n_partitions: int | None = None) -> DataFrame:
+               n_partitions: int | None = None, max_group: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based position in the group), ``prev_value`` (the
     previous row's ``value_col``), ``prev_max`` (max ``value_col`` over all
     earlier rows of the group) and ``prev_sum`` (their sum) — exact, in (group_cols, order_cols) order,
     which must be a total order within a group. ``value_col`` is an integer
-    column (exact; nanosecond timestamps do not fit a double)."""
+    column (exact; nanosecond timestamps do not fit a double).
+
+    ``max_group``: the largest group's row count when the caller knows it
+    (from a cheap aggregation); at most ``WINDOW_GROUP_LIMIT`` selects the
+    plain window plan, anything else (or unknown) the range-partitioned scan.
+    """
+    if max_group is not None and max_group <= WINDOW_GROUP_LIMIT:
+        return window_scan(df, group_cols, order_cols, value_col)
     spark = df.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
