@@ -6,9 +6,9 @@ parent with very many children is a skewed key on the child side only,
 which AQE's skew-join splitting handles (enabled in ``session.configure``).
 
 Tree walks (depth, pre-order path, critical path) go level by level: each
-level is one join of the frontier against the child edges, and the frontier
-is written as a Parquet table into the shared checkpoint folder so plans stay
-short and a lost executor recomputes one level, not the whole walk.
+level is one join of the frontier against the child edges (partitioned once
+on the join key and cached for the walk); the finished walk is written as a
+Parquet table into the shared checkpoint folder, so later plans start from it.
 """
 
 from __future__ import annotations
@@ -119,43 +119,46 @@ def _path_step() -> F.Column:
     return F.concat(F.lpad(F.col("StartUnixNano").cast("string"), 20, "0"), F.col("SpanId"))
 
 
-def span_tree(spans: DataFrame, max_levels: int = MAX_LEVELS, checkpoint: bool = True) -> DataFrame:
+def span_tree(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """(TraceId, SpanId, depth, path) for every span reachable from a root.
 
     ``path`` concatenates (zero-padded start, SpanId) from the root down, so
     sorting by it is pre-order with siblings in start order. Spans under a
     missing parent are not reached (see ``orphans``).
+
+    Each level is one join of the frontier with the child edges (which are
+    hash-partitioned on the join key once and kept for the walk), kept in
+    memory/disk while the walk runs; the finished tree is written once as a
+    Parquet table in the shared checkpoint folder, which cuts the lineage,
+    and the per-level caches are released.
     """
     from pyspark import StorageLevel
 
     n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # child edges hash-partitioned on the join key once and kept for the walk:
-    # each level then shuffles only the (smaller) frontier
     edges = (spans.filter(F.col("ParentSpanId") != "")
              .select("TraceId", "ParentSpanId", "SpanId", _path_step().alias("step"))
              .repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK))
     level = spans.filter(F.col("ParentSpanId") == "").select(
-        "TraceId", "SpanId", F.lit(1).alias("depth"), _path_step().alias("path"))
+        "TraceId", "SpanId", F.lit(1).alias("depth"), _path_step().alias("path")).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [edges, level]
     try:
-        if checkpoint:
-            level = cut_lineage(level, "tree-level")
         levels = [level]
         for depth in range(2, max_levels + 1):
             frontier = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("path").alias("ppath"))
             level = edges.join(frontier, ["TraceId", "ParentSpanId"]).select(
-                "TraceId", "SpanId", F.lit(depth).alias("depth"), F.concat_ws("/", "ppath", "step").alias("path"))
-            if checkpoint:
-                level = cut_lineage(level, "tree-level")
+                "TraceId", "SpanId", F.lit(depth).alias("depth"),
+                F.concat_ws("/", "ppath", "step").alias("path")).persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(level)
             if level.isEmpty():
                 break
             levels.append(level)
+        out = levels[0]
+        for lv in levels[1:]:
+            out = out.unionByName(lv)
+        return cut_lineage(out, "span-tree")
     finally:
-        if checkpoint:
-            edges.unpersist()
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        for c in cached:
+            c.unpersist()
 
 
 def trace_depth(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
@@ -216,32 +219,35 @@ def critical_path(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     leaf span and leaf name. The 'last child' of every span is one
     aggregation (max_by on (end, SpanId)), so the walk joins one row per step;
     path ends are the visited spans without a last child (one anti-join at
-    the end)."""
-    last = (spans.filter(F.col("ParentSpanId") != "")
-            .groupBy("TraceId", "ParentSpanId")
-            .agg(F.max_by(F.struct("SpanId", "SpanName"), F.struct(end_ns(), F.col("SpanId"))).alias("nxt"))
-            .select("TraceId", "ParentSpanId", F.col("nxt.SpanId").alias("SpanId"), F.col("nxt.SpanName").alias("SpanName")))
+    the end). Steps are cached while walking and the result is written once
+    to the shared checkpoint folder."""
     from pyspark import StorageLevel
 
-    last = cut_lineage(last, "cp-last")
     n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last_p = last.repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK)
-    cur = cut_lineage(spans.filter(F.col("ParentSpanId") == "").select(
-        "TraceId", "SpanId", "SpanName", F.lit(1).alias("len")), "cp-step")
-    visited = [cur]
+    last = (spans.filter(F.col("ParentSpanId") != "")
+            .groupBy("TraceId", "ParentSpanId")
+            .agg(F.max_by(F.struct("SpanId", "SpanName"), F.struct(end_ns(), F.col("SpanId"))).alias("nxt"))
+            .select("TraceId", "ParentSpanId", F.col("nxt.SpanId").alias("SpanId"), F.col("nxt.SpanName").alias("SpanName"))
+            .repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK))
+    cur = spans.filter(F.col("ParentSpanId") == "").select(
+        "TraceId", "SpanId", "SpanName", F.lit(1).alias("len")).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [last, cur]
     try:
+        visited = [cur]
         for step in range(2, max_levels + 1):
-            nxt = cur.select("TraceId", F.col("SpanId").alias("ParentSpanId")).join(last_p, ["TraceId", "ParentSpanId"]).select(
-                "TraceId", "SpanId", "SpanName", F.lit(step).alias("len"))
-            cur = cut_lineage(nxt, "cp-step")
+            cur = cur.select("TraceId", F.col("SpanId").alias("ParentSpanId")).join(last, ["TraceId", "ParentSpanId"]).select(
+                "TraceId", "SpanId", "SpanName", F.lit(step).alias("len")).persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(cur)
             if cur.isEmpty():
                 break
             visited.append(cur)
+        out = visited[0]
+        for v in visited[1:]:
+            out = out.unionByName(v)
+        ends = out.join(last.select("TraceId", F.col("ParentSpanId").alias("SpanId")), ["TraceId", "SpanId"], "left_anti")
+        res = ends.select("TraceId", F.col("len").alias("cp_spans"), F.col("SpanId").alias("cp_leaf_span_id"),
+                          F.col("SpanName").alias("cp_leaf_name"))
+        return cut_lineage(res, "critical-path")
     finally:
-        last_p.unpersist()
-    out = visited[0]
-    for v in visited[1:]:
-        out = out.unionByName(v)
-    ends = out.join(last.select("TraceId", F.col("ParentSpanId").alias("SpanId")), ["TraceId", "SpanId"], "left_anti")
-    return ends.select("TraceId", F.col("len").alias("cp_spans"), F.col("SpanId").alias("cp_leaf_span_id"),
-                       F.col("SpanName").alias("cp_leaf_name"))
+        for c in cached:
+            c.unpersist()
