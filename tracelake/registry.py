@@ -1124,7 +1124,7 @@ def _ops_sql(n: int) -> list[tuple[str, str]]:
     ]
 
 
-def _expand_sql(n: int) -> str:
+def _expand_sql(n: int, select: str | None = None) -> str:
     D, H, B = O._draw, O._hex60, O._bits
     ln = ("greatest(1000, floor(exp(mu_log + sigma_log * (sqrt(-2.0::DOUBLE * ln((" + B("x2", 0, 0x3FFFFFFF)
           + " + 1) / 1073741824.0::DOUBLE)) * cos(6.283185307179586::DOUBLE * (" + B("x2", 30, 0x3FFFFFFF)
@@ -1191,7 +1191,7 @@ def _expand_sql(n: int) -> str:
       FROM ex_kept k JOIN services s ON s.service_idx = k.svc LEFT JOIN services p ON p.service_idx = k.peer"""
     ctes = O.services_cte(n) + _ops_sql(n) + [
         ("ex_seeds", seeds), ("ex_roots0", roots0), ("ex_roots", roots), ("nodes", rec), ("ex_kept", kept)]
-    return O.with_ctes(final, ctes, recursive=True)
+    return O.with_ctes(select or final, ctes, recursive=True)
 
 
 @register("trace_expand", _expand_sql(N_EXPAND_SERVICES))
@@ -1395,3 +1395,31 @@ def q_late_rows(spark, sf_dir):
     src = streams.stream_spans(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "late")
     return streams.progress_metrics(spark, q)
+
+
+_FIT_SELECT = """SELECT op_type, count(*) AS n, round(avg(ln(dur_ns::DOUBLE)), 6) AS mu,
+       round(stddev_pop(ln(dur_ns::DOUBLE)), 6) AS sigma,
+       (""" + _CAT_MU.replace("op_type", "op_type") + """)::DOUBLE AS catalog_mu,
+       (""" + _CAT_SIGMA + """)::DOUBLE AS catalog_sigma
+FROM ex_kept GROUP BY op_type"""
+
+
+@register("lognormal_fit_expanded", _expand_sql(N_EXPAND_SERVICES, _FIT_SELECT))
+def q_lognormal_fit_expanded(spark, sf_dir):
+    """Fitted log-normal parameters per operation family of expanded traces
+    next to the catalog's (client calls are clamped to the parent's
+    remainder, callee SERVER spans are 85 % of the client's)."""
+    configure(spark)
+    seeds = fixtures.seeds_from_orders(fixtures.read_table(spark, sf_dir, "orders"))
+    svc = catalog.services(spark, N_EXPAND_SERVICES)
+    ops = catalog.operations(svc, N_EXPAND_SERVICES)
+    kept = expand.preorder_keep(expand.expand_nodes(seeds, ops, N_EXPAND_SERVICES))
+    cat_mu = F.lit(None).cast("double")
+    cat_sigma = F.lit(None).cast("double")
+    for k, (mu, sigma) in pools.LATENCY_PARAMS.items():
+        cat_mu = F.when(F.col("op_type") == k, F.lit(mu)).otherwise(cat_mu)
+        cat_sigma = F.when(F.col("op_type") == k, F.lit(sigma)).otherwise(cat_sigma)
+    ln = F.log(F.col("dur_ns").cast("double"))
+    return (kept.groupBy("op_type")
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ln), 6).alias("mu"), F.round(F.stddev_pop(ln), 6).alias("sigma"))
+            .select("op_type", "n", "mu", "sigma", cat_mu.alias("catalog_mu"), cat_sigma.alias("catalog_sigma")))
