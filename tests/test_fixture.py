@@ -44,3 +44,12 @@ def test_events_follow_status(spans_small):
         ((F.col("StatusCode") == "Error") & (F.size("Events") != 1))
         | (F.size("Events") > 1)).count()
     assert bad == 0
+
+
+def test_parity_detects_corruption(spans_small):
+    from tracelake.operators import setops
+
+    clean = setops.parity(spans_small, spans_small).first()
+    assert (clean.left_only, clean.right_only, clean.rows) == (0, 0, 10948)
+    bad = setops.parity(quality.corrupt(spans_small), spans_small).first()
+    assert bad.left_only > 0 and bad.right_only > 0 and bad.rows > bad.right_rows
