@@ -92,9 +92,21 @@ def explode_attributes(spans: DataFrame) -> DataFrame:
 
 
 def attr_cardinality(spans: DataFrame) -> DataFrame:
-    """Distinct values per attribute key ('bounded cardinality' check)."""
-    return (explode_attributes(spans).groupBy("scope", "key")
-            .agg(F.countDistinct("value").alias("n_values"), count_star().alias("n_spans")))
+    """Distinct values per attribute key ('bounded cardinality' check).
+
+    Resource attribute sets repeat for every span of a service instance, so
+    spans are first pre-aggregated by their exact resource set (grouping on
+    its entry array, with a span count) and only the distinct sets are
+    exploded; span attributes vary per span and are exploded directly.
+    """
+    span_side = (spans.select(F.explode("SpanAttributes").alias("key", "value"))
+                 .groupBy("key").agg(F.countDistinct("value").alias("n_values"), count_star().alias("n_spans"))
+                 .withColumn("scope", F.lit("span")))
+    res_sets = spans.groupBy(F.map_entries("ResourceAttributes").alias("entries")).agg(count_star().alias("c"))
+    res_side = (res_sets.select("c", F.inline("entries"))
+                .groupBy("key").agg(F.countDistinct("value").alias("n_values"), F.sum("c").alias("n_spans"))
+                .withColumn("scope", F.lit("resource")))
+    return span_side.unionByName(res_side).select("scope", "key", "n_values", "n_spans")
 
 
 def error_event_rates(spans: DataFrame) -> DataFrame:
