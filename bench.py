@@ -13,7 +13,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,13 +29,12 @@ def main() -> None:
 
     from tracelake.operators import profile, quality, traces, verify, windows
     from tracelake.plans import layout
-    from tracelake.session import local_session
+    from tracelake.session import checkpoint_dir, local_session, scratch_path
     from tracelake.sources import fixtures
 
-    scratch = tempfile.mkdtemp(prefix="tracelake-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="tracelake-bench",
-                          extra={"spark.checkpoint.dir": f"{scratch}/ckpt"})
-    spark.sparkContext.setCheckpointDir(f"{scratch}/ckpt")
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="tracelake-bench")
+    # the shared folder named by spark.checkpoint.dir (a local one only when unset)
+    checkpoint_dir(spark)
 
     def run(df):
         df.write.format("noop").mode("overwrite").save()
@@ -53,7 +51,7 @@ def main() -> None:
 
     spans_src = fixtures.load_spans(spark, sf_dir)
     timed("spans_build", lambda: run(spans_src))
-    table = f"{scratch}/spans_map"
+    table = scratch_path(spark, "bench-spans-map")
     # The fixture spreads ~2,400 days over six years with few spans per day, so
     # the bench table is partitioned by month (the day layout is exercised by
     # the registered write_spans_map query).
