@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import configure
-from . import simhash
+from ..session import configure, scratch_path
+from . import bpe, exact_dedup, mixing, simhash, token_files, url_filter
 from .common import ship_package, table
 
+HF_TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed vocabulary file of that name is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"),
+                                    vocabulary(HF_TOKENIZER), end_id=2)
+    return token_files.with_crc32(token_files.read_tokens(spark, path))
+
+
+def _id_digests(encoded: DataFrame) -> DataFrame:
+    """``ids`` become ``n_tokens`` and ``ids_sha256`` (ids as little-endian 32-bit integers)."""
+    kept = [c for c in encoded.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in ids])], [*kept, "n_tokens", "ids_sha256"])
+
+    schema = encoded.select(*kept).schema.add("n_tokens", "long").add("ids_sha256", "string")
+    return encoded.select("ids", *kept).mapInArrow(run, schema)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, vocabulary(RANKS)), vocabulary(RANKS))
+    hashed = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _id_digests(hashed)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (mixing.mix(table(spark, sf_dir, "documents"))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _configured(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(ship_package(configure(spark)), sf_dir)
@@ -25,8 +78,15 @@ def _configured(query):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _configured(q) for q in (
-        op1_simhash_near_dedup,
+        op1_simhash_near_dedup, op2_token_files, op4_byte_bpe, op5_mix_sources, op6_url_filter, op7_exact_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
+                   FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY body)""",
+}
