@@ -11,7 +11,11 @@ from tracelake.session import configure
 
 #: (name, function) in order; a function takes (spark, docs, sf_dir).
 STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("line_dedup", stages.drop_repeated_lines),
     ("near_dedup", stages.near_dedup),
+    ("mix_sources", stages.mix_sources),
+    ("byte_bpe", stages.encode_texts),
 ]
 
 #: DuckDB SQL for the rows of ``run``: none. The stages rest on learned weights,

@@ -6,11 +6,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path
-from . import bpe, exact_dedup, mixing, simhash, token_files, url_filter
+from . import ann, bpe, exact_dedup, language, line_dedup, mixing, simhash, token_files, toxicity, url_filter
 from .common import ship_package, table
 
 HF_TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def _id_digests(encoded: DataFrame) -> DataFrame:
     """``ids`` become ``n_tokens`` and ``ids_sha256`` (ids as little-endian 32-bit integers)."""
     kept = [c for c in encoded.columns if c != "ids"]
@@ -68,6 +72,29 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out(remainder: int, of: int) -> Column:
+    """Whether crc32 of doc_id as text leaves that remainder (null id: of the empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of == remainder
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"), held_out(0, 5)))
+    return (toxicity.score(docs, model).select(
+        "doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = docs.where(~held_out(1, 3)).select("text", "lang", F.col("doc_id").alias("key"))
+    return (language.identify(docs.select("doc_id", "text"), language.train(known))
+            .select("doc_id", held_out(1, 3).alias("held_out"), "lang_pred", "score", "rejected"))
+
+
 def _configured(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(ship_package(configure(spark)), sf_dir)
@@ -78,7 +105,8 @@ def _configured(query):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _configured(q) for q in (
-        op1_simhash_near_dedup, op2_token_files, op4_byte_bpe, op5_mix_sources, op6_url_filter, op7_exact_dedup,
+        op1_simhash_near_dedup, op2_token_files, op3_line_dedup, op4_byte_bpe, op5_mix_sources, op6_url_filter,
+        op7_exact_dedup, op8_toxicity, op9_nearest_vectors, op10_language,
     )
 }
 

@@ -9,8 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import materialize, ship_package
+from . import bpe, line_dedup, mixing, simhash, toxicity
+from .common import materialize, ship_package, table, with_row_ids
+from .queries import RANKS, held_out, vocabulary
+
+
+def _with_n_chars(df: DataFrame) -> DataFrame:
+    """n_chars, where there is such a column, follows the text."""
+    if "n_chars" not in df.columns:
+        return df
+    kind = dict(df.dtypes)["n_chars"]
+    return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the toxicity classifier doesn't reject (score below 0.5). It
+    learns from the labels of the documents it is given, held-out ones left out."""
+    ship_package(spark)
+    model = toxicity.train(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"), held_out(0, 5)))
+    return toxicity.score(docs, model, out_col="_score").where("_score < 0.5").drop("_score")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of repeated runs of lines. A document that loses all its words
+    goes; one that had none stays."""
+    ship_package(spark)
+    cols = docs.columns
+    left = line_dedup.dedup_rows(with_row_ids(docs))
+    emptied = (F.size("deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _with_n_chars(left.where(~F.coalesce(emptied, F.lit(False))).select(*cols))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,3 +52,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = (marked.select("_fp", "_rank").join(roots, "_fp").groupBy("_root").agg(F.min("_rank").alias("_rank")))
     stays = roots.join(first, "_root").select("_fp", "_rank", "_root")
     return marked.join(stays, ["_fp", "_rank"]).dropDuplicates(["_root"]).select(*cols)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each whole copy that is taken of a document, and one more with the
+    stretches of its text that are taken once more. Documents without words aren't part of a mix."""
+    ship_package(spark)
+    cols = docs.columns
+    rows = with_row_ids(docs)
+    plan = (mixing.mix(rows, row_col="row_id").where("taken > 0").select("row_id", "passes", "spans"))
+    taken = mixing.taken_texts(rows.join(plan, "row_id"))
+    return _with_n_chars(taken.withColumn("text", F.explode("texts")).select(*cols))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's ids, and whether decoding them gives its text back, in place of the text."""
+    ship_package(spark)
+    checked = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    decoded = bpe.decode(bpe.encode(checked, vocabulary(RANKS)), vocabulary(RANKS))
+    return (decoded.withColumn("n_tokens", F.size("ids").cast("long"))
+            .withColumn("round_trip", F.sha2("decoded", 256) == F.col("_sha")).drop("_sha", "decoded"))
