@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-HASHES, WIDTH, TABLES, PROBES = 8, 2.0, 8, 120
+HASHES, WIDTH, TABLES, PROBES = 8, 2.0, 10, 150
 #: Vectors of a block and queries of a chunk, about.
 BLOCK, CHUNK = 8192, 2048
 SEED = 42

@@ -1,6 +1,7 @@
 """Language identification by the nearest of several centroids a language.
 
-Texts become TF-IDF vectors over hashed character n-grams, scaled to length one. Document
+Texts become TF-IDF vectors over hashed character n-grams (runs of other signs than letters
+count as one space), scaled to length one. Document
 frequencies are counted over all training rows. Each language's vectors (a bounded sample)
 are clustered by cosine, and a text gets the language of the centroid nearest to it. A
 text farther from every centroid than ``max_distance`` is rejected.
@@ -31,7 +32,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 def counts_of(text: str | None) -> np.ndarray:
     out = np.zeros(1 << BITS, np.int64)
-    for part in hashed(text, ORDERS, BITS):
+    for part in hashed(text, ORDERS, BITS, letters=True):
         out += np.bincount(part, minlength=1 << BITS)
     return out
 
