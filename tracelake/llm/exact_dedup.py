@@ -35,12 +35,14 @@ def normalised(text: Column) -> Column:
 def _cut(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
     """A row for each block: row_id, doc_id, n (blocks of the text), no, content, and
     for the first block the text's sha256."""
+    # The outer forms of explode keep Spark from working out their input twice (once for a
+    # filter on it); neither array is ever empty.
     body = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
-                       normalised(F.col(text_col)).cast("binary").alias("body"))
+                       F.explode_outer(F.array(normalised(F.col(text_col)).cast("binary"))).alias("body"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / F.lit(block))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("body"), i * block + 1, F.lit(block)))
-    return (body.select("row_id", "doc_id", n.alias("n"), F.sha2("body", 256).alias("sha"), parts.alias("parts"))
-            .select("row_id", "doc_id", "n", "sha", F.posexplode("parts").alias("no", "content"))
+    return (body.select("row_id", "doc_id", n.alias("n"), F.sha2("body", 256).alias("sha"),
+                        F.posexplode_outer(parts).alias("no", "content"))
             .withColumn("sha", F.when(F.col("no") == 0, F.col("sha"))))
 
 
