@@ -45,9 +45,6 @@ HTTP_STATUS_OK = [200, 200, 200, 201, 204, 304]
 HTTP_STATUS_ERROR = [500, 502, 503, 504, 400, 404]
 GRPC_STATUS_ERROR = [2, 4, 13, 14]  # UNKNOWN, DEADLINE_EXCEEDED, INTERNAL, UNAVAILABLE
 
-SPAN_KINDS = ["Unspecified", "Internal", "Server", "Client", "Producer", "Consumer"]
-STATUS_CODES = ["Unset", "Ok", "Error"]
-
 # Log-normal latency parameters (ln of nanoseconds) per operation family.
 LATENCY_PARAMS = {
     "http_server": (16.0, 0.6),
@@ -58,7 +55,7 @@ LATENCY_PARAMS = {
     "internal": (13.0, 0.9),
 }
 
-SCOPE_NAME = "spangen"
+SCOPE_NAME = "spans"
 SCOPE_VERSION = "1.0.0"
 NAMESPACE = "shop"
 ERROR_RATE = 0.015

@@ -102,14 +102,16 @@ def canonical_text(spans: DataFrame) -> DataFrame:
     set operations, which maps and VARIANT do not support)."""
     ev = F.transform("Events", lambda e: F.concat_ws("|", F.unix_micros(e["Timestamp"]).cast("string"), e["Name"],
                                                      canonical_json(e["Attributes"])))
+    lk = F.transform("Links", lambda k: F.concat_ws("|", k["TraceId"], k["SpanId"], k["TraceState"],
+                                                    canonical_json(k["Attributes"])))
     return spans.select(
         "TraceId", "SpanId", "ParentSpanId", "TraceState", "SpanName", "SpanKind", "ServiceName",
-        F.unix_micros("Timestamp").alias("ts_us"), "Duration", "StatusCode", "StatusMessage",
+        F.unix_micros("Timestamp").alias("ts_us"), "StartUnixNano", "Duration", "StatusCode", "StatusMessage",
         "ScopeName", "ScopeVersion",
         canonical_json("ResourceAttributes").alias("resource_json"),
         canonical_json("SpanAttributes").alias("span_json"),
         F.array_join(ev, ";").alias("events_text"),
-        F.size("Links").alias("n_links"),
+        F.array_join(lk, ";").alias("links_text"),
     )
 
 

@@ -22,15 +22,27 @@ def lean(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in LEAN if c in df.columns])
 
 
-def filter_time_range(spans: DataFrame, start: str | dt.datetime, end: str | dt.datetime,
-                      partition_col: str = "dt", hour_col: str = "hour") -> DataFrame:
+def _within(spans: DataFrame, start: Column | None, end: Column | None) -> Column:
+    """Partition predicates implied by ``start <= Timestamp < end``, from the partition columns
+    that the table has (see ``layout.partition_keys``)."""
+    cond = F.lit(True)
+    for name, of in (("month", lambda t: F.to_date(F.date_trunc("month", t))), ("dt", F.to_date)):
+        if name in spans.columns:
+            cond = cond & (F.lit(True) if start is None else F.col(name) >= of(start))
+            cond = cond & (F.lit(True) if end is None else F.col(name) <= of(end))
+    if {"dt", "hour"} <= set(spans.columns):
+        if start is not None:
+            cond = cond & ((F.col("dt") > F.to_date(start)) | (F.col("hour") >= F.hour(start)))
+        if end is not None:
+            cond = cond & ((F.col("dt") < F.to_date(end)) | (F.col("hour") <= F.hour(end)))
+    return cond
+
+
+def filter_time_range(spans: DataFrame, start: str | dt.datetime, end: str | dt.datetime) -> DataFrame:
     """``start <= Timestamp < end`` plus the matching partition predicates."""
     s = F.lit(start).cast("timestamp")
     e = F.lit(end).cast("timestamp")
-    out = spans.filter((F.col("Timestamp") >= s) & (F.col("Timestamp") < e))
-    if partition_col in spans.columns:
-        out = out.filter((F.col(partition_col) >= F.to_date(s)) & (F.col(partition_col) <= F.to_date(e)))
-    return out
+    return spans.filter((F.col("Timestamp") >= s) & (F.col("Timestamp") < e) & _within(spans, s, e))
 
 
 def trace_id_for_order(order_key: int) -> str:
@@ -67,21 +79,29 @@ def filter_span_name(spans: DataFrame, name: str) -> DataFrame:
     return spans.filter(F.col("SpanName") == F.lit(name))
 
 
-def _now(spans: DataFrame, now: Column | None) -> Column:
-    return now if now is not None else spans.select(F.max("Timestamp")).scalar()
+def latest(spans: DataFrame) -> Column:
+    """The table's latest Timestamp, as a scalar subquery that reads only the last
+    partition directory, where the table has one."""
+    for name in ("dt", "month"):
+        if name in spans.columns:
+            spans = spans.filter(F.col(name) == spans.select(F.max(name)).scalar())
+            break
+    return spans.select(F.max("Timestamp")).scalar()
 
 
 def filter_recent(spans: DataFrame, minutes: int = 5, now: Column | None = None) -> DataFrame:
-    return spans.filter(F.col("Timestamp") > _now(spans, now) - F.make_dt_interval(mins=F.lit(minutes)))
+    """``Timestamp > now - minutes``, with the partitions that can hold such rows."""
+    start = (now if now is not None else latest(spans)) - F.make_dt_interval(mins=F.lit(minutes))
+    return spans.filter((F.col("Timestamp") > start) & _within(spans, start, None))
 
 
 def filter_expired(spans: DataFrame, ttl_hours: int = 5, now: Column | None = None) -> DataFrame:
-    """Rows past their TTL: ``Timestamp + ttl <= now``."""
-    return spans.filter(F.col("Timestamp") + F.make_dt_interval(hours=F.lit(ttl_hours)) <= _now(spans, now))
+    """Rows past their TTL, ``Timestamp <= now - ttl``, with the partitions that can hold them."""
+    end = (now if now is not None else latest(spans)) - F.make_dt_interval(hours=F.lit(ttl_hours))
+    return spans.filter((F.col("Timestamp") <= end) & _within(spans, None, end))
 
 
-def filter_files(df_with_meta: DataFrame, min_rows: int | None = None, path_like: str | None = None,
-                 min_bytes: int | None = None) -> DataFrame:
+def filter_files(df_with_meta: DataFrame, path_like: str | None = None, min_bytes: int | None = None) -> DataFrame:
     """Conjunctive filter on file metadata (``_metadata.file_path`` / ``file_size``)."""
     cond = F.lit(True)
     if path_like is not None:

@@ -66,11 +66,12 @@ def service_uniformity(spans: DataFrame) -> DataFrame:
 
 
 def distinct_ids(spans: DataFrame) -> DataFrame:
-    return spans.agg(
-        count_star().alias("spans"),
-        F.countDistinct("TraceId").alias("traces"),
-        F.countDistinct("TraceId", "SpanId").alias("distinct_spans"),
-    )
+    """Spans, traces and distinct spans: by span, then by trace, then summed, so that no
+    row is copied for the two distinct counts."""
+    by_span = spans.groupBy("TraceId", "SpanId").agg(count_star().alias("n"))
+    by_trace = by_span.groupBy("TraceId").agg(F.sum("n").alias("n"), count_star().alias("m"))
+    return by_trace.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("spans"), count_star().alias("traces"),
+                        F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("distinct_spans"))
 
 
 def distinct_ids_approx(spans: DataFrame, rsd: float = 0.01) -> DataFrame:
@@ -140,15 +141,13 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_co
     group without gathering a group in one task.
 
     Ranks within each group come from the range-partitioned ordered scan; the
-    group counts (one row per group, broadcast after a size check) give each
+    group counts (one row per group) give each
     quantile's two neighbouring ranks, and only those rows are aggregated.
     """
     from ..plans.scan import group_scan
-    from ..plans.strategies import broadcast_if_small
-
     counts = df.groupBy(*group_cols).agg(count_star().alias("_n"))
     ranked = group_scan(df.select(*group_cols, value_col, tie_col), group_cols, [value_col, tie_col], value_col)
-    ranked = ranked.join(broadcast_if_small(counts, 1_000_000), group_cols)
+    ranked = ranked.join(counts, group_cols)
     pos = {q: (F.col("_n") - 1) * F.lit(q) for q in qs}  # 0-based positions
     lo = {q: F.floor(p) + 1 for q, p in pos.items()}
     hi = {q: F.ceil(p) + 1 for q, p in pos.items()}
@@ -167,39 +166,24 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, tie_co
         .alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
 
 
-# Largest group for which Spark's exact ``percentile`` (a value map per group,
-# merged in one task) is used; beyond it the ordered scan takes over.
-PERCENTILE_GROUP_LIMIT = 2_000_000
-
-
-def latency_by_operation(spans: DataFrame, method: str = "auto", accuracy: int = 10000) -> DataFrame:
+def latency_by_operation(spans: DataFrame, method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """Mean, min, max and p50/p90/p95/p99 of Duration by (service, span name).
 
-    ``auto`` (default) checks the largest group first: up to
-    ``PERCENTILE_GROUP_LIMIT`` rows it uses Spark's exact ``percentile``,
-    above it the skew-safe ordered scan (``scan``). Both give the exact
-    linear-interpolated quantiles (= quantile_cont). ``approx`` uses the
-    bounded ``percentile_approx`` sketch.
+    ``exact`` gives the linear-interpolated quantiles (= quantile_cont) from the
+    skew-safe ordered scan; ``approx`` uses the bounded ``percentile_approx`` sketch.
     """
     keys = ["ServiceName", "SpanName"]
-    base = spans.groupBy(*keys).agg(
-        count_star().alias("n"), _r(F.avg("Duration"), 3).alias("mean_ns"),
-        F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns"))
     names = [f"p{int(q * 100)}_ns" for q in QUANTILES]
-    if method == "auto":
-        largest = base.agg(F.max("n")).first()[0] or 0
-        method = "exact" if largest <= PERCENTILE_GROUP_LIMIT else "scan"
-    if method == "scan":
-        q = exact_quantiles(spans, keys, "Duration", "SpanId")
-        q = q.select(*keys, *[_r(F.col(f"p{int(x * 100)}"), 3).alias(n) for x, n in zip(QUANTILES, names)])
-        return base.join(q, keys).select(*keys, "n", "mean_ns", "min_ns", "max_ns", *names)
-    col = F.col("Duration").cast("double")
-    pct = F.percentile(col, QUANTILES) if method == "exact" else F.percentile_approx(col, QUANTILES, accuracy)
-    out = spans.groupBy(*keys).agg(
-        count_star().alias("n"), _r(F.avg("Duration"), 3).alias("mean_ns"),
-        F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns"), pct.alias("_q"))
-    return out.select(*keys, "n", "mean_ns", "min_ns", "max_ns",
-                      *[_r(F.col("_q")[i], 3).alias(n) for i, n in enumerate(names)])
+    aggs = [count_star().alias("n"), _r(F.avg("Duration"), 3).alias("mean_ns"),
+            F.min("Duration").alias("min_ns"), F.max("Duration").alias("max_ns")]
+    if method == "approx":
+        out = spans.groupBy(*keys).agg(
+            *aggs, F.percentile_approx(F.col("Duration").cast("double"), QUANTILES, accuracy).alias("_q"))
+        return out.select(*keys, "n", "mean_ns", "min_ns", "max_ns",
+                          *[_r(F.col("_q")[i], 3).alias(n) for i, n in enumerate(names)])
+    q = exact_quantiles(spans, keys, "Duration", "SpanId")
+    q = q.select(*keys, *[_r(F.col(f"p{int(x * 100)}"), 3).alias(n) for x, n in zip(QUANTILES, names)])
+    return spans.groupBy(*keys).agg(*aggs).join(q, keys).select(*keys, "n", "mean_ns", "min_ns", "max_ns", *names)
 
 
 def op_family(spans: DataFrame) -> DataFrame:

@@ -5,22 +5,22 @@ per span, so hash partitioning spreads even a huge trace over all tasks; a
 parent with very many children is a skewed key on the child side only,
 which AQE's skew-join splitting handles (enabled in ``session.configure``).
 
-Tree walks (depth, pre-order path, critical path) go level by level: each
-level is one join of the frontier against the child edges (partitioned once
-on the join key and cached for the walk); the finished walk is written as a
-Parquet table into the shared checkpoint folder, so later plans start from it.
+Tree walks (depth, pre-order rank, critical path) follow pointers by doubling:
+each round joins every open pointer with its target's own pointer, so a tree of
+any depth takes a logarithmic number of joins. Every round is written as a
+Parquet table into the shared checkpoint folder, which keeps plans short. Spans
+under a missing parent or in a cycle of parents end without a root; they are
+left out of the walks and returned by ``unreached_spans``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.strategies import broadcast_bounded, cut_lineage
+from ..plans.strategies import cut_lineage
 from .verify import count_star
 
-MAX_LEVELS = 64  # reference trees stop at 7 levels; deeper input is still walked up to this cap
-
 
 def end_ns():
     return F.col("StartUnixNano") + F.col("Duration")
@@ -102,9 +102,9 @@ def containment_violations(spans: DataFrame) -> DataFrame:
                       F.col("p_StartUnixNano").alias("parent_start_ns"), p_end.alias("parent_end_ns"))
 
 
-def dag_violations(spans: DataFrame, services: DataFrame, max_services: int) -> DataFrame:
+def dag_violations(spans: DataFrame, services: DataFrame) -> DataFrame:
     """Edges whose callee index is not strictly above the caller's (a cycle risk)."""
-    idx = broadcast_bounded(services.select(F.col("name"), F.col("service_idx")), max_services)
+    idx = services.select(F.col("name"), F.col("service_idx"))
     e = service_edges(spans)
     e = (e.join(idx.withColumnRenamed("name", "caller").withColumnRenamed("service_idx", "caller_idx"), "caller", "left")
          .join(idx.withColumnRenamed("name", "callee").withColumnRenamed("service_idx", "callee_idx"), "callee", "left"))
@@ -115,74 +115,109 @@ def dag_violations(spans: DataFrame, services: DataFrame, max_services: int) ->
 # --------------------------------------------------------------------------
 # tree walks
 # --------------------------------------------------------------------------
-def _path_step() -> F.Column:
-    return F.concat(F.lpad(F.col("StartUnixNano").cast("string"), 20, "0"), F.col("SpanId"))
+def unique_spans(spans: DataFrame, *cols: str) -> DataFrame:
+    """One row per (TraceId, SpanId): of retried copies the smallest by ``cols``."""
+    return spans.groupBy("TraceId", "SpanId").agg(F.min(F.struct(*cols)).alias("_s")).select("TraceId", "SpanId", "_s.*")
+
+
+def _largest_trace(nodes: DataFrame) -> int:
+    return nodes.groupBy("TraceId").count().agg(F.max("count")).first()[0] or 0
 
 
-def span_tree(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """(TraceId, SpanId, depth, path) for every span reachable from a root.
+def follow_pointers(nodes: DataFrame, sizes: bool = False) -> DataFrame:
+    """Follow each node's pointer to the end of its chain.
 
-    ``path`` concatenates (zero-padded start, SpanId) from the root down, so
-    sorting by it is pre-order with siblings in start order. Spans under a
-    missing parent are not reached (see ``orphans``).
+    ``nodes``: unique (TraceId, SpanId), ``up`` (SpanId of the next node, null at
+    an end) and ``w`` (bigint). Returns (TraceId, SpanId, end, total, n): the
+    chain's last node, the sum of ``w`` and the number of nodes on it. Chains that
+    lead to a missing node or into a cycle are left out. With ``sizes``, also
+    ``size``: the number of nodes whose chains pass through this one, itself included.
 
-    Each level is one join of the frontier with the child edges (which are
-    hash-partitioned on the join key once and kept for the walk), kept in
-    memory/disk while the walk runs; the finished tree is written once as a
-    Parquet table in the shared checkpoint folder, which cuts the lineage,
-    and the per-level caches are released.
+    Pointer doubling: before round k an open pointer spans 2^k nodes. A chain is at
+    most as long as its trace has nodes, which bounds the rounds; what is
+    still open then is in a cycle. Finished rows are not written again.
     """
-    from pyspark import StorageLevel
-
-    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = (spans.filter(F.col("ParentSpanId") != "")
-             .select("TraceId", "ParentSpanId", "SpanId", _path_step().alias("step"))
-             .repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK))
-    level = spans.filter(F.col("ParentSpanId") == "").select(
-        "TraceId", "SpanId", F.lit(1).alias("depth"), _path_step().alias("path")).persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [edges, level]
-    try:
-        levels = [level]
-        for depth in range(2, max_levels + 1):
-            frontier = level.select("TraceId", F.col("SpanId").alias("ParentSpanId"), F.col("path").alias("ppath"))
-            level = edges.join(frontier, ["TraceId", "ParentSpanId"]).select(
-                "TraceId", "SpanId", F.lit(depth).alias("depth"),
-                F.concat_ws("/", "ppath", "step").alias("path")).persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(level)
-            if level.isEmpty():
-                break
-            levels.append(level)
-        out = levels[0]
-        for lv in levels[1:]:
-            out = out.unionByName(lv)
-        return cut_lineage(out, "span-tree")
-    finally:
-        for c in cached:
-            c.unpersist()
-
-
-def trace_depth(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Max depth and reached spans per trace (root = depth 1)."""
-    tree = span_tree(spans, max_levels)
-    return tree.groupBy("TraceId").agg(F.max("depth").alias("max_depth"), count_star().alias("spans_reached"))
-
-
-def preorder_cap(spans: DataFrame, budget: F.Column | None = None, salts: int = 64,
-                 max_levels: int = MAX_LEVELS) -> DataFrame:
+    first = cut_lineage(nodes.select("TraceId", "SpanId", "up", F.col("w").cast("bigint").alias("total"),
+                                     F.lit(1).cast("bigint").alias("n"),
+                                     F.when(F.col("up").isNull(), F.col("SpanId")).alias("end")), "walk-0")
+    rounds, known, now = max(1, _largest_trace(first)).bit_length(), first.limit(0), first
+    size = first.select("TraceId", "SpanId", F.lit(1).cast("bigint").alias("size")) if sizes else None
+    for k in range(rounds):
+        step = now.filter("up IS NOT NULL")
+        if step.isEmpty():
+            break
+        if sizes:  # a node's nodes within 2^k, and those of the nodes 2^k below it
+            below = (step.join(size, ["TraceId", "SpanId"]).groupBy("TraceId", F.col("up").alias("SpanId"))
+                     .agg(F.sum("size").alias("more")))
+            size = cut_lineage(size.join(below, ["TraceId", "SpanId"], "left").select(
+                "TraceId", "SpanId", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+        known = known.unionByName(now.filter("up IS NULL"))
+        target = known.unionByName(step).select(
+            "TraceId", F.col("SpanId").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"),
+            F.col("n").alias("_n"), F.col("end").alias("_end"))
+        # an inner join: a pointer to a missing node leaves the walk
+        now = cut_lineage(step.join(target, ["TraceId", "up"]).select(
+            "TraceId", "SpanId", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+            (F.col("n") + F.col("_n")).alias("n"), F.col("_end").alias("end")), f"walk-{k + 1}")
+    done = known.unionByName(now.filter("up IS NULL")).filter("end IS NOT NULL").select(
+        "TraceId", "SpanId", "end", "total", "n")
+    return done.join(size, ["TraceId", "SpanId"]) if sizes else done
+
+
+def _tree_nodes(spans: DataFrame) -> DataFrame:
+    return unique_spans(spans, "ParentSpanId", "StartUnixNano")
+
+
+def _up(parent: str = "ParentSpanId"):
+    return F.when(F.col(parent) != "", F.col(parent))
+
+
+def span_depths(spans: DataFrame) -> DataFrame:
+    """(TraceId, SpanId, depth) of every span under a root (root = depth 1)."""
+    nodes = _tree_nodes(spans).select("TraceId", "SpanId", _up().alias("up"), F.lit(1).alias("w"))
+    return follow_pointers(nodes).select("TraceId", "SpanId", F.col("n").cast("int").alias("depth"))
+
+
+def trace_depth(spans: DataFrame) -> DataFrame:
+    """Max depth and reached spans per trace."""
+    return span_depths(spans).groupBy("TraceId").agg(
+        F.max("depth").alias("max_depth"), count_star().alias("spans_reached"))
+
+
+def unreached_spans(spans: DataFrame) -> DataFrame:
+    """Spans that no root leads to: their chain of parents ends in a missing span or
+    is a cycle."""
+    return (spans.select("TraceId", "SpanId").distinct()
+            .join(span_depths(spans), ["TraceId", "SpanId"], "left_anti"))
+
+
+def preorder_ranks(spans: DataFrame) -> DataFrame:
+    """(TraceId, SpanId, preorder_rank): the place of every reached span in its trace's
+    depth-first order, siblings (and roots) by start, then SpanId.
+
+    A span comes one place after its parent, plus the sizes of its earlier siblings'
+    subtrees; the rank is the sum of these offsets up to the root. No path strings,
+    no window over a trace: a trace with millions of spans is spread over all tasks.
+    """
+    from ..plans.scan import group_scan
+
+    nodes = cut_lineage(_tree_nodes(spans), "tree-nodes")
+    sizes = follow_pointers(nodes.select("TraceId", "SpanId", _up().alias("up"), F.lit(1).alias("w")), sizes=True)
+    sized = nodes.join(sizes.select("TraceId", "SpanId", "size"), ["TraceId", "SpanId"])
+    placed = group_scan(sized, ["TraceId", "ParentSpanId"], ["StartUnixNano", "SpanId"], "size")
+    ranked = follow_pointers(placed.select("TraceId", "SpanId", _up().alias("up"), (F.col("prev_sum") + 1).alias("w")))
+    return ranked.select("TraceId", "SpanId", F.col("total").alias("preorder_rank"))
+
+
+def preorder_cap(spans: DataFrame, budget: F.Column | None = None) -> DataFrame:
     """Keep the first ``budget`` spans of every trace in depth-first order.
 
     ``budget`` is a column over TraceId (default: 5 + a 0..15 draw from the
-    TraceId, the 5-20 span budget). Ranking is a salted two-phase top-k, so a
-    trace with millions of spans is ranked across many tasks.
-    """
-    from ..plans.strategies import salted_top_k
-
+    TraceId, the 5-20 span budget)."""
     if budget is None:
         budget = F.lit(5) + F.pmod(F.conv(F.substring("TraceId", 9, 4), 16, 10).cast("int"), F.lit(16))
-    tree = span_tree(spans, max_levels).withColumn("budget", budget)
-    kept = salted_top_k(tree, ["TraceId"], [F.col("path")], F.col("budget"),
-                        salt_col=F.pmod(F.xxhash64("SpanId"), F.lit(salts)), rank_name="preorder_rank")
-    return kept.select("TraceId", "SpanId", "preorder_rank")
+    return preorder_ranks(spans).filter(F.col("preorder_rank") <= budget).select(
+        "TraceId", "SpanId", F.col("preorder_rank").cast("int").alias("preorder_rank"))
 
 
 def self_time(spans: DataFrame) -> DataFrame:
@@ -190,16 +225,12 @@ def self_time(spans: DataFrame) -> DataFrame:
     the span).
 
     Children sorted by start: a child adds ``e - max(s, M)`` new coverage,
-    where M is the largest end among the children before it. M is a running
-    maximum within a parent, computed by ``plans.scan.group_scan``: a plain
-    window when the largest fan-out (one two-column count) is bounded, else a
-    range-partitioned scan, so a parent with millions of children is spread
-    over many tasks instead of one window partition.
+    where M is the largest end among the children before it, a running maximum
+    within a parent from the range-partitioned ``plans.scan.group_scan``: a parent
+    with millions of children is spread over many tasks.
     """
-    from ..plans.scan import group_scan, max_group_rows
+    from ..plans.scan import group_scan
 
-    fanout = max_group_rows(spans.filter(F.col("ParentSpanId") != "").select("TraceId", "ParentSpanId"),
-                            ["TraceId", "ParentSpanId"])
     j = join_parent_child(spans)
     p_end = F.col("p_StartUnixNano") + F.col("p_Duration")
     iv = j.select(
@@ -207,47 +238,26 @@ def self_time(spans: DataFrame) -> DataFrame:
         F.greatest("c_StartUnixNano", "p_StartUnixNano").alias("s"),
         F.least(F.col("c_StartUnixNano") + F.col("c_Duration"), p_end).alias("e"),
     ).filter(F.col("e") > F.col("s"))
-    scanned = group_scan(iv, ["TraceId", "SpanId"], ["s", "e", "child"], "e", max_group=fanout)
+    scanned = group_scan(iv, ["TraceId", "SpanId"], ["s", "e", "child"], "e")
     new_cov = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.col("prev_max"), F.col("s"))))
     covered = scanned.groupBy("TraceId", "SpanId").agg(F.sum(new_cov).alias("child_ns"))
     return (spans.select("TraceId", "SpanId", "Duration").join(covered, ["TraceId", "SpanId"], "left")
             .select("TraceId", "SpanId", (F.col("Duration") - F.coalesce(F.col("child_ns"), F.lit(0))).alias("self_ns")))
 
 
-def critical_path(spans: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def critical_path(spans: DataFrame) -> DataFrame:
     """Per trace, the chain of latest-ending children from the root: length,
     leaf span and leaf name. The 'last child' of every span is one
-    aggregation (max_by on (end, SpanId)), so the walk joins one row per step;
-    path ends are the visited spans without a last child (one anti-join at
-    the end). Steps are cached while walking and the result is written once
-    to the shared checkpoint folder."""
-    from pyspark import StorageLevel
-
-    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last = (spans.filter(F.col("ParentSpanId") != "")
-            .groupBy("TraceId", "ParentSpanId")
-            .agg(F.max_by(F.struct("SpanId", "SpanName"), F.struct(end_ns(), F.col("SpanId"))).alias("nxt"))
-            .select("TraceId", "ParentSpanId", F.col("nxt.SpanId").alias("SpanId"), F.col("nxt.SpanName").alias("SpanName"))
-            .repartition(n, "TraceId", "ParentSpanId").persist(StorageLevel.MEMORY_AND_DISK))
-    cur = spans.filter(F.col("ParentSpanId") == "").select(
-        "TraceId", "SpanId", "SpanName", F.lit(1).alias("len")).persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [last, cur]
-    try:
-        visited = [cur]
-        for step in range(2, max_levels + 1):
-            cur = cur.select("TraceId", F.col("SpanId").alias("ParentSpanId")).join(last, ["TraceId", "ParentSpanId"]).select(
-                "TraceId", "SpanId", "SpanName", F.lit(step).alias("len")).persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(cur)
-            if cur.isEmpty():
-                break
-            visited.append(cur)
-        out = visited[0]
-        for v in visited[1:]:
-            out = out.unionByName(v)
-        ends = out.join(last.select("TraceId", F.col("ParentSpanId").alias("SpanId")), ["TraceId", "SpanId"], "left_anti")
-        res = ends.select("TraceId", F.col("len").alias("cp_spans"), F.col("SpanId").alias("cp_leaf_span_id"),
-                          F.col("SpanName").alias("cp_leaf_name"))
-        return cut_lineage(res, "critical-path")
-    finally:
-        for c in cached:
-            c.unpersist()
+    aggregation (max_by on (end, SpanId)); only roots and last children can lie on a
+    chain, and the pointers to last children are followed by doubling."""
+    nodes = cut_lineage(unique_spans(spans, "ParentSpanId", "StartUnixNano", "Duration", "SpanName"), "path-nodes")
+    last = (nodes.filter(F.col("ParentSpanId") != "").groupBy("TraceId", F.col("ParentSpanId").alias("SpanId"))
+            .agg(F.max_by("SpanId", F.struct(end_ns(), F.col("SpanId"))).alias("up")))
+    on_path = last.select("TraceId", F.col("up").alias("SpanId")).union(
+        nodes.filter(F.col("ParentSpanId") == "").select("TraceId", "SpanId"))
+    chains = follow_pointers(on_path.join(last, ["TraceId", "SpanId"], "left").withColumn("w", F.lit(1)))
+    roots = nodes.filter(F.col("ParentSpanId") == "").select("TraceId", "SpanId")
+    leaves = nodes.select("TraceId", F.col("SpanId").alias("cp_leaf_span_id"), F.col("SpanName").alias("cp_leaf_name"))
+    return (chains.join(roots, ["TraceId", "SpanId"]).select(
+        "TraceId", F.col("n").cast("int").alias("cp_spans"), F.col("end").alias("cp_leaf_span_id"))
+        .join(leaves, ["TraceId", "cp_leaf_span_id"]).select("TraceId", "cp_spans", "cp_leaf_span_id", "cp_leaf_name"))

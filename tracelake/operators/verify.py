@@ -50,9 +50,9 @@ def kind_status_mix(spans: DataFrame) -> DataFrame:
 def recent(spans: DataFrame, minutes: int = 5, now: Column | None = None) -> DataFrame:
     """Spans with ``Timestamp > now - minutes``; ``now`` defaults to the
     table's latest Timestamp (a scalar subquery, so runs are repeatable)."""
-    if now is None:
-        now = spans.select(F.max("Timestamp")).scalar()
-    return spans.filter(F.col("Timestamp") > now - F.make_dt_interval(mins=F.lit(minutes)))
+    from .filters import filter_recent
+
+    return filter_recent(spans, minutes, now)
 
 
 def ingest_rate_minute(spans: DataFrame, minutes: int | None = 5, now: Column | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ Writers range-partition on the clustering key before ``partitionBy``: each
 task then covers a contiguous key range (few output directories per task,
 sorted row groups with selective min/max), and a day or shard holding a
 third of all rows is still split over many tasks. ``maxRecordsPerFile``
-bounds file size. Directory-level operations (retention, compaction) act on
+bounds file size. The range bounds come from a sample of the key columns alone
+(column pruning reaches the scan), so the input is not cached. Directory-level operations (retention, compaction) act on
 whole partitions, like part-level TTL drops.
 """
 
@@ -21,8 +22,10 @@ from ..operators.encode import encode_json_layout
 MAX_RECORDS_PER_FILE = 2_000_000
 
 
-def _n_tasks(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _by_range(df: DataFrame, n: int | None, *cols: str) -> DataFrame:
+    """Dealt into ranges: ``n`` of them, or as many as the input's size asks for (adaptive
+    execution merges small neighbours)."""
+    return df.repartitionByRange(n, *cols) if n else df.repartitionByRange(*cols)
 
 
 def bloom_options(columns: dict[str, tuple[float, int]]) -> dict[str, str]:
@@ -39,19 +42,6 @@ def bloom_options(columns: dict[str, tuple[float, int]]) -> dict[str, str]:
 DEFAULT_BLOOM = {"TraceId": (0.001, 1_000_000), "SpanName": (0.01, 10_000)}
 
 
-def _range_write(df: DataFrame, write) -> None:
-    """Run ``write(df)`` over a persisted input: range partitioning samples
-    its input in a separate pass, which would otherwise recompute the whole
-    upstream plan (spill-backed, released after the write)."""
-    from pyspark import StorageLevel
-
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write(cached)
-    finally:
-        cached.unpersist()
-
-
 def _writer(df: DataFrame, mode: str, bloom: dict | None, max_records: int):
     w = df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", max_records)
     for k, v in bloom_options(bloom or {}).items():
@@ -59,31 +49,24 @@ def _writer(df: DataFrame, mode: str, bloom: dict | None, max_records: int):
     return w
 
 
-def partition_key(granularity: str | None) -> F.Column | None:
-    """Partition column for a granularity: 'day' (the table default), 'month'
-    for sparse data spread over years, or None (no directory partitioning)."""
-    if granularity == "day":
-        return F.to_date("Timestamp")
-    if granularity == "month":
-        return F.to_date(F.date_trunc("month", "Timestamp"))
-    return None
+def partition_keys(granularity: str | None) -> dict[str, F.Column]:
+    """Partition columns of a granularity. Their names tell readers what a directory covers:
+    ``dt`` a day (the table default), ``dt`` and ``hour`` an hour, ``month`` (its first
+    day) a month, for sparse data spread over years; None: no directories."""
+    day = F.to_date("Timestamp")
+    return {None: {}, "day": {"dt": day}, "hour": {"dt": day, "hour": F.hour("Timestamp")},
+            "month": {"month": F.to_date(F.date_trunc("month", "Timestamp"))}}[granularity]
 
 
 def write_spans_map(spans: DataFrame, path: str, n_tasks: int | None = None, bloom: dict | None = None,
                     mode: str = "overwrite", max_records: int = MAX_RECORDS_PER_FILE,
                     granularity: str | None = "day") -> str:
     """Daily partitions (``dt``), clustered by (ServiceName, SpanName, Timestamp)."""
-    n = _n_tasks(spans, n_tasks)
-    key = partition_key(granularity)
-    parts = [] if key is None else ["dt"]
-
-    def write(src: DataFrame) -> None:
-        src = src if key is None else src.withColumn("dt", key)
-        out = (src.repartitionByRange(n, *parts, "ServiceName", "SpanName", "Timestamp")
-               .sortWithinPartitions(*parts, "ServiceName", "SpanName", "Timestamp"))
-        _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*parts).parquet(path)
-
-    _range_write(spans, write)
+    keys = partition_keys(granularity)
+    src = spans.withColumns(keys) if keys else spans
+    order = [*keys, "ServiceName", "SpanName", "Timestamp"]
+    out = _by_range(src, n_tasks, *order).sortWithinPartitions(*order)
+    _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*keys).parquet(path)
     return path
 
 
@@ -92,17 +75,9 @@ def write_spans_json(spans: DataFrame, path: str, n_tasks: int | None = None, gr
                      max_records: int = MAX_RECORDS_PER_FILE) -> str:
     """JSON layout (VARIANT attributes) partitioned by day and hour (or day
     only), ordered by Timestamp."""
-    n = _n_tasks(spans, n_tasks)
-    parts = ["dt"] + (["hour"] if granularity == "hour" else [])
-
-    def write(src: DataFrame) -> None:
-        j = encode_json_layout(src).withColumn("dt", F.to_date("Timestamp"))
-        if granularity == "hour":
-            j = j.withColumn("hour", F.hour("Timestamp"))
-        out = j.repartitionByRange(n, "Timestamp").sortWithinPartitions("Timestamp")
-        _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*parts).parquet(path)
-
-    _range_write(spans, write)
+    keys = partition_keys(granularity)
+    out = _by_range(encode_json_layout(spans).withColumns(keys), n_tasks, "Timestamp").sortWithinPartitions("Timestamp")
+    _writer(out, mode, DEFAULT_BLOOM if bloom is None else bloom, max_records).partitionBy(*keys).parquet(path)
     return path
 
 
@@ -112,17 +87,14 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sharded_hash(spans: DataFrame, n_shards: int, path: str, method: str = "xxhash64",
-                       n_tasks: int | None = None, mode: str = "overwrite") -> str:
-    """Shard by a hash of TraceId: balanced shards, every trace on one shard."""
-    n = _n_tasks(spans, n_tasks)
-
-    def write(src: DataFrame) -> None:
-        out = (src.withColumn("shard", shard_of("TraceId", n_shards, method))
-               .repartitionByRange(n, "shard", "TraceId", "SpanId")
-               .sortWithinPartitions("shard", "TraceId"))
-        _writer(out, mode, {"TraceId": (0.001, 1_000_000)}, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
-
-    _range_write(spans, write)
+                       n_tasks: int | None = None, mode: str = "overwrite", granularity: str | None = None) -> str:
+    """Shard by a hash of TraceId: balanced shards, every trace on one shard. With a
+    ``granularity`` each shard is partitioned by time, too."""
+    keys = partition_keys(granularity)
+    src = spans.withColumns({"shard": shard_of("TraceId", n_shards, method), **keys})
+    out = (_by_range(src, n_tasks, "shard", *keys, "TraceId", "SpanId")
+           .sortWithinPartitions("shard", *keys, "TraceId"))
+    _writer(out, mode, {"TraceId": (0.001, 1_000_000)}, MAX_RECORDS_PER_FILE).partitionBy("shard", *keys).parquet(path)
     return path
 
 
@@ -134,13 +106,9 @@ def write_sharded_rr(spans: DataFrame, n_shards: int, replica: int, batch_size:
 
     b = assign_batches(spans, batch_size, slices).select("TraceId", "slice", "batch_no")
     shard = F.pmod(F.lit(replica % n_shards + 1) + F.col("slice") + F.col("batch_no"), F.lit(n_shards)).cast("int")
-    n = _n_tasks(spans, n_tasks)
-
-    def write(src: DataFrame) -> None:
-        out = src.repartitionByRange(n, "shard", "TraceId", "SpanId")
-        _writer(out, mode, None, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
-
-    _range_write(spans.join(b, "TraceId").withColumn("shard", shard).drop("slice", "batch_no"), write)
+    src = spans.join(b, "TraceId").withColumn("shard", shard).drop("slice", "batch_no")
+    out = _by_range(src, n_tasks, "shard", "TraceId", "SpanId")
+    _writer(out, mode, None, MAX_RECORDS_PER_FILE).partitionBy("shard").parquet(path)
     return path
 
 
@@ -156,15 +124,11 @@ def read_shard(spark: SparkSession, base: str, shard: int) -> DataFrame:
 
 def write_both_layouts(spans: DataFrame, map_path: str, json_path: str, n_tasks: int | None = None,
                        json_granularity: str = "hour") -> tuple[str, str]:
-    """The same spans to both targets; the input is computed once (persisted)."""
-    from pyspark import StorageLevel
-
-    cached = spans.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_spans_map(cached, map_path, n_tasks)
-        write_spans_json(cached, json_path, n_tasks, granularity=json_granularity)
-    finally:
-        cached.unpersist()
+    """The same spans to both targets: the JSON table is made from the map table just
+    written, so the input is computed once and both hold the same rows."""
+    write_spans_map(spans, map_path, n_tasks)
+    write_spans_json(read_spans(spans.sparkSession, map_path).select(*spans.columns), json_path, n_tasks,
+                     granularity=json_granularity)
     return map_path, json_path
 
 
@@ -192,13 +156,16 @@ def _partition_dirs(spark: SparkSession, path: str, depth: int):
 
 
 def _partition_end(p) -> dt.datetime | None:
-    """End of a dt=YYYY-MM-DD[/hour=H] partition directory."""
+    """End of a dt=YYYY-MM-DD[/hour=H] or month=YYYY-MM-01 partition directory."""
     parts = {}
     node = p
     while node is not None and "=" in node.getName():
         k, v = node.getName().split("=", 1)
         parts[k] = v
         node = node.getParent()
+    if "month" in parts:
+        first = dt.datetime.strptime(parts["month"], "%Y-%m-%d")
+        return (first.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
     if "dt" not in parts:
         return None
     day = dt.datetime.strptime(parts["dt"], "%Y-%m-%d")
@@ -224,21 +191,19 @@ def retention_drop(spark: SparkSession, path: str, ttl: dt.timedelta, now: dt.da
 
 
 def compact_partitions(spark: SparkSession, path: str, out_path: str, target_rows: int = 1_000_000,
-                       partition_col: str = "dt") -> str:
-    """Rewrite a partitioned table with about ``target_rows`` rows per file.
+                       sort_cols: tuple[str, ...] = ("ServiceName", "SpanName", "Timestamp"),
+                       bloom: dict | None = None) -> str:
+    """Rewrite a partitioned table with at most ``target_rows`` rows per file.
 
-    Files per partition come from a per-partition count (one row per
-    partition; broadcast only after a bounded size check), and rows are hash-spread over that many
-    files, so a huge partition becomes many files written by many tasks.
-    """
+    The partition columns (``dt``, ``hour``, ``month``, ``shard``), the clustering order and
+    the Bloom filters are kept. Ranges over (partition, order) spread a huge partition over many
+    tasks. Raises if the copy's row count differs."""
     df = spark.read.parquet(path)
-    counts = df.groupBy(partition_col).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(target_rows))).cast("int").alias("_files"))
-    from .strategies import broadcast_if_small
-
-    keyed = df.join(broadcast_if_small(counts, 100_000), partition_col).withColumn(
-        "_file", F.pmod(F.xxhash64(*[c for c in df.columns if c != partition_col and not c.startswith("_")][:3]),
-                        F.col("_files")))
-    out = keyed.repartition(partition_col, "_file").drop("_files", "_file")
-    out.write.mode("overwrite").option("compression", "zstd").partitionBy(partition_col).parquet(out_path)
+    parts = [c for c in ("shard", "dt", "hour", "month") if c in df.columns]
+    order = [*parts, *(c for c in sort_cols if c in df.columns)]
+    out = _by_range(df, None, *order).sortWithinPartitions(*order)
+    _writer(out, "overwrite", DEFAULT_BLOOM if bloom is None else bloom, target_rows).partitionBy(*parts).parquet(out_path)
+    before, after = df.count(), spark.read.parquet(out_path).count()
+    if before != after:
+        raise RuntimeError(f"{out_path} has {after} rows, {path} has {before}")
     return out_path

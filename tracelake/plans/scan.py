@@ -1,166 +1,62 @@
 """Exact ordered scans within groups that survive a hot group.
 
 A window ``PARTITION BY g ORDER BY o`` puts every row of group ``g`` into one
-task. ``group_scan`` computes the same running values — the row number, the
-previous row's value, the running maximum and sum of the earlier rows — over a
-*range* partitioning of (g, o) instead, so a group holding a third of all
-rows is cut into many contiguous slices processed by many tasks:
-
-1. ``repartitionByRange(g, o)`` + sort: every task holds a contiguous run of
-   the global (g, o) order.
-2. One sequential pass per task (pandas over Arrow batches) computes the
-   local running values and marks the rows of the task's first and last
-   group (the only groups that can continue in a neighbouring task).
-3. Those edge groups are summarised (<= 2 rows per task); a window over this
-   summary gives each edge group's carry-in from the preceding tasks. The
-   carry table is bounded by twice the number of partitions, so it is
-   broadcast; rows combine local values with their carry.
+task. ``group_scan`` computes the same running values (row number, previous row's
+value, running maximum and sum of the earlier rows) over a *range* partitioning of
+(g, o) instead, so a group holding a third of all rows is cut into many
+contiguous slices:
+
+1. ``repartitionByRange(g, o)`` + sort, written to the shared folder: slice s holds a
+   contiguous run of the global (g, o) order.
+2. Windows over (slice, g) give the running values within the slice.
+3. Only a slice's first group can have begun in an earlier slice. Its carry-in
+   comes from the first and last groups of the slices before: at most two rows per slice,
+   whatever the number of rows. That table is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-def _local_pass(group_cols: list[str], value_col: str):
-    """Per-task sequential pass over rows sorted by (group, order)."""
-
-    def key_at(pdf: pd.DataFrame, i: int) -> tuple:
-        return tuple(pdf[c].iloc[i] for c in group_cols)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key, carry_rank, carry_last, carry_max, carry_sum = None, 0, None, None, 0
-        first_key = None
-        pending = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            change = pd.Series(False, index=pdf.index)
-            for c in group_cols:
-                change |= pdf[c].ne(pdf[c].shift())
-            change.iloc[0] = True
-            gid = change.cumsum() - 1
-            v = pdf[value_col].astype("Int64")
-            rank = gid.groupby(gid).cumcount() + 1
-            prev = v.groupby(gid).shift(1)
-            prev_max = v.groupby(gid).cummax().groupby(gid).shift(1)
-            prev_sum = v.groupby(gid).cumsum() - v
-            head = gid == 0
-            k0 = key_at(pdf, 0)
-            if carry_key is not None and k0 == carry_key:
-                rank = rank.where(~head, rank + carry_rank)
-                prev = prev.where(~head | prev.notna(), carry_last)
-                cm = pd.Series(carry_max, index=pdf.index, dtype="Int64")
-                prev_max = prev_max.where(~head, pd.concat([prev_max, cm], axis=1).max(axis=1))
-                prev_sum = prev_sum.where(~head, prev_sum + carry_sum)
-            if first_key is None:
-                first_key = k0
-            last_gid = int(gid.iloc[-1])
-            last = gid == last_gid
-            k1 = key_at(pdf, len(pdf) - 1)
-            last_max = int(v[last].max())
-            last_sum = int(v[last].sum())
-            if carry_key is not None and k1 == carry_key and last_gid == 0:
-                carry_rank += int(last.sum())
-                carry_max = max(carry_max, last_max)
-                carry_sum += last_sum
-            else:
-                carry_rank = int(last.sum())
-                carry_max = last_max
-                carry_sum = last_sum
-            carry_key = k1
-            carry_last = int(v.iloc[-1])
-            out = pdf
-            out["_pid"] = pid
-            out["_l_rank"] = rank.astype("int64")
-            out["_l_prev"] = prev.astype("Int64")
-            out["_l_prev_max"] = prev_max.astype("Int64")
-            out["_l_prev_sum"] = prev_sum.astype("int64")
-            pending.append((out, k0, head, k1, last))
-        # edge rows: the task's first and last group, known only at the end
-        for out, k0, head, k1, last in pending:
-            out["_edge"] = (head & (k0 == first_key)) | (last & (k1 == carry_key))
-            yield out
-
-    return run
-
-
-# Largest group a plain window partition may hold (spillable, but one task).
-WINDOW_GROUP_LIMIT = 1_000_000
-
-
-def window_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str) -> DataFrame:
-    """``group_scan``'s result with ordinary window functions (one task per group)."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return df.select(
-        *df.columns,
-        F.row_number().over(w).cast("bigint").alias("rank"),
-        F.lag(value_col).over(w).cast("bigint").alias("prev_value"),
-        F.max(value_col).over(before).cast("bigint").alias("prev_max"),
-        F.coalesce(F.sum(value_col).over(before), F.lit(0)).cast("bigint").alias("prev_sum"),
-    )
-
-
-def max_group_rows(df: DataFrame, group_cols: list[str]) -> int:
-    """Rows in the largest group (one partial aggregation; used to pick a plan)."""
-    return df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
 
 
 def group_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str,
-               n_partitions: int | None = None, max_group: int | None = None) -> DataFrame:
+               n_partitions: int | None = None) -> DataFrame:
     """Adds ``rank`` (1-based position in the group), ``prev_value`` (the
     previous row's ``value_col``), ``prev_max`` (max ``value_col`` over all
-    earlier rows of the group) and ``prev_sum`` (their sum) — exact, in (group_cols, order_cols) order,
-    which must be a total order within a group. ``value_col`` is an integer
-    column (exact; nanosecond timestamps do not fit a double).
-
-    ``max_group``: the largest group's row count when the caller knows it
-    (from a cheap aggregation); at most ``WINDOW_GROUP_LIMIT`` selects the
-    plain window plan, anything else (or unknown) the range-partitioned scan.
+    earlier rows of the group) and ``prev_sum`` (their sum, null values left out), exact and
+    in (group_cols, order_cols) order, which must be a total order within a group.
+    ``value_col`` is an integer column. Without ``n_partitions`` Spark chooses the slices.
     """
-    if max_group is not None and max_group <= WINDOW_GROUP_LIMIT:
-        return window_scan(df, group_cols, order_cols, value_col)
-    spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *group_cols, *order_cols).sortWithinPartitions(*group_cols, *order_cols)
-    schema = T.StructType(df.schema.fields + [
-        T.StructField("_pid", T.IntegerType()), T.StructField("_l_rank", T.LongType()),
-        T.StructField("_l_prev", T.LongType()), T.StructField("_l_prev_max", T.LongType()),
-        T.StructField("_l_prev_sum", T.LongType()), T.StructField("_edge", T.BooleanType())])
     from .strategies import cut_lineage
 
-    # written once to the shared checkpoint folder: read by the summary and the final join
-    local = cut_lineage(ordered.mapInPandas(_local_pass(group_cols, value_col), schema), "group-scan")
-    # edge groups of every partition: <= 2 summary rows per partition
-    summary = (local.filter("_edge").groupBy("_pid", *group_cols)
-               .agg(F.count(F.lit(1)).alias("_n"), F.max(value_col).cast("bigint").alias("_max"),
-                    F.sum(value_col).cast("bigint").alias("_sum"),
-                    F.max_by(F.col(value_col).cast("bigint"), F.struct(*order_cols)).alias("_last")))
-    w = Window.partitionBy(*group_cols).orderBy("_pid")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        "_pid", *group_cols,
-        F.sum("_n").over(before).alias("_c_rank"),
-        F.max("_max").over(before).alias("_c_max"),
-        F.sum("_sum").over(before).alias("_c_sum"),
-        F.lag("_last").over(w).alias("_c_last"),
+    value = F.col(value_col).cast("bigint")
+    dealt = (df.repartitionByRange(n_partitions, *group_cols, *order_cols) if n_partitions
+             else df.repartitionByRange(*group_cols, *order_cols))
+    local = cut_lineage(dealt.sortWithinPartitions(*group_cols, *order_cols)
+                        .withColumn("_slice", F.spark_partition_id()), "group-scan")
+    key = F.struct(*group_cols)
+    ends = local.groupBy("_slice").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    # first and last group of each slice; groups between them lie within it
+    edges = (local.join(F.broadcast(ends), "_slice").filter((key == F.col("_first")) | (key == F.col("_last")))
+             .groupBy("_slice", *group_cols)
+             .agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_max"), F.sum(value).alias("_sum"),
+                  F.max_by(F.struct(value.alias("v")), F.struct(*order_cols)).alias("_prev")))
+    across = Window.partitionBy(*group_cols).orderBy("_slice")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select(
+        "_slice", *group_cols, F.sum("_n").over(before).alias("_c_rank"), F.max("_max").over(before).alias("_c_max"),
+        F.sum("_sum").over(before).alias("_c_sum"), F.lag("_prev").over(across).alias("_c_prev"),
     ).filter(F.col("_c_rank").isNotNull())
-    carry = F.broadcast(carry)  # bounded: at most 2 rows per partition
-    j = local.join(carry, ["_pid", *group_cols], "left")
-    out = j.select(
+    here = Window.partitionBy("_slice", *group_cols).orderBy(*order_cols)
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = local.select(
+        "*", F.row_number().over(here).cast("bigint").alias("_rank"), F.lag(value).over(here).alias("_value"),
+        F.max(value).over(earlier).alias("_most"), F.sum(value).over(earlier).alias("_total"))
+    zero = F.lit(0).cast("bigint")
+    return scanned.join(F.broadcast(carry), ["_slice", *group_cols], "left").select(
         *df.columns,
-        (F.col("_l_rank") + F.coalesce(F.col("_c_rank"), F.lit(0))).alias("rank"),
-        F.coalesce(F.col("_l_prev"), F.col("_c_last")).alias("prev_value"),
-        F.greatest(F.col("_l_prev_max"), F.col("_c_max")).alias("prev_max"),
-        (F.col("_l_prev_sum") + F.coalesce(F.col("_c_sum"), F.lit(0))).alias("prev_sum"),
-    )
-    return out
+        (F.col("_rank") + F.coalesce("_c_rank", zero)).alias("rank"),
+        F.when(F.col("_rank") > 1, F.col("_value")).otherwise(F.col("_c_prev.v")).alias("prev_value"),
+        F.greatest("_most", "_c_max").alias("prev_max"),
+        (F.coalesce("_total", zero) + F.coalesce("_c_sum", zero)).cast("bigint").alias("prev_sum"))

@@ -9,24 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side we hint for broadcast. A side is broadcast only when its row
-# count is bounded by construction (a dimension sized by a job parameter) or
-# after a bounded runtime check; everything else is left to the planner/AQE.
-BROADCAST_ROW_LIMIT = 2_000_000
+#: Largest side we hint for broadcast, in bytes.
+BROADCAST_BYTES = 16 << 20
 
 
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a side whose row count is <= ``max_rows`` by construction."""
-    if max_rows <= BROADCAST_ROW_LIMIT:
-        return F.broadcast(df)
-    return df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Runtime-checked broadcast: counts at most ``max_rows + 1`` rows of
-    ``df``; beyond the bound the side stays a shuffle (sort-merge) join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_bounded(df: DataFrame, max_rows: int, row_bytes: int = 2_000) -> DataFrame:
+    """Broadcast hint for a side of at most ``max_rows`` rows of at most ``row_bytes``, known by
+    construction (a dimension sized by a job parameter). Beyond the bound the planner chooses."""
+    return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def cut_lineage(df: DataFrame, name: str = "level") -> DataFrame:
@@ -64,19 +54,3 @@ def salted_top_k(df: DataFrame, group_cols: list[str], order_cols: list[Column],
            .drop("_r1", "_salt"))
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return pre.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= k)
-
-
-def ensure_parallel(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A small input stored as one large row group is read by one task; hash
-    repartitioning it on the downstream join/group key puts every core to
-    work and is the partitioning the join needs anyway. Inputs that already
-    arrive in enough splits (the normal case at scale) are left alone, so
-    this adds no shuffle there.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)

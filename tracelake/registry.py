@@ -167,9 +167,14 @@ def q_distinct_ids(spark, sf_dir):
     return profile.distinct_ids(spans_of(spark, sf_dir))
 
 
-@register("distinct_ids_approx")
+@register("distinct_ids_approx", S("SELECT count(*) AS spans, true AS traces_close, true AS spans_close FROM spans"))
 def q_distinct_ids_approx(spark, sf_dir):
-    return profile.distinct_ids_approx(spans_of(spark, sf_dir))
+    """The sketches' estimates against the exact counts: within five standard errors of 1 %."""
+    s = spans_of(spark, sf_dir)
+    exact = profile.distinct_ids(s).select(F.col("traces").alias("t"), F.col("distinct_spans").alias("d"), "spans")
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.05
+    return profile.distinct_ids_approx(s).join(exact, "spans").select(
+        "spans", close("traces_approx", "t").alias("traces_close"), close("spans_approx", "d").alias("spans_close"))
 
 
 @register("explode_attributes", S("""
@@ -382,7 +387,7 @@ LEFT JOIN services a ON a.name = e.caller LEFT JOIN services b ON b.name = e.cal
 WHERE a.service_idx IS NULL OR b.service_idx IS NULL OR b.service_idx <= a.service_idx"""))
 def q_dag_violations(spark, sf_dir):
     svc = catalog.services(spark, fixtures.N_FIXTURE_SERVICES)
-    return traces.dag_violations(spans_of(spark, sf_dir), svc, fixtures.N_FIXTURE_SERVICES)
+    return traces.dag_violations(spans_of(spark, sf_dir), svc)
 
 
 _TREE = [("tree", f"""
@@ -391,7 +396,7 @@ FROM spans WHERE ParentSpanId = ''
 UNION ALL
 SELECT s.TraceId, s.SpanId, t.depth + 1, t.path || '/' || lpad(s.StartUnixNano::VARCHAR, 20, '0') || s.SpanId
 FROM spans s JOIN tree t ON s.TraceId = t.TraceId AND s.ParentSpanId = t.SpanId
-WHERE s.ParentSpanId <> '' AND t.depth < {traces.MAX_LEVELS}""")]
+WHERE s.ParentSpanId <> ''""")]
 
 
 @register("trace_depth", S("""
@@ -436,7 +441,7 @@ FROM cp WHERE NOT EXISTS (SELECT 1 FROM lc WHERE lc.TraceId = cp.TraceId AND lc.
     ("cp", f"""SELECT TraceId, SpanId, SpanName, 1 AS len FROM spans WHERE ParentSpanId = ''
         UNION ALL
         SELECT lc.TraceId, lc.SpanId, lc.SpanName, cp.len + 1 FROM cp JOIN lc ON lc.TraceId = cp.TraceId
-        AND lc.ParentSpanId = cp.SpanId WHERE cp.len < {traces.MAX_LEVELS}"""),
+        AND lc.ParentSpanId = cp.SpanId"""),
 ], recursive=True))
 def q_critical_path(spark, sf_dir):
     return traces.critical_path(spans_of(spark, sf_dir))
@@ -536,7 +541,7 @@ _TRACE7 = filters.trace_id_for_order(7)
 def _lean_q(name: str, where: str, fn):
     @register(name, S(_LEAN + where))
     def q(spark, sf_dir):
-        return filters.lean(fn(spans_of(spark, sf_dir)))
+        return filters.lean(fn(map_table(spark, sf_dir)))  # the written table: predicates reach its files
 
     return q
 
@@ -560,6 +565,11 @@ _lean_q("filter_expired", "Timestamp + INTERVAL 5 HOUR <= (SELECT max(Timestamp)
         lambda s: filters.filter_expired(s, 5))
 
 
+@register("filter_attr_equals_json", S(_LEAN + "SpanAttributes['http.request.method'] = 'POST'"))
+def q_filter_attr_equals_json(spark, sf_dir):
+    return filters.lean(filters.filter_attr_equals(json_table(spark, sf_dir), "http.request.method", "POST"))
+
+
 # --------------------------------------------------------------------------
 # data quality (clean table and a deliberately corrupted copy)
 # --------------------------------------------------------------------------
@@ -641,6 +651,17 @@ def q_orphans_corrupted(spark, sf_dir):
 _PCC = "corrupted c JOIN corrupted p ON c.TraceId = p.TraceId AND c.ParentSpanId = p.SpanId"
 
 
+@register("unreached_spans_corrupted", S("""
+SELECT DISTINCT TraceId, SpanId FROM corrupted c WHERE NOT EXISTS (
+  SELECT 1 FROM ctree t WHERE t.TraceId = c.TraceId AND t.SpanId = c.SpanId)""", extra=[*_CORRUPT, ("ctree", """
+SELECT TraceId, SpanId FROM corrupted WHERE ParentSpanId = ''
+UNION
+SELECT c.TraceId, c.SpanId FROM corrupted c JOIN ctree t ON c.TraceId = t.TraceId AND c.ParentSpanId = t.SpanId
+WHERE c.ParentSpanId <> ''""")], recursive=True))
+def q_unreached_spans_corrupted(spark, sf_dir):
+    return traces.unreached_spans(corrupted_of(spark, sf_dir))
+
+
 @register("containment_violations_corrupted", S(f"""
 SELECT c.TraceId, c.SpanId, c.ParentSpanId, c.StartUnixNano AS child_start_ns, c.StartUnixNano + c.Duration AS child_end_ns,
        p.StartUnixNano AS parent_start_ns, p.StartUnixNano + p.Duration AS parent_end_ns
@@ -658,7 +679,7 @@ LEFT JOIN services a ON a.name = e.caller LEFT JOIN services b ON b.name = e.cal
 WHERE a.service_idx IS NULL OR b.service_idx IS NULL OR b.service_idx <= a.service_idx""", extra=_CORRUPT))
 def q_dag_violations_corrupted(spark, sf_dir):
     svc = catalog.services(spark, fixtures.N_FIXTURE_SERVICES)
-    return traces.dag_violations(corrupted_of(spark, sf_dir), svc, fixtures.N_FIXTURE_SERVICES)
+    return traces.dag_violations(corrupted_of(spark, sf_dir), svc)
 
 
 # --------------------------------------------------------------------------
@@ -778,39 +799,79 @@ def q_layout_parity(spark, sf_dir):
 # --------------------------------------------------------------------------
 # nested export payloads and the second ingest path
 # --------------------------------------------------------------------------
-_BATCH2K = """SELECT TraceId, (slice::BIGINT * 1000000 + (sum(spans) OVER (PARTITION BY slice ORDER BY TraceId
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - spans) // 2000)::BIGINT AS batch_id
+_BATCH2K = """SELECT TraceId, slice, ((sum(spans) OVER (PARTITION BY slice ORDER BY TraceId
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - spans) // 2000)::BIGINT AS batch_no
   FROM (SELECT TraceId, count(*) AS spans, ('0x' || substr(TraceId, 13, 4))::INTEGER % 8 AS slice
         FROM spans GROUP BY TraceId)"""
 _PAYLOAD = [
     ("b2k", _BATCH2K),
-    ("sb", "SELECT s.*, b2k.batch_id FROM spans s JOIN b2k ON s.TraceId = b2k.TraceId"),
-    ("sz", """SELECT batch_id, ServiceName, greatest(1, ceil(count(*) * 2 / 2000.0))::BIGINT AS n_chunks
-              FROM sb GROUP BY 1, 2"""),
+    ("sb", f"""SELECT s.*, b2k.slice, b2k.batch_no, {O.canon_json('ResourceAttributes')} AS res
+              FROM spans s JOIN b2k ON s.TraceId = b2k.TraceId"""),
+    ("sz", """SELECT slice, batch_no, ServiceName, res, ScopeName, ScopeVersion,
+              greatest(1, ceil(count(*) * 2 / 2000.0))::BIGINT AS n_chunks FROM sb GROUP BY ALL"""),
     ("payload", """SELECT sb.*, ('0x' || substr(SpanId, 1, 8))::BIGINT % sz.n_chunks AS chunk
-                   FROM sb JOIN sz ON sb.batch_id = sz.batch_id AND sb.ServiceName = sz.ServiceName"""),
+                   FROM sb JOIN sz USING (slice, batch_no, ServiceName, res, ScopeName, ScopeVersion)"""),
 ]
 
 
 @register("group_by_resource", S("""
-SELECT batch_id, ServiceName, chunk, count(*) AS n_spans FROM payload GROUP BY 1, 2, 3""", extra=_PAYLOAD))
+SELECT slice, batch_no, ServiceName, chunk, count(*) AS n_spans FROM payload GROUP BY ALL""", extra=_PAYLOAD))
 def q_group_by_resource(spark, sf_dir):
     return nested.payload_sizes(nested.group_by_resource(spans_of(spark, sf_dir)))
 
 
-@register("flatten_otlp", S("SELECT TraceId, SpanId, ServiceName, batch_id FROM payload", extra=_PAYLOAD))
+@register("flatten_otlp", S("SELECT TraceId, SpanId, ServiceName, slice, batch_no FROM payload", extra=_PAYLOAD))
 def q_flatten_otlp(spark, sf_dir):
     flat = nested.flatten_otlp(nested.group_by_resource(spans_of(spark, sf_dir)))
-    return flat.select("TraceId", "SpanId", "ServiceName", "batch_id")
+    return flat.select("TraceId", "SpanId", "ServiceName", "slice", "batch_no")
+
+
+def _varied(spans):
+    """Spans of a service under several resources and scopes, by the SpanId's first digit."""
+    digit = F.substring("SpanId", 1, 1)
+    return spans.withColumns({
+        "ResourceAttributes": F.map_concat("ResourceAttributes", F.create_map(F.lit("process.digit"), digit)),
+        "ScopeVersion": F.when(digit < "8", F.lit("2.0.0")).otherwise(F.col("ScopeVersion"))})
+
+
+_EQUAL = "SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, count(*) AS rows, count(*) AS right_rows FROM spans"
 
 
-@register("path_parity", S("SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, count(*) AS rows, count(*) AS right_rows FROM spans"))
+@register("path_parity", S(_EQUAL))
 def q_path_parity(spark, sf_dir):
-    s = spans_of(spark, sf_dir)
-    flat = nested.flatten_otlp(nested.group_by_resource(s)).drop("batch_id")
+    s = _varied(spans_of(spark, sf_dir))
+    flat = nested.flatten_otlp(nested.group_by_resource(s)).drop("slice", "batch_no")
     return setops.parity(s, flat)
 
 
+_SHOWN = "TraceId, SpanId, ParentSpanId, SpanKind, ServiceName, StartUnixNano, Duration, StatusCode, n_events"
+
+
+@register("path_parity_corrupted", S(f"""
+SELECT (SELECT count(*) FROM (SELECT {_SHOWN} FROM spans EXCEPT ALL SELECT {_SHOWN} FROM corrupted)) AS left_only,
+       (SELECT count(*) FROM (SELECT {_SHOWN} FROM corrupted EXCEPT ALL SELECT {_SHOWN} FROM spans)) AS right_only,
+       (SELECT count(*) FROM spans) AS rows, (SELECT count(*) FROM corrupted) AS right_rows""", extra=_CORRUPT))
+def q_path_parity_corrupted(spark, sf_dir):
+    """Every damaged row shows up on both sides, every repeated one on the right."""
+    return setops.parity(spans_of(spark, sf_dir), corrupted_of(spark, sf_dir))
+
+
+@register("layout_parity_corrupted", S("""
+SELECT count(*) FILTER (SpanId LIKE '7%')::BIGINT AS left_only, count(*) FILTER (SpanId LIKE '7%')::BIGINT AS right_only,
+       count(*) AS rows, count(*) AS right_rows FROM spans"""))
+def q_layout_parity_corrupted(spark, sf_dir):
+    """One nanosecond, or one link, is a difference: the round trip of a copy where spans with
+    SpanId '7...' were changed in one of the two."""
+    s = spans_of(spark, sf_dir)
+    seven, even = F.col("SpanId").startswith("7"), F.col("SpanId").startswith("70")
+    link = F.array(F.struct(F.lit("t").alias("TraceId"), F.lit("s").alias("SpanId"), F.lit("").alias("TraceState"),
+                            F.create_map().cast("map<string,string>").alias("Attributes")))
+    changed = s.withColumns({
+        "StartUnixNano": F.when(seven & ~even, F.col("StartUnixNano") + 1).otherwise(F.col("StartUnixNano")),
+        "Links": F.when(even, link).otherwise(F.col("Links"))})
+    return setops.parity(s, encode.json_to_map_layout(encode.map_to_json_layout(changed)))
+
+
 @register("common_traces", S("SELECT count(DISTINCT TraceId) AS common_traces FROM spans"))
 def q_common_traces(spark, sf_dir):
     s = spans_of(spark, sf_dir)
@@ -962,24 +1023,80 @@ def q_retention_drop(spark, sf_dir):
     return kept.agg(F.count(F.lit(1)).alias("spans_kept"), F.countDistinct("dt").alias("partitions_kept"))
 
 
-@register("files_per_partition")
+@register("filter_time_range_pruned_month", S(_LEAN + "Timestamp >= TIMESTAMP '1998-01-10' AND Timestamp < TIMESTAMP '1998-02-20'"))
+def q_filter_time_range_pruned_month(spark, sf_dir):
+    """A range that begins within a month, on a table partitioned by month."""
+    t = layout.read_spans(spark, month_table(spark, sf_dir))
+    return filters.lean(filters.filter_time_range(t, "1998-01-10", "1998-02-20"))
+
+
+def month_table(spark, sf_dir) -> str:
+    return _written(spark, sf_dir, "spans-month", lambda s, p: layout.write_spans_map(s, p, granularity="month"))
+
+
+@register("retention_drop_month", S(f"""
+SELECT count(*) AS spans_kept, count(DISTINCT date_trunc('month', Timestamp)) AS partitions_kept,
+       0::BIGINT AS live_rows_deleted FROM spans
+WHERE date_trunc('month', Timestamp) + INTERVAL 1 MONTH + INTERVAL {RETENTION_TTL.days} DAY > (SELECT max(Timestamp) FROM spans)"""))
+def q_retention_drop_month(spark, sf_dir):
+    """Only months that have passed the TTL to their last day go; no row within it does."""
+    path = layout.write_spans_map(spans_of(spark, sf_dir), scratch_path(spark, "retention-month"), granularity="month")
+    t = layout.read_spans(spark, path)
+    now = t.agg(F.max("Timestamp").cast("timestamp_ntz")).first()[0]
+    alive = lambda df: df.filter(F.col("Timestamp") > F.lit(now - RETENTION_TTL)).count()
+    before = alive(t)
+    layout.retention_drop(spark, path, RETENTION_TTL, now)
+    kept = layout.read_spans(spark, path)
+    return kept.agg(F.count(F.lit(1)).alias("spans_kept"), F.countDistinct("month").alias("partitions_kept"),
+                    F.lit(before - alive(kept)).cast("bigint").alias("live_rows_deleted"))
+
+
+@register("retention_drop_hourly", S("""
+SELECT count(*) AS spans_kept, count(DISTINCT date_trunc('hour', Timestamp)) AS partitions_kept FROM spans
+WHERE date_trunc('hour', Timestamp) + INTERVAL 1 HOUR + INTERVAL 5 HOUR > (SELECT max(Timestamp) FROM spans)"""))
+def q_retention_drop_hourly(spark, sf_dir):
+    """The five-hour TTL of the hourly JSON table."""
+    path = scratch_path(spark, "retention-hourly")
+    layout.write_spans_json(spans_of(spark, sf_dir), path)
+    now = layout.read_spans(spark, path).agg(F.max("Timestamp").cast("timestamp_ntz")).first()[0]
+    layout.retention_drop(spark, path, _dt.timedelta(hours=5), now, hourly=True)
+    return layout.read_spans(spark, path).agg(
+        F.count(F.lit(1)).alias("spans_kept"), F.countDistinct("dt", "hour").alias("partitions_kept"))
+
+
+@register("write_both_layouts", S(_EQUAL))
+def q_write_both_layouts(spark, sf_dir):
+    """One job writes both targets; what is read back is equal."""
+    m, j = scratch_path(spark, "both-map"), scratch_path(spark, "both-json")
+    layout.write_both_layouts(spans_of(spark, sf_dir), m, j)
+    return setops.parity(layout.read_spans(spark, m), encode.json_to_map_layout(layout.read_spans(spark, j)))
+
+
+@register("files_per_partition", S(f"""
+SELECT {SHARD} AS host, date_trunc('month', Timestamp)::DATE AS month, count(*) AS rows, true AS has_parts
+FROM spans GROUP BY ALL"""))
 def q_files_per_partition(spark, sf_dir):
-    path, _ = sharded_table(spark, sf_dir)
-    return layout.files_per_partition(spark, path, partition_cols=())
+    """Parts of each (host, partition); their rows add up to the partition's."""
+    path = _written(spark, sf_dir, "spans-sharded-month", lambda s, p: layout.write_sharded_hash(
+        s, 3, p, method="md5prefix", granularity="month"))
+    parts = layout.files_per_partition(spark, path, ("month",))
+    return parts.select(F.concat(F.lit("shard-"), F.col("shard").cast("string")).alias("host"), "month", "rows",
+                        ((F.col("parts") > 0) & (F.col("bytes") > 0)).alias("has_parts"))
 
 
-@register("compact_partitions")
+@register("compact_partitions", S("SELECT Timestamp::DATE AS dt, count(*) AS rows, 1::BIGINT AS parts FROM spans GROUP BY 1"))
 def q_compact_partitions(spark, sf_dir):
+    """A day has one file after compaction (a day's rows fit into one here)."""
     src = _written(spark, sf_dir, "spans-map", layout.write_spans_map)
-    out = layout.compact_partitions(spark, src, scratch_path(spark, "compacted"), target_rows=50_000)
-    return layout.files_per_partition(spark, out)
+    out = layout.compact_partitions(spark, src, scratch_path(spark, "compacted"))
+    return layout.files_per_partition(spark, out).select("dt", "rows", F.least("parts", F.lit(1)).alias("parts"))
 
 
-@register("filter_files")
+@register("filter_files", S(_LEAN + "Timestamp::DATE BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'"))
 def q_filter_files(spark, sf_dir):
-    """Rows of files above a size threshold, filtered on file metadata."""
+    """Rows of the files of one month, chosen by file metadata alone."""
     t = map_table(spark, sf_dir)
-    return filters.lean(filters.filter_files(t, min_bytes=1))
+    return filters.lean(filters.filter_files(t, path_like="%/dt=1998-03-%", min_bytes=1))
 
 
 # --------------------------------------------------------------------------
@@ -1016,17 +1133,16 @@ def _not_closing(df):
 SELECT ServiceName, SpanKind, StatusCode, count(*) AS n FROM spans GROUP BY 1, 2, 3"""))
 def q_stream_service_counts(spark, sf_dir):
     src = _not_closing(stream_input(spark, sf_dir))
-    path, _ = streams.run_available_now(streams.service_counts(src), "service-counts", "complete")
-    return streams.read_result(spark, path, complete=True)
+    path, _ = streams.run_available_now(streams.service_counts(src), "service-counts", "update")
+    return streams.read_latest(spark, path, ["ServiceName", "SpanKind", "StatusCode"])
 
 
 @register("stream_ingest_rate", S("""
 SELECT date_trunc('minute', Timestamp) AS minute, count(*) AS spans, round(count(*) / 60.0::DOUBLE, 6) AS spans_per_sec
 FROM spans GROUP BY 1"""))
 def q_stream_ingest_rate(spark, sf_dir):
-    src = _not_closing(stream_input(spark, sf_dir))
-    path, _ = streams.run_available_now(streams.ingest_rate(src), "ingest-rate", "complete")
-    return streams.read_result(spark, path, complete=True)
+    path, _ = streams.run_available_now(streams.ingest_rate(stream_input(spark, sf_dir)), "ingest-rate")
+    return streams.read_result(spark, path)
 
 
 @register("stream_recent_rate", S("""
@@ -1034,10 +1150,9 @@ SELECT minute, count(*) AS spans, round(count(*) / 300.0::DOUBLE, 6) AS spans_pe
   SELECT date_trunc('minute', Timestamp) - to_minutes(o) AS minute
   FROM spans, (SELECT unnest(range(0, 5)) AS o)) GROUP BY 1"""))
 def q_stream_recent_rate(spark, sf_dir):
-    src = _not_closing(stream_input(spark, sf_dir))
-    q = streams.ingest_rate(src, every="1 minute", window="5 minutes")
-    path, _ = streams.run_available_now(q, "recent-rate", "complete")
-    return streams.read_result(spark, path, complete=True)
+    q = streams.ingest_rate(stream_input(spark, sf_dir), every="1 minute", window="5 minutes")
+    path, _ = streams.run_available_now(q, "recent-rate")
+    return streams.read_result(spark, path)
 
 
 @register("stream_dedup", S("SELECT TraceId, SpanId, ServiceName FROM spans"))
@@ -1060,15 +1175,16 @@ def q_stream_trace_assembly(spark, sf_dir):
 @register("stream_to_table", S(_LEAN + "TRUE"))
 def q_stream_to_table(spark, sf_dir):
     src = _not_closing(stream_input(spark, sf_dir))
-    path, _ = streams.run_available_now(filters.lean(src), "to-table")
-    return streams.read_result(spark, path)
+    path, _ = streams.run_available_now(src, "to-table")  # all span columns
+    return filters.lean(streams.read_result(spark, path).select(*src.columns))
 
 
-@register("stream_metrics")
+@register("stream_metrics", S("SELECT count(*) AS rows, true AS several_batches FROM spans"))
 def q_stream_metrics(spark, sf_dir):
-    src = _not_closing(stream_input(spark, sf_dir))
-    _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "metrics")
-    return streams.progress_metrics(spark, q)
+    """Rows over all micro-batches of a run, from what each batch wrote."""
+    path, _ = streams.run_available_now(_not_closing(stream_input(spark, sf_dir)), "metrics")
+    return streams.batch_rows(spark, path).agg(F.sum("rows").alias("rows"),
+                                               (F.count(F.lit(1)) > 1).alias("several_batches"))
 
 
 # --------------------------------------------------------------------------
@@ -1373,17 +1489,21 @@ def q_stream_achieved_rate(spark, sf_dir):
     return streams.read_result(spark, path, complete=True)
 
 
-@register("stream_batching")
+@register("stream_batching", S("SELECT count(*) AS rows, true AS bounded FROM spans"))
 def q_stream_batching(spark, sf_dir):
-    """Micro-batch sizes under maxFilesPerTrigger back-pressure (2 files per trigger)."""
+    """Micro-batches under maxFilesPerTrigger back-pressure (2 files per trigger) hold all rows,
+    and none holds over half of them."""
     src = _not_closing(stream_input(spark, sf_dir))
-    _, q = streams.run_available_now(filters.lean(src), "batching")
-    return streams.progress_metrics(spark, q)
+    path, _ = streams.run_available_now(filters.lean(src), "batching")
+    return streams.batch_rows(spark, path).agg(F.sum("rows").alias("rows"),
+                                               (F.max("rows") <= F.sum("rows") / 2).alias("bounded"))
 
 
-@register("late_rows")
+@register("late_rows", S("""
+SELECT count(*) + count(*) FILTER (TraceId LIKE '0%') AS input_rows, count(*) AS written_rows,
+       count(*) FILTER (TraceId LIKE '0%') AS dropped_rows FROM spans"""))
 def q_late_rows(spark, sf_dir):
-    """Rows dropped by the watermark when the input is replayed out of order."""
+    """A replay after the end of the input is dropped whole: each row is late or a duplicate."""
     key = ("stream-in", "late", sf_dir, spark.sparkContext.applicationId)
     if key not in _WRITTEN:
         s = spans_of(spark, sf_dir)
@@ -1392,9 +1512,13 @@ def q_late_rows(spark, sf_dir):
         streams.write_arrival_files(s.filter(F.col("TraceId").startswith("0")), path, 1)  # replayed, late
         _WRITTEN[key] = path
     path = _WRITTEN[key]
-    src = streams.stream_spans(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
-    _, q = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "late")
-    return streams.progress_metrics(spark, q)
+    given = spark.read.parquet(path)
+    src = streams.stream_spans(spark, path, given.schema, files_per_trigger=2)
+    out, _ = streams.run_available_now(streams.dedup(src).select("TraceId", "SpanId"), "late")
+    counts = (given.select(F.lit(1).alias("i"), F.lit(0).alias("w"))
+              .union(streams.read_result(spark, out).select(F.lit(0), F.lit(1))))
+    return counts.agg(F.sum("i").alias("input_rows"), F.sum("w").alias("written_rows"),
+                      (F.sum("i") - F.sum("w")).alias("dropped_rows"))
 
 
 _FIT_SELECT = """SELECT op_type, count(*) AS n, round(avg(ln(dur_ns::DOUBLE)), 6) AS mu,

@@ -8,6 +8,7 @@ are handed (UTC session time, AQE with skew-join splitting).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,13 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and scratch tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when it is unset (local tests) do we pick a fresh
-    scratch folder and record it in the session so that every later call sees
-    the same one.
+    file system); without it executors could not see each other's files, so the call
+    fails. Only on a local master (one machine) does an unset folder mean a fresh
+    scratch folder, recorded in the session so that every later call sees the same one.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tracelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -96,7 +96,7 @@ def span_skeleton(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         (F.col("l_suppkey") % 4).cast("int").alias("typ"),
         (F.floor("l_extendedprice").cast("bigint") * 1000 + 1000).alias("line_dur"),
     )
-    j = lines.join(o, "k")
+    j = lines.join(o.hint("merge"), "k")  # both sides grow with the data: a shuffle join
     off = idiv(F.col("root_dur") * 7 * (F.col("l_partkey") % 100), 1000)
     call_key = F.concat(F.lit("c:"), F.col("k").cast("string"), F.lit(":"), F.col("lkey"))
     calls = j.select(
@@ -279,13 +279,9 @@ SPAN_COLUMNS = [
 
 
 def spans_from_tables(orders: DataFrame, lineitem: DataFrame, services: DataFrame | None = None) -> DataFrame:
-    from ..plans.strategies import ensure_parallel
-
     spark = orders.sparkSession
     if services is None:
         services = catalog.services(spark, N_FIXTURE_SERVICES)
-    orders = ensure_parallel(orders, "o_orderkey")
-    lineitem = ensure_parallel(lineitem, "l_orderkey")
     return decorate(span_skeleton(orders, lineitem), services)
 
 

@@ -83,9 +83,10 @@ def idempotent_writer(path: str, fmt: str = "parquet", complete: bool = False) -
 
 
 def run_available_now(df: DataFrame, name: str, output_mode: str = "append",
-                      timeout_s: float | None = 600) -> tuple[str, StreamingQuery]:
+                      timeout_s: float | None = None) -> tuple[str, StreamingQuery]:
     """Run a streaming query over everything available now into an
-    idempotent Parquet table in the shared folder; returns (path, query)."""
+    idempotent Parquet table in the shared folder; returns (path, query).
+    With ``timeout_s`` the run is stopped then and raises; by default it has no limit."""
     spark = df.sparkSession
     out = scratch_path(spark, f"stream-{name}")
     q = (df.writeStream.outputMode(output_mode)
@@ -113,33 +114,33 @@ def _seconds(length: str) -> int:
     return int(n) * mult
 
 
-def progress_metrics(spark: SparkSession, q: StreamingQuery) -> DataFrame:
-    """Per-batch progress of a finished query: input rows, rate, late rows
-    dropped by the watermark (one small row per micro-batch)."""
-    rows = []
-    for p in q.recentProgress:
-        ops = p.get("stateOperators") or [{}]
-        rows.append((int(p["batchId"]), int(p.get("numInputRows", 0)),
-                     float(p.get("processedRowsPerSecond") or 0.0),
-                     int(sum(o.get("numRowsDroppedByWatermark", 0) for o in ops))))
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, rows_per_second double, late_rows long")
-
-
-def write_arrival_files(df: DataFrame, path: str, n_files: int = 16, order_col: str = "Timestamp",
-                        closing: DataFrame | None = None) -> str:
-    """Test/replay input for a file stream: ``df`` split into ``n_files``
-    time ranges written one after another (so file order is arrival order),
-    then an optional far-later ``closing`` batch that moves the watermark
-    past every real event."""
-    from pyspark import StorageLevel
-
-    ranged = df.repartitionByRange(n_files, order_col).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for i in range(n_files):
-            ranged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-        if closing is not None:
-            closing.coalesce(1).write.mode("append").parquet(path)
-    finally:
-        ranged.unpersist()
+def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key from an update-mode table: a batch wrote only the
+    keys that it changed."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+            .select(*keys, "_v.*"))
+
+
+def batch_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that each micro-batch wrote (``batch_id``, ``rows``), counted in the table itself,
+    so no batch is forgotten however long the query ran."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def write_arrival_files(df: DataFrame, path: str, n_ranges: int = 16, order_col: str = "Timestamp",
+                        closing: DataFrame | None = None, files: int = 2) -> str:
+    """Test/replay input for a file stream: ``df`` split into ``n_ranges`` time ranges of
+    ``files`` files, written one after another (so file order is arrival order), then an
+    optional far-later ``closing`` batch that moves the watermark past every real event."""
+    from ..plans.strategies import cut_lineage
+
+    ranged = cut_lineage(df.repartitionByRange(n_ranges, order_col).withColumn("_part", F.spark_partition_id()),
+                         "arrivals")
+    for i in range(n_ranges):
+        ranged.filter(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.write.mode("append").parquet(path)
     return path
