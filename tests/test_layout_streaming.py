@@ -14,7 +14,7 @@ def test_map_json_roundtrip(spark, spans_small):
     m = scratch_path(spark, "t-map")
     j = scratch_path(spark, "t-json")
     layout.write_both_layouts(spans_small, m, j, json_granularity="day")
-    back_map = layout.read_spans(spark, m).drop("dt")
+    back_map = layout.read_spans(spark, m)
     back_json = encode.json_to_map_layout(layout.read_spans(spark, j))
     r = setops.parity(back_map, back_json).first()
     assert (r.left_only, r.right_only, r.rows) == (0, 0, 10948)
@@ -41,12 +41,42 @@ def test_retention(spark, spans_small):
     assert kept.count() == spans_small.filter(F.col("Timestamp") >= F.lit("1998-12-31").cast("timestamp")).count()
 
 
+def test_month_retention_deletes_no_live_row(spark, spans_small):
+    p = scratch_path(spark, "t-ret-month")
+    layout.write_spans_map(spans_small, p, granularity="month")
+    now, ttl = dt.datetime(1997, 6, 10, 12), dt.timedelta(days=100)
+    dropped = layout.retention_drop(spark, p, ttl, now)
+    live = F.col("Timestamp") > F.lit(now - ttl)
+    kept = layout.read_spans(spark, p)
+    assert dropped and kept.filter(live).count() == spans_small.filter(live).count()
+
+
+def test_compaction_keeps_rows_order_and_partitions(spark, spans_small):
+    p, out = scratch_path(spark, "t-hourly"), scratch_path(spark, "t-compact")
+    layout.write_spans_json(spans_small.filter(F.col("Timestamp") >= F.lit("1998-07-01").cast("timestamp")), p)
+    layout.compact_partitions(spark, p, out, sort_cols=("Timestamp",))
+    assert {"dt", "hour"} <= set(layout.read_spans(spark, out).columns)
+    assert layout.read_spans(spark, out).count() == layout.read_spans(spark, p).count()
+
+
+def test_replayed_batch_is_written_once(spark, spans_small):
+    """A sink that gets a batch again, as after a restart, holds its rows once."""
+    out = scratch_path(spark, "t-replay")
+    write = streams.idempotent_writer(out)
+    first, second = spans_small.limit(100), spans_small.limit(40)
+    for batch, number in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        write(batch, number)
+    assert streams.read_result(spark, out).count() == 140
+    assert sorted((r["batch_id"], r["rows"]) for r in streams.batch_rows(spark, out).collect()) == [(0, 100), (1, 40)]
+
+
 def test_stream_counts_equal_batch(spark, spans_small):
     src_path = scratch_path(spark, "t-stream-in")
     streams.write_arrival_files(spans_small, src_path, 4)
     src = streams.stream_spans(spark, src_path, spark.read.parquet(src_path).schema, files_per_trigger=1)
-    out, q = streams.run_available_now(streams.service_counts(src), "t-counts", "complete")
-    got = {(r.ServiceName, r.SpanKind, r.StatusCode): r.n for r in streams.read_result(spark, out, True).collect()}
+    out, q = streams.run_available_now(streams.service_counts(src), "t-counts", "update")
+    got = {(r.ServiceName, r.SpanKind, r.StatusCode): r.n
+           for r in streams.read_latest(spark, out, ["ServiceName", "SpanKind", "StatusCode"]).collect()}
     want = {(r.ServiceName, r.SpanKind, r.StatusCode): r["count"]
             for r in spans_small.groupBy("ServiceName", "SpanKind", "StatusCode").count().collect()}
     assert got == want

@@ -1,6 +1,7 @@
 """Physical-plan properties: pushdown, pruning, partial aggregation, no cross joins."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.operators import filters, profile, setops, traces, verify
 from tracelake.plans import layout
@@ -34,6 +35,42 @@ def test_time_range_prunes_partitions(table):
     assert "GreaterThanOrEqual(Timestamp," in p
 
 
+def scan_of(df) -> str:
+    return [x for x in plan(df).split("\n") if "PartitionFilters" in x][0]
+
+
+def test_recent_and_expired_prune_partitions(spark, table):
+    now = F.lit("1998-03-01 12:00:00").cast("timestamp")
+    for df in (filters.filter_recent(table, 5, now), filters.filter_expired(table, 5, now),
+               verify.ingest_rate_minute(table, 5, now), verify.ingest_rate_minute(table)):
+        text = scan_of(df)
+        assert "PartitionFilters: []" not in text and "dt#" in text.split("PartitionFilters")[1]
+    assert "LessThanOrEqual(Timestamp," in scan_of(filters.filter_expired(table, 5, now))
+
+
+def test_month_and_hour_tables_keep_all_rows(spark, spans_small):
+    start, end = "1998-01-10 03:30:00", "1998-02-20 17:10:00"
+    want = filters.filter_time_range(spans_small, start, end).count()
+    for granularity, write in (("month", layout.write_spans_map), ("day", layout.write_spans_map),
+                               ("hour", layout.write_spans_json)):
+        p = scratch_path(spark, f"t-{granularity}")
+        write(spans_small, p, granularity=granularity)
+        df = filters.filter_time_range(layout.read_spans(spark, p), start, end)
+        assert df.count() == want > 0
+        assert "PartitionFilters: []" not in scan_of(df)
+
+
+def test_a_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracelake.session import checkpoint_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None,
+                         getConf=lambda: SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc))
+
+
 def test_partial_aggregation(table):
     p = plan(verify.spans_per_service(table))
     assert p.count("HashAggregate") >= 2 and "TakeOrderedAndProject" in p

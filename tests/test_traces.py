@@ -83,3 +83,54 @@ def test_sibling_order(spark):
     assert so[(T2, "c1")] == (1, None)
     assert so[(T2, "c2")] == (2, 30 - 50)  # overlaps the previous sibling by 20
     assert so[(T5, "x")] == (2, 70 - 60)
+
+
+def chain(trace, n, root=True):
+    return [(trace, f"{trace}-{i}", (f"{trace}-{i - 1}" if i else ("" if root else "gone")), "op", "Internal", "cart", i, 1000 - i)
+            for i in range(n)]
+
+
+def test_deep_chains(spark):
+    """Exact at any depth; spans without a root and spans in a cycle are reported, not walked."""
+    cycle = [("loop", "a", "b", "op", "Internal", "cart", 0, 1), ("loop", "b", "a", "op", "Internal", "cart", 0, 1)]
+    rows = [r for n in (1, 2, 13, 70, 300) for r in chain(f"c{n}", n)] + chain("lost", 9, root=False) + cycle
+    s = make_spans(spark, rows)
+    assert {r.TraceId: (r.max_depth, r.spans_reached) for r in traces.trace_depth(s).collect()} == \
+        {f"c{n}": (n, n) for n in (1, 2, 13, 70, 300)}
+    assert {r.TraceId: (r.cp_spans, r.cp_leaf_span_id) for r in traces.critical_path(s).collect()} == \
+        {f"c{n}": (n, f"c{n}-{n - 1}") for n in (1, 2, 13, 70, 300)}
+    lost = {(r.TraceId, r.SpanId) for r in traces.unreached_spans(s).collect()}
+    assert lost == {("lost", f"lost-{i}") for i in range(9)} | {("loop", "a"), ("loop", "b")}
+
+
+def test_repeated_spans_count_once(spark):
+    s = make_spans(spark, ROWS)
+    twice = s.unionByName(s)
+    assert traces.trace_depth(twice).exceptAll(traces.trace_depth(s)).count() == 0
+    assert traces.critical_path(twice).exceptAll(traces.critical_path(s)).count() == 0
+    assert traces.preorder_ranks(twice).exceptAll(traces.preorder_ranks(s)).count() == 0
+
+
+def test_preorder_equals_depth_first_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for t in range(12):
+        for i in range(rng.randrange(1, 60)):
+            parent = "" if i == 0 or rng.random() < 0.05 else f"s{rng.randrange(i):03d}"
+            rows.append((f"t{t}", f"s{i:03d}", parent, "op", "Internal", "cart", rng.randrange(20), 5))
+    want = {}
+    for t in {r[0] for r in rows}:
+        children = {}
+        for r in rows:
+            if r[0] == t:
+                children.setdefault(r[2], []).append((r[6], r[1]))
+        stack, n = sorted(children[""], reverse=True), 0
+        while stack:
+            _, span = stack.pop()
+            n += 1
+            want[(t, span)] = n
+            stack += sorted(children.get(span, []), reverse=True)
+    got = {(r.TraceId, r.SpanId): r.preorder_rank for r in traces.preorder_ranks(make_spans(spark, rows)).collect()}
+    assert got == want
