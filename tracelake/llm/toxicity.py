@@ -41,16 +41,29 @@ class Model:
         return float(1 / (1 + np.exp(-x))) if x >= 0 else float(np.exp(x) / (1 + np.exp(x)))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label, present(text, ORDERS, BITS)] += 1
-    used = np.flatnonzero(counts.any(axis=0))
-    for at in range(0, len(used), 1 << 16):
-        part = used[at:at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part]),
-                                          pa.array(counts[1, part])], ["feature", "clean", "toxic"])
+def _count(rates: tuple[float, float]):
+    """One pass over the training rows: how many texts of either label hold each n-gram, and
+    the texts whose mark is below their label's rate."""
+    names = ["feature", "clean", "toxic", "text", "label", "mark"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            taken = []
+            for text, label, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                counts[label, present(text, ORDERS, BITS)] += 1
+                if mark / 2 ** 63 < rates[label]:
+                    taken.append((text or "", label, mark))
+            cols = [[None] * len(taken)] * 3 + [list(c) for c in zip(*taken)] if taken else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        used = np.flatnonzero(counts.any(axis=0))
+        for at in range(0, len(used), 1 << 16):
+            part = used[at:at + (1 << 16)]
+            cols = [part.astype(np.int32), counts[0, part], counts[1, part], *[[None] * len(part)] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return run
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
@@ -69,16 +82,24 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps
 
 def train(labelled: DataFrame, max_training: int = MAX_TRAINING, features: int = FEATURES,
           penalty: float = 1.0, steps: int = 300) -> Model:
-    """Learn from ``labelled``: ``text``, ``label`` (0 or 1), ``key`` (any integer, which orders
-    the rows for the bounded sample). Without rows of both classes, all texts get
+    """Learn from ``labelled``: ``text``, ``label`` (0 or 1), ``key`` (any integer, which with the
+    text picks the rows of the bounded sample). Without rows of both classes, all texts get
     score 0 (1, if all rows have label 1)."""
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     rank = np.full(1 << BITS, -1, np.int32)
     if not n0 or not n1:
         return Model(rank, np.zeros(1), 30.0 if n1 else -30.0)
-    counts = (labelled.select("text", "label").mapInArrow(_count, "feature int, clean long, toxic long")
-              .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    half = max_training // 2
+    take1 = min(n1, max(half, max_training - n0))
+    take0 = min(n0, max_training - take1)
+    mark = F.xxhash64("key", "text").bitwiseAND(F.lit(2 ** 63 - 1)).alias("mark")
+    # The training texts pass by once; the rest is read from what that pass has written.
+    seen = materialize(labelled.select("text", "label", mark).mapInArrow(
+        _count((1.1 * take0 / n0, 1.1 * take1 / n1)),
+        "feature int, clean long, toxic long, text string, label int, mark long"), "toxicity-training")
+    counts = (seen.where("feature IS NOT NULL").groupBy("feature")
+              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     share1, share0 = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
     pooled = (F.col("toxic") + F.col("clean") + 1) / (n0 + n1 + 2)
     z = F.abs(share1 - share0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
@@ -89,12 +110,9 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING, features: int =
     rank[[r["feature"] for r in best]] = np.arange(len(best), dtype=np.int32)
     ratios = np.array([r["ratio"] for r in best])
 
-    half = max_training // 2
-    take1 = min(n1, max(half, max_training - n0))
-    take0 = min(n0, max_training - take1)
-    order = ["key", F.xxhash64("text")]
-    sample = materialize(labelled.where("label = 1").orderBy(*order).limit(take1)
-                         .union(labelled.where("label = 0").orderBy(*order).limit(take0)), "toxicity-sample")
+    chosen = seen.where("mark IS NOT NULL").select("text", "label", "mark")
+    sample = (chosen.where("label = 1").orderBy("mark", "text").limit(take1)
+              .union(chosen.where("label = 0").orderBy("mark", "text").limit(take0)))
     shared = labelled.sparkSession.sparkContext.broadcast(rank)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +129,7 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING, features: int =
     x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:len(ratios)] for r in packed]) * ratios
     y = np.array([r["label"] for r in packed], float)
     # The sample's classes count as they do among all labelled rows.
-    weight = np.where(y == 1, n1 / take1, n0 / take0)
+    weight = np.where(y == 1, n1 / y.sum(), n0 / (1 - y).sum())
     w, b = _fit(x, y, weight / weight.mean(), penalty, steps)
     return Model(rank, w * ratios, float(b))
 
@@ -139,4 +157,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     count) for which ``held_out`` (a condition on doc_id) is false."""
     known = (labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id")
              .agg(F.max("toxic").cast("int").alias("label")).where(~held_out))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label", F.col("doc_id").alias("key"))
+    # Labels grow with the documents: a shuffle join at every size.
+    return docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "label", F.col("doc_id").alias("key"))
