@@ -90,3 +90,11 @@ def test_parity_is_one_aggregation(table):
 
 def test_dimension_is_broadcast(spans_small):
     assert "BroadcastExchange" in plan(spans_small)
+
+
+def test_attribute_index_is_pruned(spark, spans_small):
+    p = layout.write_attr_index(spans_small, scratch_path(spark, "t-attr"))
+    df = layout.find_by_attr(spark, p, "http.request.method", "POST")
+    text = scan_of(df)
+    assert "key#" in text.split("PartitionFilters")[1].split("PushedFilters")[0] and "EqualTo(value,POST)" in text
+    assert df.count() == filters.filter_attr_equals(spans_small, "http.request.method", "POST").count() > 0

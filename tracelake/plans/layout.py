@@ -112,6 +112,26 @@ def write_sharded_rr(spans: DataFrame, n_shards: int, replica: int, batch_size:
     return path
 
 
+def write_attr_index(spans: DataFrame, path: str, n_tasks: int | None = None, mode: str = "overwrite") -> str:
+    """A side table for attribute search: one row per (span, scope, key, value), a directory
+    per scope and key, ordered by value. A search by key reads one directory, and one by
+    value only the row groups whose range holds it. Ranges on (key, value, span) spread a
+    key that every span has over many tasks."""
+    from ..operators.profile import explode_attributes
+
+    rows = explode_attributes(spans)
+    order = ["scope", "key", "value", "TraceId", "SpanId"]
+    out = _by_range(rows, n_tasks, *order).sortWithinPartitions(*order)
+    _writer(out, mode, {"value": (0.01, 100_000)}, MAX_RECORDS_PER_FILE).partitionBy("scope", "key").parquet(path)
+    return path
+
+
+def find_by_attr(spark: SparkSession, path: str, key: str, value: str | None = None, scope: str = "span") -> DataFrame:
+    """(TraceId, SpanId, value) of the spans that have the attribute (with that value)."""
+    rows = spark.read.parquet(path).filter((F.col("scope") == scope) & (F.col("key") == key))
+    return (rows if value is None else rows.filter(F.col("value") == value)).select("TraceId", "SpanId", "value")
+
+
 def read_all_shards(spark: SparkSession, base: str) -> DataFrame:
     """One logical table over ``shard=N`` directories, with a ``host`` column."""
     df = spark.read.parquet(base)

@@ -1092,6 +1092,15 @@ def q_compact_partitions(spark, sf_dir):
     return layout.files_per_partition(spark, out).select("dt", "rows", F.least("parts", F.lit(1)).alias("parts"))
 
 
+@register("find_by_attr", S("""
+SELECT TraceId, SpanId, SpanAttributes['http.request.method'] AS value FROM spans
+WHERE SpanAttributes['http.request.method'] = 'POST'"""))
+def q_find_by_attr(spark, sf_dir):
+    """Attribute search on the side table: one directory, then a pushed value predicate."""
+    path = _written(spark, sf_dir, "attr-index", layout.write_attr_index)
+    return layout.find_by_attr(spark, path, "http.request.method", "POST")
+
+
 @register("filter_files", S(_LEAN + "Timestamp::DATE BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'"))
 def q_filter_files(spark, sf_dir):
     """Rows of the files of one month, chosen by file metadata alone."""
