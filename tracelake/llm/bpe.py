@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .pretokens import UnitTable, split
+from .pretokens import UnitTable
 
 NONE = np.int32(2**31 - 1)
 WIDEST = 1024
@@ -183,26 +184,6 @@ class Ranks:
             out[place[keep]] = ids[keep]
         return out, counts
 
-    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the number of ids of each: every match of
-        the pattern is merged apart."""
-        known: dict[str, int] = {}
-        at, pieces_of = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = split(text)
-            pieces_of[i] = len(found)
-            at += [known.setdefault(p, len(known)) for p in found]
-        ids, counts = self.encode_pieces(list(known))
-        ends = np.cumsum(counts)
-        at = np.array(at, np.int64)
-        sizes = counts[at]
-        stop = np.cumsum(sizes)
-        starts = (ends - counts)[at]
-        out = ids[np.repeat(starts - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)]
-        total = np.r_[0, stop]
-        last = np.cumsum(pieces_of)
-        return out, total[last] - total[last - pieces_of]
-
     def decode(self, ids: np.ndarray) -> bytes:
         ends = self.token_ends[ids]
         starts = np.where(ids > 0, self.token_ends[ids - 1], 0)
@@ -225,7 +206,7 @@ def _table(path: str, ranks: Ranks) -> UnitTable:
     """This worker's table of units, kept between tasks."""
     if path not in _TABLES:
         _TABLES.clear()
-        _TABLES[path] = UnitTable(ranks.encode_texts)
+        _TABLES[path] = UnitTable(ranks.encode_pieces)
     return _TABLES[path]
 
 
@@ -234,36 +215,46 @@ def list_array(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
                                     pa.array(ids.astype(np.int32)))
 
 
-#: Ids in a batch that goes back to Spark, but for a single document that has more.
+#: Bytes of text behind a batch that goes back to Spark, but for a single longer document.
 BATCH_IDS = 1 << 22
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` without its text column, with ``ids`` (array of int): each match of the
-    pattern in the text, encoded apart by the ranks. Null and empty texts have no
-    ids. Rows and other columns stay as they are; a column named ``out_col`` is replaced."""
+def packed(ids: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:
+    """Each row's ids as little-endian unsigned 32-bit integers."""
+    ends = np.r_[0, np.cumsum(counts)] * 4
+    return pa.Array.from_buffers(pa.binary(), len(counts), [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4").tobytes())])
+
+
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", out_col: str = "ids",
+           pack: bool = False) -> DataFrame:
+    """``docs`` without its text column, with ``ids`` (array of int; with ``pack`` binary,
+    four little-endian bytes each): each match of the pattern in the text, encoded apart
+    by the ranks. Null and empty texts have no ids. Rows and other columns stay as they are; a
+    column named ``out_col`` is replaced."""
     shared = _broadcast(docs.sparkSession, ranks_path)
     kept = [c for c in docs.columns if c not in (text_col, out_col)]
-    schema = docs.select(*kept).schema.add(out_col, ArrayType(IntegerType()))
+    schema = docs.select(*kept).schema.add(out_col, BinaryType() if pack else ArrayType(IntegerType()))
+    column = packed if pack else list_array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(ranks_path, shared.value)
         for batch in batches:
             texts = batch.column(0)
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)) \
-                if pa.types.is_string(texts.type) else np.full(len(texts), 1 << 12)
-            group = np.cumsum(sizes) // BATCH_IDS
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(sizes, dtype=np.int64) // BATCH_IDS
             bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(texts) else [0]
             for at, to in zip(bounds[:-1], bounds[1:]):
                 part = batch.slice(at, to - at)
-                ids = list_array(*table.ids_of(part.column(0).to_pylist()))
+                ids = column(*table.ids_of(part.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], [*kept, out_col])
 
     return docs.select(F.col(text_col).cast("string").alias("_text"), *kept).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that the ids stand for (binary; null ids as none)."""
+    """``encoded`` with the bytes that the ids (an array, or packed) stand for (binary; null
+    ids as none)."""
     shared = _broadcast(encoded.sparkSession, ranks_path)
     kept = [c for c in encoded.columns if c != out_col]
     schema = encoded.select(*kept).schema.add(out_col, "binary")
@@ -273,8 +264,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                decoded = [ranks.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b""
-                           for x in part.column(kept.index(ids_col))]
+                column = part.column(kept.index(ids_col))
+                if pa.types.is_binary(column.type):
+                    ids = (np.frombuffer(x or b"", "<u4").astype(np.int64) for x in column.to_pylist())
+                else:
+                    ids = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64) for x in column)
+                decoded = [ranks.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*kept, out_col])
 
     return encoded.select(*kept).mapInArrow(run, schema)

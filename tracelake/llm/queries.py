@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,26 +35,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-def _id_digests(encoded: DataFrame) -> DataFrame:
-    """``ids`` become ``n_tokens`` and ``ids_sha256`` (ids as little-endian 32-bit integers)."""
-    kept = [c for c in encoded.columns if c != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in ids])], [*kept, "n_tokens", "ids_sha256"])
-
-    schema = encoded.select(*kept).schema.add("n_tokens", "long").add("ids_sha256", "string")
-    return encoded.select("ids", *kept).mapInArrow(run, schema)
-
-
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, vocabulary(RANKS)), vocabulary(RANKS))
-    hashed = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return _id_digests(hashed)
+    decoded = bpe.decode(bpe.encode(docs, vocabulary(RANKS), pack=True), vocabulary(RANKS))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
