@@ -39,7 +39,9 @@ def bloom_options(columns: dict[str, tuple[float, int]]) -> dict[str, str]:
 
 
 # TraceId at fpp 0.001 and SpanName at 0.01, as the reference table's skip indexes.
-DEFAULT_BLOOM = {"TraceId": (0.001, 1_000_000), "SpanName": (0.01, 10_000)}
+# Expected distinct values of a full file (traces have some ten spans); a filter's size is set by
+# them, so that a table of many small files wants smaller numbers.
+DEFAULT_BLOOM = {"TraceId": (0.001, 200_000), "SpanName": (0.01, 5_000)}
 
 
 def _writer(df: DataFrame, mode: str, bloom: dict | None, max_records: int):
@@ -94,7 +96,7 @@ def write_sharded_hash(spans: DataFrame, n_shards: int, path: str, method: str =
     src = spans.withColumns({"shard": shard_of("TraceId", n_shards, method), **keys})
     out = (_by_range(src, n_tasks, "shard", *keys, "TraceId", "SpanId")
            .sortWithinPartitions("shard", *keys, "TraceId"))
-    _writer(out, mode, {"TraceId": (0.001, 1_000_000)}, MAX_RECORDS_PER_FILE).partitionBy("shard", *keys).parquet(path)
+    _writer(out, mode, {"TraceId": DEFAULT_BLOOM["TraceId"]}, MAX_RECORDS_PER_FILE).partitionBy("shard", *keys).parquet(path)
     return path
 
 
@@ -212,7 +214,7 @@ def retention_drop(spark: SparkSession, path: str, ttl: dt.timedelta, now: dt.da
 
 def compact_partitions(spark: SparkSession, path: str, out_path: str, target_rows: int = 1_000_000,
                        sort_cols: tuple[str, ...] = ("ServiceName", "SpanName", "Timestamp"),
-                       bloom: dict | None = None) -> str:
+                       bloom: dict | None = None, n_tasks: int | None = None) -> str:
     """Rewrite a partitioned table with at most ``target_rows`` rows per file.
 
     The partition columns (``dt``, ``hour``, ``month``, ``shard``), the clustering order and
@@ -221,7 +223,7 @@ def compact_partitions(spark: SparkSession, path: str, out_path: str, target_row
     df = spark.read.parquet(path)
     parts = [c for c in ("shard", "dt", "hour", "month") if c in df.columns]
     order = [*parts, *(c for c in sort_cols if c in df.columns)]
-    out = _by_range(df, None, *order).sortWithinPartitions(*order)
+    out = _by_range(df, n_tasks, *order).sortWithinPartitions(*order)
     _writer(out, "overwrite", DEFAULT_BLOOM if bloom is None else bloom, target_rows).partitionBy(*parts).parquet(out_path)
     before, after = df.count(), spark.read.parquet(out_path).count()
     if before != after:

@@ -900,12 +900,20 @@ def _written(spark, sf_dir, kind: str, writer) -> str:
     return path
 
 
+def _tasks(spark) -> int:
+    """Few spans in thousands of directories: the number of files, not of bytes, is what
+    tasks share here, so adaptive merging of small ranges is left out."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def map_table(spark, sf_dir):
-    return layout.read_spans(spark, _written(spark, sf_dir, "spans-map", layout.write_spans_map))
+    return layout.read_spans(spark, _written(
+        spark, sf_dir, "spans-map", lambda s, p: layout.write_spans_map(s, p, _tasks(spark))))
 
 
 def json_table(spark, sf_dir):
-    return layout.read_spans(spark, _written(spark, sf_dir, "spans-json", layout.write_spans_json))
+    return layout.read_spans(spark, _written(
+        spark, sf_dir, "spans-json", lambda s, p: layout.write_spans_json(s, p, _tasks(spark))))
 
 
 def sharded_table(spark, sf_dir):
@@ -1015,7 +1023,7 @@ SELECT count(*) AS spans_kept, count(DISTINCT Timestamp::DATE) AS partitions_kep
 WHERE Timestamp::DATE + INTERVAL 1 DAY + INTERVAL {RETENTION_TTL.days} DAY > (SELECT max(Timestamp) FROM spans)"""))
 def q_retention_drop(spark, sf_dir):
     path = scratch_path(spark, "retention")
-    layout.write_spans_map(spans_of(spark, sf_dir), path)
+    layout.write_spans_map(spans_of(spark, sf_dir), path, _tasks(spark))
     t = layout.read_spans(spark, path)
     now = t.agg(F.max("Timestamp").cast("timestamp_ntz")).first()[0]
     layout.retention_drop(spark, path, RETENTION_TTL, now)
@@ -1057,7 +1065,7 @@ WHERE date_trunc('hour', Timestamp) + INTERVAL 1 HOUR + INTERVAL 5 HOUR > (SELEC
 def q_retention_drop_hourly(spark, sf_dir):
     """The five-hour TTL of the hourly JSON table."""
     path = scratch_path(spark, "retention-hourly")
-    layout.write_spans_json(spans_of(spark, sf_dir), path)
+    layout.write_spans_json(spans_of(spark, sf_dir), path, _tasks(spark))
     now = layout.read_spans(spark, path).agg(F.max("Timestamp").cast("timestamp_ntz")).first()[0]
     layout.retention_drop(spark, path, _dt.timedelta(hours=5), now, hourly=True)
     return layout.read_spans(spark, path).agg(
@@ -1068,7 +1076,7 @@ def q_retention_drop_hourly(spark, sf_dir):
 def q_write_both_layouts(spark, sf_dir):
     """One job writes both targets; what is read back is equal."""
     m, j = scratch_path(spark, "both-map"), scratch_path(spark, "both-json")
-    layout.write_both_layouts(spans_of(spark, sf_dir), m, j)
+    layout.write_both_layouts(spans_of(spark, sf_dir), m, j, _tasks(spark), json_granularity="day")
     return setops.parity(layout.read_spans(spark, m), encode.json_to_map_layout(layout.read_spans(spark, j)))
 
 
@@ -1087,8 +1095,9 @@ def q_files_per_partition(spark, sf_dir):
 @register("compact_partitions", S("SELECT Timestamp::DATE AS dt, count(*) AS rows, 1::BIGINT AS parts FROM spans GROUP BY 1"))
 def q_compact_partitions(spark, sf_dir):
     """A day has one file after compaction (a day's rows fit into one here)."""
-    src = _written(spark, sf_dir, "spans-map", layout.write_spans_map)
-    out = layout.compact_partitions(spark, src, scratch_path(spark, "compacted"))
+    map_table(spark, sf_dir)
+    src = _WRITTEN[("spans-map", sf_dir, spark.sparkContext.applicationId)]
+    out = layout.compact_partitions(spark, src, scratch_path(spark, "compacted"), n_tasks=_tasks(spark))
     return layout.files_per_partition(spark, out).select("dt", "rows", F.least("parts", F.lit(1)).alias("parts"))
 
 
