@@ -2,7 +2,7 @@
 
 1. How many labelled texts of either class hold each hashed n-gram is counted over
    all training rows (whole texts); the log ratio of the smoothed shares is an n-gram's scale.
-2. The ``FEATURES`` n-grams whose shares differ most (by z score) are kept, and a logistic
+2. The ``FEATURES`` n-grams whose shares differ most (by z score, ``LEAST_Z`` at least) are kept, and a logistic
    regression is fitted on their scaled presence, on at most ``MAX_TRAINING`` rows.
 3. Texts are scored with one broadcast table of 2 ** ``BITS`` weights.
 """
@@ -21,6 +21,8 @@ from .common import materialize
 from .ngrams import hashed, present
 
 ORDERS, BITS, FEATURES = (3, 4, 5), 18, 1024
+#: Least z score of an n-gram that is kept: of 2 ** BITS n-grams that tell nothing, about two reach it.
+LEAST_Z = 4.5
 #: Labelled rows that the regression is fitted on, at most (half of them of each class, if there are).
 MAX_TRAINING = 8_000
 
@@ -106,7 +108,10 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING, features: int =
     counts = materialize(counts, "ngram-counts")
     all1, all0 = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     ratio = F.log((F.col("toxic") + 1) / (all1 + (1 << BITS))) - F.log((F.col("clean") + 1) / (all0 + (1 << BITS)))
-    best = counts.select("feature", ratio.alias("ratio"), z.alias("z")).orderBy(F.desc("z"), "feature").limit(features).collect()
+    best = counts.select("feature", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= LEAST_Z)
+    best = best.orderBy(F.desc("z"), "feature").limit(features).collect()
+    if not best:  # nothing tells the classes apart: the share of label 1 is every text's score
+        return Model(rank, np.zeros(1), float(np.log((n1 + 1) / (n0 + 1))))
     rank[[r["feature"] for r in best]] = np.arange(len(best), dtype=np.int32)
     ratios = np.array([r["ratio"] for r in best])
 
