@@ -216,7 +216,7 @@ def list_array(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 #: Bytes of text behind a batch that goes back to Spark, but for a single longer document.
-BATCH_IDS = 1 << 22
+BATCH_IDS = 1 << 21
 
 
 def packed(ids: np.ndarray, counts: np.ndarray) -> pa.BinaryArray:

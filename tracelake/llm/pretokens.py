@@ -26,8 +26,8 @@ _FULL = regex.compile(PATTERN)
 
 _RUN = re.compile(r"\s\s")
 
-#: Characters of text looked up at once; pieces, and their characters, that are kept.
-CHUNK, KEPT, KEPT_CHARS = 1 << 22, 400_000, 1 << 23
+#: Characters of text looked up at once; pieces that are kept (some 200 bytes each).
+CHUNK, KEPT = 1 << 21, 250_000
 
 
 def split(text: str) -> list[str]:
@@ -45,8 +45,8 @@ class Kept:
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
 
-    def full(self) -> bool:
-        return len(self.index) > KEPT or self.chars > KEPT_CHARS
+    def full(self, most: int) -> bool:
+        return len(self.index) > most or self.chars > 16 * most
 
     def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.index), len(keys)
@@ -85,15 +85,15 @@ class UnitTable:
     the text falls into units of whole pieces there, and a chunk's distinct units are split.
     Texts with runs of white space, and very long ones, are split whole."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int | None = None):
+        self.encode, self.keep = encode, keep or KEPT
         self.pieces = Kept()
 
     def _add_pieces(self, pieces: list[str]) -> None:
         self.pieces.add(pieces, *self.encode(pieces))
 
     def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.pieces.full():
+        if self.pieces.full(self.keep):
             self.pieces = Kept()
         return self.pieces.gather(self.pieces.rows(pieces, self._add_pieces))
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,11 @@ from .bpe import BATCH_IDS, list_array
 from .pretokens import UnitTable
 
 STRIPE_BYTES, ROW_GROUP = 64 << 20, 1000
+#: Pieces whose ids a worker keeps (some 200 MB): the library is the dear part here.
+KEPT = 1_000_000
 _ENCODERS: dict[int, object] = {}
+#: Fixed value: how a byte-level vocabulary writes the space.
+_SPACE = "\u0120"
 
 
 def pieces_apart(config: dict) -> bool:
@@ -53,8 +58,33 @@ def _encoder(text: str):
             return (np.fromiter((i for ids in found for i in ids), np.int32),
                     np.array([len(ids) for ids in found], np.int64))
 
+        config = json.loads(text)
+        if pieces_apart(config):
+            spaced = np.zeros(max(config["model"]["vocab"].values()) + 1, bool)
+            spaced[[i for token, i in config["model"]["vocab"].items() if token[0] == _SPACE]] = True
+        else:
+            spaced = None
+
+        def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Pieces that begin with their only space go to the library as one text: their
+            first tokens are those that begin with a space."""
+            joined = np.array([t[:1] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace()
+                               and " " not in t[1:] for t in texts], bool)
+            if joined.sum() < 2:
+                return whole(texts)
+            one = tokenizer.encode_batch_fast(["".join(t for t, j in zip(texts, joined) if j)], add_special_tokens=False)
+            ids = np.array(one[0].ids, np.int32)
+            begin = np.flatnonzero(spaced[ids])
+            other, other_sizes = whole([t for t, j in zip(texts, joined) if not j])
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[joined], sizes[~joined] = np.diff(np.r_[begin, len(ids)]), other_sizes
+            place = np.repeat(joined, sizes)
+            out = np.empty(len(place), np.int32)
+            out[place], out[~place] = ids, other
+            return out, sizes
+
         _ENCODERS.clear()
-        _ENCODERS[key] = UnitTable(whole).ids_of if pieces_apart(json.loads(text)) else whole
+        _ENCODERS[key] = whole if spaced is None else UnitTable(pieces, KEPT).ids_of
     return _ENCODERS[key]
 
 
@@ -69,8 +99,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
         encode, before = _encoder(shared.value), 0
         for batch in batches:
             texts = batch.column(1)
-            size = np.array([len(t) if t else 0 for t in texts.to_pylist()], np.int64)
-            group = np.cumsum(size) // BATCH_IDS
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(size, dtype=np.int64) // BATCH_IDS
             bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(size) else [0]
             for at, to in zip(bounds[:-1], bounds[1:]):
                 ids, counts = encode(texts.slice(at, to - at).to_pylist())
@@ -113,7 +143,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sums = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     bases = sums.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return (rows.join(bases, "file_no")
+    # Broadcast: 12 bytes for each file, and a file holds many thousands of documents.
+    return (rows.join(F.broadcast(bases), "file_no")
             .select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids"))
 
 
