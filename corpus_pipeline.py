@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import stages
-from tracelake.llm.common import materialize, table
-from tracelake.session import configure
+from tracelake.llm.common import table
+from tracelake.session import configure, scratch_path
 
 #: (name, function) in order; a function takes (spark, docs, sf_dir).
 STAGES = [
@@ -29,5 +29,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = stage(spark, docs, sf_dir)
+        path = scratch_path(spark, f"pipeline-{name}")
+        kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

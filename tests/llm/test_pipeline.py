@@ -57,6 +57,8 @@ def test_stages(spark, tmp_path):
     assert sum(passage in (t or "") for ts in texts.values() for t in ts) == 1 and passage in texts[300][0]
     assert set(carriers) <= set(texts) and texts[500] == [None] and texts[501] == [""]
     assert all(texts[i][0] == t for i, t in clean.items())
+    for name in ("toxicity", "line_dedup", "near_dedup", "mix_sources"):
+        assert {(r["row_id"], r["ids"], r["_fp"]) for r in kept[name]} == {("r", 1, "f")}
     assert all(r["n_chars"] == len(r["text"] or "") for r in kept["line_dedup"] if r["doc_id"] in carriers)
 
     left = ids["near_dedup"]

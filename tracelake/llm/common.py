@@ -16,9 +16,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that Spark hands to a Python worker at once: bounds the worker's memory, however
+#: long the texts are (one longer row is a batch of its own).
+BATCH_BYTES = "4m"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Give this package to the executors' Python workers, once a context, as
-    ``--py-files`` would."""
+    """Make a session ready for the operators: batches bounded in bytes, and this package given
+    to the executors' Python workers, once a context, as ``--py-files`` would."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_tracelake_shipped", False):
         return spark
@@ -39,10 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what :func:`materialize` has written so far. Only for a caller that needs none of
+    the results built on it any more."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives
     the loss of executors."""
     path = scratch_path(df.sparkSession, name)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

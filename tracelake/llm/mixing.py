@@ -24,7 +24,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .common import WORD, materialize, running_totals
 
@@ -157,7 +156,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = materialize(placed.select("source_key", "source_no", "size", turn.alias("weight")), "sources")
     sources = materialize(with_targets(sources, max_epochs), "targets")
     total = sources.agg(F.sum("size")).first()[0] or 0
-    quotas = sainte_lague(sources.select(F.lit(0).alias("grp"), F.col("source_no").alias("party"),
+    quotas = sainte_lague(sources.select((F.col("source_no") * 0).alias("grp"), F.col("source_no").alias("party"),
                                          F.col("target").alias("votes"), F.lit(round(total / block)).alias("seats")))
     sources = materialize(sources.join(quotas.select(F.col("party").alias("source_no"), "quota"), "source_no")
                           .select("source_key", "source_no", "target", F.col("size").alias("source_size"),
@@ -200,16 +199,20 @@ def cut(text: str, spans: list[list[int]]) -> str:
 
 def taken_texts(plan: DataFrame, text_col: str = "text", out_col: str = "texts") -> DataFrame:
     """``plan`` (with ``passes``, ``spans`` and the text) with the taken texts as an array:
-    each whole copy, and the spans' words."""
-    kept = [c for c in plan.columns if c not in ("passes", "spans", out_col)]
-    schema = plan.select(*kept).schema.add(out_col, ArrayType(StringType()))
+    each whole copy, and the spans' words. A null text gives none."""
+    kept = [c for c in plan.columns if c not in ("spans", out_col, "_extra")]
+    schema = plan.select(*kept).schema.add("_extra", "string")
+    place = 1 + kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2 + kept.index(text_col)).to_pylist()
-            taken = [[t] * p + ([cut(t, s)] if s else []) if t else []
-                     for p, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(taken, pa.list_(pa.string()))],
-                                             [*kept, out_col])
-
-    return plan.select("passes", "spans", *kept).mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                extra = [cut(t, s) if s and t else None
+                         for s, t in zip(part.column(0).to_pylist(), part.column(place).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(extra, pa.string())], [*kept, "_extra"])
+
+    whole = F.when(F.col(text_col).isNotNull(), F.array_repeat(text_col, F.col("passes"))).otherwise(F.array().cast("array<string>"))
+    more = F.when(F.col("_extra").isNotNull(), F.array("_extra")).otherwise(F.array().cast("array<string>"))
+    return (plan.select("spans", *kept).mapInArrow(run, schema)
+            .withColumn(out_col, F.concat(whole, more)).drop("_extra", "passes"))

@@ -1,7 +1,9 @@
 """The stages of ``corpus_pipeline.py``: operators as filters of a document table.
 
 A stage takes (spark, docs, sf_dir). ``docs`` has the columns of ``documents``; other
-columns are carried along. All but the last stage return the columns they were given.
+columns are carried along. All but the last stage return the columns they were given. A
+stage's result has to be written before the next stage is called: that one deletes the
+tables in the shared folder that it rests on.
 """
 
 from __future__ import annotations
@@ -10,64 +12,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, line_dedup, mixing, simhash, toxicity
-from .common import materialize, ship_package, table, with_row_ids
+from .common import drop_scratch, materialize, ship_package, table, with_row_ids
 from .queries import RANKS, held_out, vocabulary
 
 
-def _with_n_chars(df: DataFrame) -> DataFrame:
-    """n_chars, where there is such a column, follows the text."""
-    if "n_chars" not in df.columns:
-        return df
-    kind = dict(df.dtypes)["n_chars"]
-    return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(kind))
+def _begin(spark: SparkSession) -> None:
+    """A stage's input was written and read again, so the tables that the stage before
+    worked with can go."""
+    ship_package(spark)
+    drop_scratch(spark)
+
+
+_OWN = ("doc_id", "text", "source")
+
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """The columns that operators use, and all others in one struct, so that no name of
+    theirs meets one that an operator uses."""
+    others = [c for c in docs.columns if c not in _OWN]
+    box = F.struct(*(F.col(f"`{c}`").alias(c) for c in others)) if others else F.struct(F.lit(0).alias("none"))
+    return docs.select(*_OWN, box.alias("_row"))
+
+
+def _unboxed(rows: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` again; with another text (and n_chars, where there is such a
+    column) if its column is named."""
+    columns = {c: F.col(c) if c in _OWN else F.col("_row").getField(c) for c in docs.columns}
+    if text:
+        columns["text"] = F.col(text)
+        if "n_chars" in columns:
+            columns["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(column.alias(c) for c, column in columns.items()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the toxicity classifier doesn't reject (score below 0.5). It
     learns from the labels of the documents it is given, held-out ones left out."""
-    ship_package(spark)
+    _begin(spark)
     model = toxicity.train(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels"), held_out(0, 5)))
-    return toxicity.score(docs, model, out_col="_score").where("_score < 0.5").drop("_score")
+    return _unboxed(toxicity.score(_boxed(docs), model).where("score < 0.5"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated runs of lines. A document that loses all its words
     goes; one that had none stays."""
-    ship_package(spark)
-    cols = docs.columns
-    left = line_dedup.dedup_rows(with_row_ids(docs))
+    _begin(spark)
+    left = line_dedup.dedup_rows(with_row_ids(_boxed(docs)))
     emptied = (F.size("deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _with_n_chars(left.where(~F.coalesce(emptied, F.lit(False))).select(*cols))
+    return _unboxed(left.where(~F.coalesce(emptied, F.lit(False))), docs, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: the smallest doc_id (null last),
-    of rows that share it the one of smallest text hash, of equal rows any one."""
-    ship_package(spark)
-    cols = docs.columns
-    rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"))
-    marked = materialize(simhash.with_fingerprints(docs, out_col="_fp").withColumn("_rank", rank), "near-dedup")
-    roots = simhash.component_roots(marked.select("doc_id", F.col("_fp").alias("fp")), 3)
-    roots = roots.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    first = (marked.select("_fp", "_rank").join(roots, "_fp").groupBy("_root").agg(F.min("_rank").alias("_rank")))
-    stays = roots.join(first, "_root").select("_fp", "_rank", "_root")
-    return marked.join(stays, ["_fp", "_rank"]).dropDuplicates(["_root"]).select(*cols)
+    """Keep one document of each SimHash component: the smallest doc_id (null last), of rows
+    that share it the one of smallest text hash, of equal rows any one."""
+    _begin(spark)
+    rows = _boxed(docs).withColumn("row_id", F.monotonically_increasing_id())
+    rows = materialize(simhash.with_fingerprints(rows), "near-dedup")
+    roots = simhash.component_roots(rows.select("doc_id", "fp"), 3)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col("row_id").alias("row_id"))
+    first = (rows.select("fp", place.alias("place")).join(roots.select("fp", "root"), "fp")
+             .groupBy("root").agg(F.min("place").alias("first")))
+    return _unboxed(rows.join(first.select("first.row_id"), "row_id", "left_semi"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each whole copy that is taken of a document, and one more with the
     stretches of its text that are taken once more. Documents without words aren't part of a mix."""
-    ship_package(spark)
-    cols = docs.columns
-    rows = with_row_ids(docs)
-    plan = (mixing.mix(rows, row_col="row_id").where("taken > 0").select("row_id", "passes", "spans"))
+    _begin(spark)
+    rows = with_row_ids(_boxed(docs))
+    plan = mixing.mix(rows, row_col="row_id").where("taken > 0").select("row_id", "passes", "spans")
     taken = mixing.taken_texts(rows.join(plan, "row_id"))
-    return _with_n_chars(taken.withColumn("text", F.explode("texts")).select(*cols))
+    return _unboxed(taken.withColumn("taken", F.explode("texts")), docs, "taken")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids, and whether decoding them gives its text back, in place of the text."""
-    ship_package(spark)
+    _begin(spark)
     checked = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     decoded = bpe.decode(bpe.encode(checked, vocabulary(RANKS)), vocabulary(RANKS))
     return (decoded.withColumn("n_tokens", F.size("ids").cast("long"))
