@@ -97,10 +97,13 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
     seen[[r["feature"] for r in found]] = [r["n"] for r in found]
     idf = np.log((1 + n) / (1 + seen)) + 1
 
+    if languages > max_training:
+        raise ValueError(f"{languages} languages; a sample of {max_training} rows can't hold them all")
     # A row is picked by its hash, at a rate that gives each language its part of the sample.
     quota = max(1, max_training // languages)
     mark = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = materialize(rows.join(totals, "lang").where(mark * F.col("total") < 0.95 * quota)
+    # Broadcast: a row for each language, at most max_training.
+    sample = materialize(rows.join(F.broadcast(totals), "lang").where(mark * F.col("total") < 0.95 * quota)
                          .select("lang", "text", F.xxhash64("key", "text").alias("mark"))
                          .orderBy("mark").limit(max_training), "language-sample")
     shared = labelled.sparkSession.sparkContext.broadcast(idf)
