@@ -105,3 +105,17 @@ def test_token_files_are_pruned_and_empty_tables_work(spark, tmp_path):
     assert sum(orc.ORCFile(str(f)).nrows for f in files) == 5000
     path = token_files.write_tokens(df.limit(0), str(tmp_path / "none"), HF)
     assert token_files.read_tokens(spark, path).count() == 0
+
+
+def test_added_tokens_are_found_as_the_library_finds_them(spark, tmp_path):
+    rows = [(0, "<|endoftext|> a"), (1, "plain words here"), (2, "a  b<|endoftext|><|endoftext|>\n  c <|endoftext|"),
+            (3, "<|endoftext|>"), (4, None), (5, "it quotes <|endoftext|> and goes on " * 500), (6, " x y z")]
+    tokenizer = tokenizers.Tokenizer.from_file(HF)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in token_files.tokenize(df, HF, 2).collect()}
+    assert got[0]["ids"] == [50256, 257, 2]
+    at = 0
+    for i, t in rows:
+        want = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (got[i]["ids"], got[i]["n_tokens"], got[i]["file_start"]) == (want, len(want), at)
+        at += len(want)

@@ -9,6 +9,8 @@ file is the sum over the files before it, from one row for each file.
 Ids come from the ``tokenizers`` library. Its byte-level models encode every piece of
 the split on its own, so the library gets distinct runs of pieces once and their ids are
 looked up after; tokenizers with other steps (a normalizer, another split) get whole texts.
+Texts that hold an added token's content (``<|endoftext|>``) also go to the library whole:
+it finds the token there before it splits.
 """
 
 from __future__ import annotations
@@ -50,15 +52,27 @@ def _encoder(text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(text)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer, plain = Tokenizer.from_str(text), Tokenizer.from_str(text)
+        plain.encode_special_tokens = True  # for pieces, which are no added tokens
 
-        def whole(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        def whole(texts: list[str | None], by=tokenizer) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in by.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
             return (np.fromiter((i for ids in found for i in ids), np.int32),
                     np.array([len(ids) for ids in found], np.int64))
 
+        def dealt(texts: list, chosen: np.ndarray, one, other) -> tuple[np.ndarray, np.ndarray]:
+            """Ids by ``one`` for the chosen texts and by ``other`` for the rest, in the texts' order."""
+            ids, own = one([t for t, c in zip(texts, chosen) if c])
+            rest, rest_sizes = other([t for t, c in zip(texts, chosen) if not c])
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[chosen], sizes[~chosen] = own, rest_sizes
+            place = np.repeat(chosen, sizes)
+            out = np.empty(len(place), np.int32)
+            out[place], out[~place] = ids, rest
+            return out, sizes
+
         config = json.loads(text)
+        added = [t["content"] for t in config.get("added_tokens", []) if t["content"]]
         if pieces_apart(config):
             spaced = np.zeros(max(config["model"]["vocab"].values()) + 1, bool)
             spaced[[i for token, i in config["model"]["vocab"].items() if token[0] == _SPACE]] = True
@@ -71,20 +85,22 @@ def _encoder(text: str):
             joined = np.array([t[:1] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace()
                                and " " not in t[1:] for t in texts], bool)
             if joined.sum() < 2:
-                return whole(texts)
-            one = tokenizer.encode_batch_fast(["".join(t for t, j in zip(texts, joined) if j)], add_special_tokens=False)
+                return whole(texts, plain)
+            return dealt(texts, joined, run_on, lambda rest: whole(rest, plain))
+
+        def run_on(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            one = plain.encode_batch_fast(["".join(texts)], add_special_tokens=False)
             ids = np.array(one[0].ids, np.int32)
-            begin = np.flatnonzero(spaced[ids])
-            other, other_sizes = whole([t for t, j in zip(texts, joined) if not j])
-            sizes = np.zeros(len(texts), np.int64)
-            sizes[joined], sizes[~joined] = np.diff(np.r_[begin, len(ids)]), other_sizes
-            place = np.repeat(joined, sizes)
-            out = np.empty(len(place), np.int32)
-            out[place], out[~place] = ids, other
-            return out, sizes
+            return ids, np.diff(np.r_[np.flatnonzero(spaced[ids]), len(ids)])
+
+        known = UnitTable(pieces, KEPT).ids_of
+
+        def apart(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            holds = np.array([any(a in t for a in added) if t else False for t in texts], bool)
+            return dealt(texts, holds, whole, known) if holds.any() else known(texts)
 
         _ENCODERS.clear()
-        _ENCODERS[key] = whole if spaced is None else UnitTable(pieces, KEPT).ids_of
+        _ENCODERS[key] = whole if spaced is None else apart
     return _ENCODERS[key]
 
 
