@@ -160,6 +160,23 @@ def test_toxicity_held_out_and_edges(spark):
     assert {r["score"] > 0.5 for r in toxicity.score(odd, bad).collect()} == {True}
 
 
+def test_toxicity_learns_many_rare_terms(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    words, terms = [word(rng.randrange(2, 9)) for _ in range(2000)], [word(8) for _ in range(400)]
+    rows = []
+    for i in range(3000):
+        text = [rng.choice(words) for _ in range(rng.randrange(100, 300))]
+        for _ in range(2 * (i % 2)):
+            text.insert(rng.randrange(len(text)), rng.choice(terms))
+        rows.append((i, " ".join(text), i % 2))
+    docs = spark.createDataFrame(rows, "key long, text string, label int").repartition(8)
+    model = toxicity.train(docs.where("key < 2400").select("text", "label", "key"))
+    got = {r["key"]: r["score"] >= 0.5 for r in toxicity.score(docs.where("key >= 2400"), model).collect()}
+    assert sum(got[i] for i in got if i % 2) >= 0.9 * 300
+    assert sum(not got[i] for i in got if not i % 2) >= 0.9 * 300
+
+
 def test_long_texts_have_the_n_grams_of_their_pieces(monkeypatch):
     from tracelake.llm import ngrams
 

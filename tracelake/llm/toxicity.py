@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 1. How many labelled texts of either class hold each hashed n-gram is counted over
-   all training rows (whole texts); the log ratio of the smoothed shares is an n-gram's scale.
-2. The ``FEATURES`` n-grams whose shares differ most (by z score, ``LEAST_Z`` at least) are kept, and a logistic
-   regression is fitted on their scaled presence, on at most ``MAX_TRAINING`` rows.
+   all training rows (whole texts); the log ratio of the smoothed shares times the z score of
+   their difference is an n-gram's scale.
+2. A logistic regression is fitted on the scaled presence of all n-grams, on at most ``MAX_TRAINING`` rows. Each
+   row has length one, so that long texts don't outweigh others; the penalty settles n-grams that tell little.
 3. Texts are scored with one broadcast table of 2 ** ``BITS`` weights.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,28 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .ngrams import hashed, present
+from .ngrams import present
 
-ORDERS, BITS, FEATURES = (3, 4, 5), 18, 1024
-#: Least z score of an n-gram that is kept: of 2 ** BITS n-grams that tell nothing, about two reach it.
-LEAST_Z = 4.5
+ORDERS, BITS = (3, 4, 5), 18
 #: Labelled rows that the regression is fitted on, at most (half of them of each class, if there are).
 MAX_TRAINING = 8_000
 
 
 @dataclass
 class Model:
-    """``rank`` maps an n-gram's bucket to its feature or -1."""
-    rank: np.ndarray
+    """``scales`` and ``weights`` (already scaled) of all buckets."""
+    scales: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def features(self, text: str | None) -> np.ndarray:
-        found = [r[r >= 0] for r in (self.rank[h] for h in hashed(text, ORDERS, BITS))]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
-
     def score(self, text: str | None) -> float:
-        x = float(self.weights[self.features(text)].sum() + self.bias)
+        found = present(text, ORDERS, BITS)
+        length = np.sqrt((self.scales[found] ** 2).sum())
+        x = float(self.weights[found].sum() / max(length, 1e-6) + self.bias)
         return float(1 / (1 + np.exp(-x))) if x >= 0 else float(np.exp(x) / (1 + np.exp(x)))
 
 
@@ -68,30 +66,98 @@ def _count(rates: tuple[float, float]):
     return run
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent."""
-    n = len(y)
-    bend = 0.25 * float(np.linalg.eigvalsh(x.T @ x)[-1]) * weight.max() / n + penalty / n + 0.25 * weight.max()
-    w, b, at_w, at_b, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 1.0
-    for _ in range(steps):
-        gap = (1 / (1 + np.exp(-np.clip(x @ at_w + at_b, -30, 30))) - y) * weight
-        new_w, new_b = at_w - (x.T @ gap + penalty * at_w) / n / bend, at_b - gap.mean() / bend
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at_w, at_b = new_w + (t - 1) / after * (new_w - w), new_b + (t - 1) / after * (new_b - b)
-        w, b, t = new_w, new_b, after
-    return w, b
+#: N-grams of the rows that are handled at once; what a row takes as bits.
+_BLOCK, _ROW_BYTES = 1 << 20, (1 << BITS) // 8
+
+
+def _bits(found: np.ndarray) -> bytes:
+    row = np.zeros(1 << BITS, bool)
+    row[found] = True
+    return np.packbits(row).tobytes()
+
+
+class _Rows:
+    """The n-grams of each row, as bits where those are smaller: at most 2 ** ``BITS`` bits a row."""
+
+    def __init__(self, packed: list[bytes], scales: np.ndarray):
+        self.rows, self.sizes, self.scales = [], np.zeros(len(packed), np.int64), scales
+        length = np.zeros(len(packed))
+        for i, data in enumerate(packed):
+            bits = np.frombuffer(zlib.decompress(data), np.uint8)
+            found = np.flatnonzero(np.unpackbits(bits)).astype(np.int32)
+            self.rows.append(found if found.nbytes <= _ROW_BYTES else bits)
+            self.sizes[i], length[i] = len(found), (scales[found] ** 2).sum()
+        self.length = np.maximum(np.sqrt(length), 1e-6)
+        block = np.cumsum(self.sizes) // _BLOCK
+        self.bounds = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
 
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for at, to in zip(self.bounds[:-1], self.bounds[1:]):
+            yield slice(at, to), np.concatenate([r if r.dtype == np.int32 else np.flatnonzero(np.unpackbits(r))
+                                                 for r in self.rows[at:to]])
 
-def train(labelled: DataFrame, max_training: int = MAX_TRAINING, features: int = FEATURES,
-          penalty: float = 1.0, steps: int = 300) -> Model:
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out, scaled = np.zeros(len(self.rows)), w * self.scales
+        for own, found in self._blocks():
+            sizes, sums = self.sizes[own], np.r_[0.0, np.cumsum(scaled[found])]
+            ends = np.cumsum(sizes)
+            out[own] = sums[ends] - sums[ends - sizes]
+        return out / self.length
+
+    def summed(self, by_row: np.ndarray) -> np.ndarray:
+        out, by_row = np.zeros(1 << BITS), by_row / self.length
+        for own, found in self._blocks():
+            out += np.bincount(found, np.repeat(by_row[own], self.sizes[own]), 1 << BITS)
+        return out * self.scales
+
+
+def _fit(x: _Rows, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by L-BFGS."""
+    sign = 2 * y - 1
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        w, margin = at[:-1], sign * (x.times(at[:-1]) + at[-1])
+        gap = -sign * weight * np.exp(-np.logaddexp(0, margin))
+        return (float((weight * np.logaddexp(0, -margin)).sum() + penalty / 2 * (w @ w)),
+                np.r_[x.summed(gap) + penalty * w, gap.sum()])
+
+    at, past = np.zeros((1 << BITS) + 1), []
+    value, slope = loss(at)
+    for _ in range(steps):
+        if np.abs(slope).max() < 1e-9:
+            break
+        way, shares = slope.copy(), []
+        for moved, bent, by in reversed(past):
+            shares.append(by * (moved @ way))
+            way -= shares[-1] * bent
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / np.linalg.norm(slope)
+        for (moved, bent, by), share in zip(past, reversed(shares)):
+            way += (share - by * (bent @ way)) * moved
+        size, falls = 1.0, float(way @ slope)
+        while True:
+            after, steep = loss(at - size * way)
+            if after <= value - 1e-4 * size * falls or size < 1e-6:
+                break
+            size /= 2
+        if after >= value:
+            break
+        moved, bent, gain = -size * way, steep - slope, value - after
+        if moved @ bent > 1e-12:
+            past = [*past[-7:], (moved, bent, 1 / (moved @ bent))]
+        at, value, slope = at + moved, after, steep
+        if gain < 1e-5 * value:
+            break
+    return at[:-1], float(at[-1])
+
+
+def train(labelled: DataFrame, max_training: int = MAX_TRAINING, penalty: float = 0.01, steps: int = 60) -> Model:
     """Learn from ``labelled``: ``text``, ``label`` (0 or 1), ``key`` (any integer, which with the
     text picks the rows of the bounded sample). Without rows of both classes, all texts get
     score 0 (1, if all rows have label 1)."""
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    rank = np.full(1 << BITS, -1, np.int32)
     if not n0 or not n1:
-        return Model(rank, np.zeros(1), 30.0 if n1 else -30.0)
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 30.0 if n1 else -30.0)
     half = max_training // 2
     take1 = min(n1, max(half, max_training - n0))
     take0 = min(n0, max_training - take1)
@@ -100,43 +166,32 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING, features: int =
     seen = materialize(labelled.select("text", "label", mark).mapInArrow(
         _count((1.1 * take0 / n0, 1.1 * take1 / n1)),
         "feature int, clean long, toxic long, text string, label int, mark long"), "toxicity-training")
-    counts = (seen.where("feature IS NOT NULL").groupBy("feature")
-              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    share1, share0 = (F.col("toxic") + 1) / (n1 + 2), (F.col("clean") + 1) / (n0 + 2)
-    pooled = (F.col("toxic") + F.col("clean") + 1) / (n0 + n1 + 2)
-    z = F.abs(share1 - share0) / F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
-    counts = materialize(counts, "ngram-counts")
-    all1, all0 = counts.agg(F.sum("toxic"), F.sum("clean")).first()
-    ratio = F.log((F.col("toxic") + 1) / (all1 + (1 << BITS))) - F.log((F.col("clean") + 1) / (all0 + (1 << BITS)))
-    best = counts.select("feature", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= LEAST_Z)
-    best = best.orderBy(F.desc("z"), "feature").limit(features).collect()
-    if not best:  # nothing tells the classes apart: the share of label 1 is every text's score
-        return Model(rank, np.zeros(1), float(np.log((n1 + 1) / (n0 + 1))))
-    rank[[r["feature"] for r in best]] = np.arange(len(best), dtype=np.int32)
-    ratios = np.array([r["ratio"] for r in best])
+    found = (seen.where("feature IS NOT NULL").groupBy("feature")
+             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow())  # at most 2 ** BITS rows
+    feature, toxic, clean = (found.column(c).to_numpy() for c in ("feature", "toxic", "clean"))
+    pooled = (toxic + clean + 1) / (n0 + n1 + 2)
+    z = np.abs((toxic + 1) / (n1 + 2) - (clean + 1) / (n0 + 2)) / np.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1))
+    scales = np.zeros(1 << BITS)
+    scales[feature] = z * (np.log((toxic + 1) / (toxic.sum() + (1 << BITS)))
+                           - np.log((clean + 1) / (clean.sum() + (1 << BITS))))
 
     chosen = seen.where("mark IS NOT NULL").select("text", "label", "mark")
     sample = (chosen.where("label = 1").orderBy("mark", "text").limit(take1)
               .union(chosen.where("label = 0").orderBy("mark", "text").limit(take0)))
-    shared = labelled.sparkSession.sparkContext.broadcast(rank)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, ratios, 0.0)
         for batch in batches:
-            rows = np.zeros((batch.num_rows, len(ratios)), bool)
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                rows[i, model.features(text)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()),
-                                              batch.column(1)], ["bits", "label"])
+            rows = [zlib.compress(_bits(present(text, ORDERS, BITS)), 1) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["bits", "label"])
 
     packed = sample.select("text", "label").repartition(16).mapInArrow(pack, "bits binary, label int").collect()
     packed.sort(key=lambda r: (r["label"], bytes(r["bits"])))
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:len(ratios)] for r in packed]) * ratios
     y = np.array([r["label"] for r in packed], float)
+    x = _Rows([bytes(r["bits"]) for r in packed], scales)
     # The sample's classes count as they do among all labelled rows.
     weight = np.where(y == 1, n1 / y.sum(), n0 / (1 - y).sum())
     w, b = _fit(x, y, weight / weight.mean(), penalty, steps)
-    return Model(rank, w * ratios, float(b))
+    return Model(scales, w * scales, b)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
