@@ -59,6 +59,17 @@ def test_compaction_keeps_rows_order_and_partitions(spark, spans_small):
     assert layout.read_spans(spark, out).count() == layout.read_spans(spark, p).count()
 
 
+def test_compaction_leaves_as_few_files_as_rows_allow(spark, spans_small):
+    p, out = scratch_path(spark, "t-parts"), scratch_path(spark, "t-parts-compact")
+    layout.write_spans_map(spans_small.filter("Timestamp >= '1998-07-15'").withColumn(
+        "Timestamp", F.when(F.col("Timestamp") < "1998-07-25", F.lit("1998-07-20").cast("timestamp")).otherwise(F.col("Timestamp"))), p)
+    rows = {r["dt"]: r["rows"] for r in layout.files_per_partition(spark, p).collect()}
+    layout.compact_partitions(spark, p, out, target_rows=20, n_tasks=7)
+    got = layout.files_per_partition(spark, out).collect()
+    assert max(rows.values()) > 40 and {r["dt"]: r["rows"] for r in got} == rows
+    assert all(r["parts"] == -(-r["rows"] // 20) for r in got)
+
+
 def test_replayed_batch_is_written_once(spark, spans_small):
     """A sink that gets a batch again, as after a restart, holds its rows once."""
     out = scratch_path(spark, "t-replay")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import readable_size, shard_of
 from ..operators.encode import encode_json_layout
+from .scan import group_scan
 
 MAX_RECORDS_PER_FILE = 2_000_000
 
@@ -215,15 +216,20 @@ def retention_drop(spark: SparkSession, path: str, ttl: dt.timedelta, now: dt.da
 def compact_partitions(spark: SparkSession, path: str, out_path: str, target_rows: int = 1_000_000,
                        sort_cols: tuple[str, ...] = ("ServiceName", "SpanName", "Timestamp"),
                        bloom: dict | None = None, n_tasks: int | None = None) -> str:
-    """Rewrite a partitioned table with at most ``target_rows`` rows per file.
+    """Rewrite a partitioned table with as few files as ``target_rows`` rows per file allow.
 
     The partition columns (``dt``, ``hour``, ``month``, ``shard``), the clustering order and
-    the Bloom filters are kept. Ranges over (partition, order) spread a huge partition over many
+    the Bloom filters are kept. Each partition is cut by exact row numbers into slices of
+    ``target_rows`` rows, and a slice goes to one task: a huge partition is spread over many
     tasks. Raises if the copy's row count differs."""
     df = spark.read.parquet(path)
     parts = [c for c in ("shard", "dt", "hour", "month") if c in df.columns]
     order = [*parts, *(c for c in sort_cols if c in df.columns)]
-    out = _by_range(df, n_tasks, *order).sortWithinPartitions(*order)
+    plain = df.toDF(*(f"_c{i}" if "." in c else c for i, c in enumerate(df.columns)))  # names with dots read as fields
+    placed = group_scan(plain.withColumn("_all", F.lit(0)), ["_all", *parts], order[len(parts):] or ["_all"], "_all", n_tasks)
+    cut = placed.select(*plain.columns, F.expr(f"(rank - 1) div {int(target_rows)}").alias("_cut"))
+    dealt = cut.repartition(n_tasks, *parts, "_cut") if n_tasks else cut.repartition(*parts, "_cut")
+    out = dealt.sortWithinPartitions(*parts, "_cut", *order[len(parts):]).drop("_cut").toDF(*df.columns)
     _writer(out, "overwrite", DEFAULT_BLOOM if bloom is None else bloom, target_rows).partitionBy(*parts).parquet(out_path)
     before, after = df.count(), spark.read.parquet(out_path).count()
     if before != after:
