@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, scratch_path
-from . import ann, bpe, exact_dedup, language, line_dedup, mixing, simhash, token_files, toxicity, url_filter
+from . import ann, bpe, exact_dedup, language, line_dedup, merkle, mixing, simhash, token_files, toxicity, url_filter
 from .common import ship_package, table
 
 HF_TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out(1, 3).alias("held_out"), "lang_pred", "score", "rejected"))
 
 
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose doc_id's crc32 is even are checked with the line feeds of their text deleted."""
+    even = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    without = merkle.leaf(LEAF_COLUMNS, {"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    found = F.when(even, without).otherwise(merkle.leaf(LEAF_COLUMNS))
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), LEAF_COLUMNS, "source", "doc_id", carried={"found": found})
+    return (proofs.withColumn("folded_root", merkle.fold(F.col("found"), F.col("steps")))
+            .select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                    "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
 def _configured(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(ship_package(configure(spark)), sf_dir)
@@ -89,10 +103,16 @@ def _configured(query):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _configured(q) for q in (
         op1_simhash_near_dedup, op2_token_files, op3_line_dedup, op4_byte_bpe, op5_mix_sources, op6_url_filter,
-        op7_exact_dedup, op8_toxicity, op9_nearest_vectors, op10_language,
+        op7_exact_dedup, op8_toxicity, op9_nearest_vectors, op10_language, op11_merkle_manifest,
     )
 }
 
+def _leaf_sql(text: str) -> str:
+    """A row's leaf as DuckDB text, with that column as its text."""
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+                       for c in (*LEAF_COLUMNS[:-1], text))
+
+
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
@@ -100,4 +120,48 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY body)""",
+    "op11_merkle_manifest": rf"""
+        WITH RECURSIVE
+        -- crc32 of the decimal doc_id, byte by byte over the table of the 256 remainders
+        crc_table AS (SELECT list(list_reduce([i] || list_transform(range(8), lambda x: 0::BIGINT),
+                                  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                                  ORDER BY i) AS t FROM range(256) r(i)),
+        docs AS (SELECT *, xor(list_reduce([4294967295] || list_transform(range(length(coalesce(doc_id::VARCHAR, ''))),
+                                  lambda k: ord(substr(doc_id::VARCHAR, k + 1, 1))::BIGINT),
+                                  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 2 = 0 AS even,
+                        replace(text, chr(10), '') AS shorter FROM documents, crc_table),
+        leaves AS (SELECT doc_id, source, sha256({_leaf_sql('text')}) AS leaf,
+                          CASE WHEN even THEN sha256({_leaf_sql('shorter')}) ELSE sha256({_leaf_sql('text')}) END AS found,
+                          dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+                          row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS place,
+                          count(*) OVER (PARTITION BY source) AS n FROM docs),
+        up AS (SELECT 0 AS level, tree, place, leaf AS node, n FROM leaves
+               UNION ALL
+               SELECT level + 1, tree, place // 3, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 2) // 3
+               FROM up WHERE n > 1 GROUP BY level, tree, place // 3),
+        subroots AS (SELECT tree, node AS subroot, tree - 1 AS spot, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (SELECT 0 AS level, spot AS place, subroot AS node, n FROM subroots
+                UNION ALL
+                SELECT level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 2) // 3
+                FROM top WHERE n > 1 GROUP BY level, place // 3),
+        nodes AS (SELECT level, tree, place, node, n FROM up UNION ALL SELECT level, -1, place, node, n FROM top),
+        runs AS (SELECT a.level, a.tree, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place)
+                            FILTER (b.place < a.place), '') AS before,
+                        coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+                 FROM nodes a JOIN nodes b ON a.level = b.level AND a.tree = b.tree AND a.place // 3 = b.place // 3
+                 WHERE a.n > 1 GROUP BY 1, 2, 3),
+        walk AS (SELECT 0 AS step, doc_id, tree AS home, place AS start, tree, place, 0 AS level, found AS reached, '' AS proof FROM leaves
+                 UNION ALL
+                 SELECT w.step + 1, w.doc_id, w.home, w.start, CASE WHEN r.tree IS NULL THEN -1 ELSE w.tree END,
+                        CASE WHEN r.tree IS NULL THEN w.home - 1 ELSE w.place // 3 END,
+                        CASE WHEN r.tree IS NULL THEN 0 ELSE w.level + 1 END,
+                        CASE WHEN r.tree IS NULL THEN w.reached ELSE sha256(r.before || w.reached || r.after) END,
+                        w.proof || coalesce(r.before || r.after, '')
+                 FROM walk w LEFT JOIN runs r ON r.level = w.level AND r.tree = w.tree AND r.place = w.place
+                 WHERE r.tree IS NOT NULL OR w.tree <> -1),
+        ends AS (SELECT home, start, arg_max(reached, step) AS folded_root, arg_max(proof, step) AS proof FROM walk GROUP BY 1, 2)
+        SELECT l.doc_id, l.leaf, s.subroot, r.node AS root, sha256(e.proof) AS proof_sha256, e.folded_root,
+               e.folded_root = r.node AS verified
+        FROM leaves l JOIN subroots s USING (tree) JOIN ends e ON e.home = l.tree AND e.start = l.place
+        JOIN top r ON r.n = 1""",
 }
