@@ -323,7 +323,7 @@ def q_latency_histogram(spark, sf_dir):
 # --------------------------------------------------------------------------
 # joins and trace structure
 # --------------------------------------------------------------------------
-from .operators import filters, traces, windows  # noqa: E402
+from .operators import counters, filters, traces, windows  # noqa: E402
 from .sources import catalog  # noqa: E402
 
 PC = "spans c JOIN spans p ON c.TraceId = p.TraceId AND c.ParentSpanId = p.SpanId"
@@ -506,18 +506,40 @@ _ACH = f"""SELECT {_bucket_sql(2)} AS window_start, sum(spans)::BIGINT AS spans,
   FROM attempts WHERE ok GROUP BY 1"""
 
 
-@register("achieved_rate", O.with_ctes(_ACH, O.attempts_cte()))
+def _rates_sql(seconds: int, columns: str) -> str:
+    """Windows from the first attempt to the last in which something moved, and the runs of idle ones between them."""
+    w = seconds * 1_000_000
+    return f"""SELECT make_timestamp(t0 + (k - 1) * {w}) AS window_start, windows, {columns}
+FROM (SELECT *, least((k + windows - 1) * {w}, t1 - t0) - (k - 1) * {w} AS elapsed FROM (
+  SELECT k, 1 AS windows, spans, sent, errors FROM active
+  UNION ALL
+  SELECT k + 1, after - k - 1, 0, sent, errors FROM (
+    SELECT k, sent, errors, lead(k, 1, (SELECT greatest(1, (t1 - t0 + {w} - 1) // {w}) + 1 FROM ends)) OVER (ORDER BY k) AS after
+    FROM (SELECT k, sent, errors FROM active UNION ALL SELECT 0, 0, 0)) WHERE after > k + 1), ends)"""
+
+
+def _active(seconds: int, moved: str) -> tuple[str, str]:
+    """Windows in which something moved, with the counters at their ends."""
+    w = seconds * 1_000_000
+    return ("active", f"""SELECT k, spans, sum(spans) OVER (ORDER BY k)::BIGINT AS sent, sum(failed) OVER (ORDER BY k)::BIGINT AS errors
+FROM (SELECT greatest(1, (epoch_us(ts) - t0 + {w} - 1) // {w}) AS k, sum(CASE WHEN ok THEN spans ELSE 0 END)::BIGINT AS spans,
+             sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS failed FROM attempts, ends GROUP BY 1) WHERE {moved}""")
+
+
+_ENDS = [("ends", "SELECT epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1 FROM attempts")]
+_PER_SECOND = "round(spans * 1000000::DOUBLE / nullif(elapsed, 0), 6) AS rate"
+
+
+@register("achieved_rate", O.with_ctes(_rates_sql(2, f"spans, {_PER_SECOND}"), O.attempts_cte(),
+                                       extra=[*_ENDS, _active(2, "spans > 0")]))
 def q_achieved_rate(spark, sf_dir):
-    return windows.achieved_rate(attempts_of(spark, sf_dir))
+    return counters.achieved_rate(attempts_of(spark, sf_dir))
 
 
-@register("status_rate", O.with_ctes(f"""
-SELECT {_bucket_sql(5)} AS window_start, sum(CASE WHEN ok THEN spans ELSE 0 END)::BIGINT AS spans,
-       sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS errors,
-       round(sum(CASE WHEN ok THEN spans ELSE 0 END) / 5.0::DOUBLE, 6) AS rate
-FROM attempts GROUP BY 1""", O.attempts_cte()))
+@register("status_rate", O.with_ctes(_rates_sql(5, f"sent, spans, errors, {_PER_SECOND}"), O.attempts_cte(),
+                                     extra=[*_ENDS, _active(5, "spans > 0 OR failed > 0")]))
 def q_status_rate(spark, sf_dir):
-    return windows.status_rate(attempts_of(spark, sf_dir))
+    return counters.status_rate(attempts_of(spark, sf_dir))
 
 
 @register("target_vs_achieved", O.with_ctes("""
@@ -1120,7 +1142,7 @@ def q_filter_files(spark, sf_dir):
 # --------------------------------------------------------------------------
 # streaming (availableNow runs over time-ordered span files)
 # --------------------------------------------------------------------------
-from .streaming import streams  # noqa: E402
+from .streaming import batching, commitlog, metrics, streams  # noqa: E402
 
 CLOSING_TRACE = "f" * 32
 
@@ -1192,17 +1214,29 @@ def q_stream_trace_assembly(spark, sf_dir):
 
 @register("stream_to_table", S(_LEAN + "TRUE"))
 def q_stream_to_table(spark, sf_dir):
+    """A stream's spans in a committed table: one attempt of a batch is given up in the middle, and the query goes
+    on from its checkpoint."""
     src = _not_closing(stream_input(spark, sf_dir))
-    path, _ = streams.run_available_now(src, "to-table")  # all span columns
-    return filters.lean(streams.read_result(spark, path).select(*src.columns))
+    path = commitlog.run_with_failure(src, "to-table", fail_at=1)
+    return filters.lean(commitlog.read_committed(spark, path).select(*src.columns))
 
 
-@register("stream_metrics", S("SELECT count(*) AS rows, true AS several_batches FROM spans"))
+@register("stream_metrics", O.with_ctes("""
+SELECT count(*) AS attempts, sum(CASE WHEN ok THEN spans ELSE 0 END)::BIGINT AS sent,
+       sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS errors, true AS several_batches, true AS rates_known FROM attempts""",
+                                        O.attempts_cte()))
 def q_stream_metrics(spark, sf_dir):
-    """Rows over all micro-batches of a run, from what each batch wrote."""
-    path, _ = streams.run_available_now(_not_closing(stream_input(spark, sf_dir)), "metrics")
-    return streams.batch_rows(spark, path).agg(F.sum("rows").alias("rows"),
-                                               (F.count(F.lit(1)) > 1).alias("several_batches"))
+    """Totals of a run from the table that its listener appended every batch's metrics to."""
+    observed = attempts_stream(spark, sf_dir).observe(
+        "sends", F.count(F.lit(1)).alias("attempts"), F.sum(counters.sent()).cast("bigint").alias("sent"),
+        F.sum(counters.errors()).cast("bigint").alias("errors"))
+    with metrics.recorded(spark, "sends") as table:
+        streams.run_available_now(observed, "metrics")
+    rows = metrics.read_metrics(spark, table, {"attempts": "bigint", "sent": "bigint", "errors": "bigint"})
+    busy = F.col("attempts") > 0
+    return rows.agg(F.sum("attempts").alias("attempts"), F.sum("sent").alias("sent"), F.sum("errors").alias("errors"),
+                    (F.count(F.when(busy, 1)) > 1).alias("several_batches"),
+                    F.bool_and(~busy | (F.col("sent_per_sec") > 0) | (F.col("sent") == 0)).alias("rates_known"))
 
 
 # --------------------------------------------------------------------------
@@ -1507,14 +1541,14 @@ def q_stream_achieved_rate(spark, sf_dir):
     return streams.read_result(spark, path, complete=True)
 
 
-@register("stream_batching", S("SELECT count(*) AS rows, true AS bounded FROM spans"))
+@register("stream_batching", S("SELECT count(*) AS rows, true AS by_size, true AS by_timer, true AS within_cap FROM spans"))
 def q_stream_batching(spark, sf_dir):
-    """Micro-batches under maxFilesPerTrigger back-pressure (2 files per trigger) hold all rows,
-    and none holds over half of them."""
-    src = _not_closing(stream_input(spark, sf_dir))
-    path, _ = streams.run_available_now(filters.lean(src), "batching")
-    return streams.batch_rows(spark, path).agg(F.sum("rows").alias("rows"),
-                                               (F.max("rows") <= F.sum("rows") / 2).alias("bounded"))
+    """Spans of a stream in batches of 100 rows (at most 150), flushed after 5 seconds at the latest."""
+    src = _not_closing(stream_input(spark, sf_dir)).select("TraceId", "SpanId")
+    path = batching.run_until_flushed(batching.batched(src, rows=100, cap=150, seconds=5), "batching")
+    done = batching.flushed(spark, path)
+    return done.agg(F.sum("rows").alias("rows"), F.bool_or(F.col("reason") == "size").alias("by_size"),
+                    F.bool_or(F.col("reason") == "timer").alias("by_timer"), (F.max("rows") <= 150).alias("within_cap"))
 
 
 @register("late_rows", S("""
