@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import counters
 from tracelake.session import scratch_path
-from tracelake.streaming import batching, commitlog, metrics, streams
+from tracelake.streaming import batching, bounded, commitlog, metrics, streams
 
 EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -130,3 +130,20 @@ def test_metrics_of_all_batches_are_kept(spark, spans_small):
     listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(observedMetrics={})))
     rows = metrics.read_metrics(spark, listener.path, {"n": "bigint"})
     assert not listener.failed and rows.agg(F.count("*"), F.sum("n"), F.max("n_per_sec")).first()[:] == (130, 260, 200.0)
+
+
+def test_a_bounded_run_stops_exactly_and_goes_on(spark, spans_small):
+    path = scratch_path(spark, "t-bounded-in")
+    given = spans_small.select("TraceId", "SpanId", "Timestamp").limit(500)
+    streams.write_arrival_files(given, path, 3, files=1)
+    src = streams.stream_spans(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    table = scratch_path(spark, "t-bounded")
+    assert bounded.run(src, table, ["TraceId", "SpanId"], max_rows=210) == 210
+    first = bounded.read_table(spark, table)
+    assert first.count() == 210
+    assert bounded.run(src, table, ["TraceId", "SpanId"], max_rows=7) == 7
+    assert bounded.run(src, table, ["TraceId", "SpanId"], max_seconds=0) == 0
+    assert bounded.run(src, table, ["TraceId", "SpanId"]) == 283
+    assert bounded.run(src, table, ["TraceId", "SpanId"]) == 0
+    rows = bounded.read_table(spark, table)
+    assert rows.count() == rows.distinct().count() == 500 and rows.exceptAll(given).count() == 0

@@ -487,6 +487,13 @@ _BATCH = """SELECT TraceId, slice, spans, (sum(spans) OVER (PARTITION BY slice O
         FROM spans GROUP BY TraceId)"""
 
 
+@register("limit_spans_half", S("""
+SELECT TraceId, SpanId, StartUnixNano FROM spans ORDER BY StartUnixNano, SpanId LIMIT (SELECT count(*) // 2 FROM spans)"""))
+def q_limit_spans_half(spark, sf_dir):
+    s = spans_of(spark, sf_dir)
+    return windows.limit_spans(s, s.count() // 2)
+
+
 @register("assign_batches", S(f"SELECT TraceId, slice, spans, batch_no::BIGINT AS batch_no FROM ({_BATCH})"))
 def q_assign_batches(spark, sf_dir):
     return windows.assign_batches(spans_of(spark, sf_dir))
@@ -1142,7 +1149,7 @@ def q_filter_files(spark, sf_dir):
 # --------------------------------------------------------------------------
 # streaming (availableNow runs over time-ordered span files)
 # --------------------------------------------------------------------------
-from .streaming import batching, commitlog, metrics, streams  # noqa: E402
+from .streaming import batching, bounded, commitlog, metrics, streams  # noqa: E402
 
 CLOSING_TRACE = "f" * 32
 
@@ -1221,6 +1228,17 @@ def q_stream_to_table(spark, sf_dir):
     return filters.lean(commitlog.read_committed(spark, path).select(*src.columns))
 
 
+@register("bounded_run", S("SELECT 1000 AS first_rows, count(*) - 1000 AS later_rows, count(*) AS spans FROM spans"))
+def q_bounded_run(spark, sf_dir):
+    """A stream that stops after exactly 1,000 spans, in the middle of a batch, and a second run that takes the rest."""
+    src = _not_closing(stream_input(spark, sf_dir)).select("TraceId", "SpanId")
+    path = scratch_path(spark, "stream-bounded")
+    order = ["TraceId", "SpanId"]
+    first, later = (bounded.run(src, path, order, max_rows=n) for n in (1000, None))
+    return bounded.read_table(spark, path).distinct().agg(
+        F.lit(first).alias("first_rows"), F.lit(later).cast("bigint").alias("later_rows"), F.count(F.lit(1)).alias("spans"))
+
+
 @register("stream_metrics", O.with_ctes("""
 SELECT count(*) AS attempts, sum(CASE WHEN ok THEN spans ELSE 0 END)::BIGINT AS sent,
        sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS errors, true AS several_batches, true AS rates_known FROM attempts""",
