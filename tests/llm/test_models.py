@@ -127,6 +127,16 @@ def test_url_trees_learn(spark):
     assert {r["verdict"] for r in none.collect()} == {"allow"}
 
 
+def test_one_blocked_url_among_many_is_learned(spark):
+    known = spark.range(30_000).select(
+        F.when(F.col("id") == 7, "http://9-9-9-9.zz/?a=1&b=2&c=3&d=4").otherwise(F.concat(F.lit("http://site.org/page"), "id")).alias("url"),
+        (F.col("id") == 7).cast("int").alias("label"))
+    pages = spark.createDataFrame([(1, "http://9-9-9-9.zz/?a=1&b=2&c=3&d=4"), (2, "http://site.org/page5"), (3, "http://site.org/pageX")],
+                                  "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules=(), labelled=known).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
 def toxic_rows():
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghilmnorst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
@@ -160,6 +170,53 @@ def test_toxicity_held_out_and_edges(spark):
     assert {r["score"] > 0.5 for r in toxicity.score(odd, bad).collect()} == {True}
 
 
+def test_toxicity_scales_are_log_count_ratios():
+    clean, toxic = np.array([0, 90, 5, 0]), np.array([0, 10, 5, 9])
+    got = toxicity.log_count_ratio(clean, toxic, 900, 100, smoothing=10.0)
+    want = [np.log(((t + 1) / 100) / ((c + 9) / 900)) for c, t in zip(clean, toxic)]
+    assert np.allclose(got, want) and abs(got[0]) < 1e-12 and abs(got[1]) < 1e-12 and got[3] > got[2] > 1
+
+
+def test_toxicity_fit_equals_plain_gradient_descent():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(60)]
+    y = np.array([float(r[0] < 2) for r in rows])
+    scales = np.zeros(1 << toxicity.BITS)
+    scales[:40] = rng.normal(size=40)
+    at = toxicity._fit(toxicity._Rows([toxicity.zlib.compress(toxicity._bits(r)) for r in rows], scales), y, 0.5, 500)
+    x = np.zeros((60, 40))
+    for i, r in enumerate(rows):
+        x[i, r] = scales[r] / np.sqrt((scales[r] ** 2).sum())
+    weight = np.where(y == 1, 30 / y.sum(), 30 / (1 - y).sum())
+    w, b = np.zeros(40), 0.0
+    for _ in range(60000):
+        gap = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.05 * (x.T @ gap + 0.5 * w), b - 0.05 * gap.sum()
+    assert np.abs(at[:40] - w).max() < 0.02 and abs(at[-1] - b) < 0.02 and not at[40:-1].any()
+
+
+def test_toxicity_threshold_equals_trying_all():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 80):
+        y = np.r_[0.0, 1.0, rng.integers(0, 2, n)]
+        margin = np.round(rng.normal(size=n + 2) + 0.7 * y, 1)
+        at = toxicity.threshold(y, margin, 0.1)
+        gain = lambda t: (margin[y == 1] > t).mean() - (margin[y == 0] > t).mean()
+        tried = [t for t in np.arange(-9, 9, 0.05) + 0.01 if (margin[y == 0] > t).mean() <= 0.1] + [0.0]
+        assert (at == 0 or (margin[y == 0] > at).mean() <= 0.1) and abs(gain(at) - max(map(gain, tried))) < 1e-9
+
+
+def test_toxicity_on_the_given_labels(spark):
+    from tracelake.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_toxicity"](spark, folder).collect()}
+    known = [(r["toxic"], got[r["doc_id"]]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    for label, least in ((0, 0.98), (1, 0.6)):
+        right = [r["predicted"] == label for t, r in known if t == label and r["held_out"]]
+        assert sum(right) >= least * len(right)
+
+
 def test_toxicity_learns_many_rare_terms(spark):
     rng = random.Random(13)
     word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
@@ -210,6 +267,26 @@ def test_language(spark):
     assert language.train(unlabelled).languages == []
 
 
+def test_texts_of_unlearned_scripts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs.where("doc_id % 3 <> 1").select("text", "lang", F.col("doc_id").alias("key")))
+    rng, rows = random.Random(5), []
+    for i, (lo, hi) in enumerate([(0x4E00, 0x9FA0), (0x430, 0x450), (0x3B1, 0x3CA)]):
+        for n in (300, 1000, 5000, 20000):
+            rows.append((10 * i + n, "".join(chr(rng.randrange(lo, hi)) if rng.random() < 0.85 else " " for _ in range(n))))
+    for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        assert r["rejected"] and r["score"] < 0.2
+    known = language.identify(docs.where("doc_id % 3 = 1"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in known if r["lang"]) >= 0.98 * sum(r["lang"] is not None for r in known)
+    assert sum(r["rejected"] for r in known) <= 0.02 * len(known)
+
+
+def test_every_language_of_many_gets_a_centroid(spark):
+    df = spark.range(6000).select(F.col("id").alias("key"), F.concat(F.lit("text number "), F.col("id") % 5000).alias("text"),
+                                  F.concat(F.lit("l"), F.col("id") % 5000).alias("lang"))
+    assert len(set(language.train(df).languages)) == 5000
+
+
 def vectors():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(900, 24)) * rng.uniform(0.5, 2.0, (900, 1))

@@ -8,6 +8,8 @@ labelled URLs; suffix statistics cover all of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -97,16 +99,20 @@ def classify(urls: DataFrame, labelled: DataFrame, max_training: int = MAX_TRAIN
     rows = urls.join(rates, "suffix", "left").withColumn("suffix_rate", rate)
     if positive in (0, n):
         return rows.withColumn("block_score", F.lit(1.0 if n and positive else 0.0))
-    part = F.pmod(F.xxhash64("url_key"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.95 * max_training / n))
-    chosen = known.where(part) if n > max_training else known
+    # Each class has its part of the sample, so that both are always there, and counts as it does among all URLs.
+    half = max_training // 2
+    taken = {1: min(positive, max(half, max_training - (n - positive)))}
+    taken[0] = min(n - positive, max_training - taken[1])
+    mark = F.xxhash64("url_key")
+    chosen = reduce(DataFrame.unionByName, (
+        known.where(F.col("label") == c).orderBy(mark, "url_key").limit(size)
+        .withColumn("weight", F.lit((positive if c else n - positive) / size)) for c, size in taken.items()))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     training = materialize(chosen.join(rates, "suffix", "left").withColumn("suffix_rate", rate)
-                           .select(*FEATURES, F.col("label").cast("double").alias("label"), "url_key")
+                           .select(*FEATURES, F.col("label").cast("double").alias("label"), "weight", "url_key")
                            .orderBy("url_key").limit(max_training).drop("url_key"), "url-training")
-    if training.select("label").distinct().count() < 2:
-        return rows.withColumn("block_score", F.lit(positive / n))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=42,
-                          checkpointInterval=-1).fit(vector.transform(training).coalesce(4))
+                          checkpointInterval=-1, weightCol="weight").fit(vector.transform(training).coalesce(4))
     scored = model.transform(vector.transform(rows))
     return (scored.withColumn("block_score", vector_to_array("probability")[1])
             .drop("features", "rawPrediction", "probability", "prediction"))
