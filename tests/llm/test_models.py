@@ -303,20 +303,22 @@ def test_search_recall_ties_and_edges(spark):
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows + bad + rows[:2]],
                                "vec_id long, embedding array<double>, rank int, score double")
     out = ann.search(df, F.col("vec_id") % 20 == 0, block=256, chunk=16).collect()
+    rows = rows + rows[:2]  # repeated rows are rows of their own
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows])
     by = {}
     for r in out:
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    queries = [i for i in ids if i % 20 == 0]
-    assert sorted(by) == sorted(queries)
+    queries = [i for i, q in enumerate(ids) if q % 20 == 0]
+    assert sorted(by) == sorted({ids[i] for i in queries})
     hits = 0
-    for q in queries:
-        score = (x * x[ids == q][0]).sum(axis=1)
-        others = ids != q
+    for i in queries:
+        score = (x * x[i]).sum(axis=1)
+        others = np.arange(len(ids)) != i
         best = sorted(zip(-score[others], ids[others]))[:20]
-        found = sorted(by[q])
-        assert [r for r, _, _ in found] == list(range(1, 21))
+        copies = int((ids == ids[i]).sum())
+        found = sorted(by[ids[i]])[::copies]
+        assert [r for r, _, _ in found] == list(range(1, 21)) and len(by[ids[i]]) == 20 * copies
         assert found == sorted(found, key=lambda f: (-f[2], f[1]))
         exact = dict(zip(ids, score))
         assert all(abs(s - exact[v]) < 1e-12 for _, v, s in found)
@@ -324,6 +326,13 @@ def test_search_recall_ties_and_edges(spark):
     assert hits >= 0.9 * 20 * len(queries)
 
 
+def test_search_meets_all_rows_of_an_id_and_all_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.99, 0.0]), (20, [1.0, 0.0, 0.0]), (21, [2.0, 1.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == [
+        (0, 1, 1, 0.99), (0, 2, 1, 0.9), (20, 1, 21, 2.0)]
+
+
 def test_search_small_and_empty_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-5.0, 0.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
     out = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few, F.col("vec_id") % 20 == 0).collect()]

@@ -13,6 +13,9 @@
 
 A vector that occurs very often is spread over the blocks like any other. Queries
 that find fewer than they should are searched again among all rows.
+
+Blocks meet all chunks, so that work grows with vectors times queries (see README: on vectors without near
+neighbours a bucket visits most rows anyway).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_row_ids
 
 HASHES, WIDTH, TABLES, PROBES = 8, 2.0, 10, 150
 #: Vectors of a block and queries of a chunk, about.
@@ -96,10 +99,10 @@ def candidates(queries: np.ndarray, vectors: np.ndarray, largest: float, hashes:
     return met
 
 
-def nearest_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, met: np.ndarray,
-               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best ``k`` among the vectors it met, but for itself: query_id, vec_id, score."""
-    met &= query_ids[:, None] != ids[None, :]
+def nearest_of(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray,
+               met: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query row's best ``k`` among the vectors it met, but for its own row: query_row, vec_id, score."""
+    met &= query_rows[:, None] != rows[None, :]
     # Where most pairs are candidates, one product of matrices is cheaper than gathering them.
     rough = queries @ vectors.T if met.mean() > 0.1 else None
     out_q, out_v, out_s = [], [], []
@@ -113,7 +116,7 @@ def nearest_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
             at = at[near >= last - 1e-9 * max(1.0, abs(last))]
         score = (vectors[at] * query).sum(axis=1)
         best = np.lexsort((ids[at], -score))[:k]
-        out_q.append(np.full(len(best), query_ids[i]))
+        out_q.append(np.full(len(best), query_rows[i]))
         out_v.append(ids[at][best])
         out_s.append(score[best])
     if not out_q:
@@ -129,7 +132,7 @@ def _matrix(part: pa.Table) -> np.ndarray:
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
@@ -143,16 +146,17 @@ def _meet(queries: DataFrame, vectors: DataFrame, k: int, block: int, chunk: int
             found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
             q, v = _matrix(left), _matrix(right)
-            found = nearest_of(q, left.column("vec_id").to_numpy(), v, right.column("vec_id").to_numpy(), pick(q, v), k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
+            number = lambda part, name: part.column(name).to_numpy()
+            found = nearest_of(q, number(left, "row_id"), v, number(right, "row_id"), number(right, "vec_id"), pick(q, v), k)
+        return pa.table(dict(zip(("query_row", "vec_id", "score"), found)))
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"),
+    left = queries.select("row_id", "vector", F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int").alias("chunk"),
                           numbers(blocks).alias("block"))
-    right = vectors.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(blocks)).cast("int").alias("block"),
+    right = vectors.select("row_id", "vec_id", "vector", F.pmod(F.xxhash64("row_id", F.lit(SEED)), F.lit(blocks)).cast("int").alias("block"),
                            numbers(chunks).alias("chunk"))
     pairs = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
-    return _best(pairs.applyInArrow(part, "query_id long, vec_id long, score double"), k)
+    return _best(pairs.applyInArrow(part, "query_row long, vec_id long, score double"), k)
 
 
 def usable(vector: Column) -> Column:
@@ -165,29 +169,30 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, id_col: str = "
            vector_col: str = "embedding", hashes: int = HASHES, width: float = WIDTH, tables: int = TABLES,
            probes: int = PROBES, block: int = BLOCK, chunk: int = CHUNK, seed: int = SEED) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: for each row that ``is_query``
-    (a condition on ``vec_id``) holds for, the ``k`` rows of other id with the largest inner
+    (a condition on ``vec_id``) holds for, the ``k`` other rows with the largest inner
     product found (all, if there are fewer), ties to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
-    without an id or of another length than most. Of rows that share an id one takes
-    part, that of the smallest hash. An empty table gives no rows; other columns are not read."""
+    Rows that share an id are rows of their own, as queries and as candidates. Vectors that are null, zero or hold null
+    or non-finite components take no part, nor do rows without an id. Vectors of another length have no product with
+    a query: each length is searched by itself. An empty table gives no rows; other columns are not read."""
     rows = (embeddings.select(F.col(id_col).cast("long").alias("vec_id"),
                               F.col(vector_col).cast("array<double>").alias("vector"))
             .where(F.col("vec_id").isNotNull() & usable(F.col("vector"))))
-    rows = rows.groupBy("vec_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
-    rows = materialize(rows.withColumn("length", F.size("vector")), "vectors")
-    lengths = rows.groupBy("length").count().orderBy(F.desc("count"), "length").first()
-    rows = rows.where(F.col("length") == (lengths["length"] if lengths else 0)).drop("length")
+    rows = with_row_ids(rows.withColumn("length", F.size("vector")))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    n, largest = rows.agg(F.count("*"), F.max(norm)).first()
-    queries = rows.where(is_query)
+    sizes = rows.groupBy("length").agg(F.count("*").alias("n"), F.max(norm).alias("largest")).orderBy("length").collect()
     order = probe_order(hashes, probes)
-    found = materialize(_meet(queries, rows, k, block, chunk, lambda q, v: candidates(
-        q, v, largest, hashes, width, tables, order, seed)), "neighbours")
-    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
-    short = materialize(queries.join(full, "vec_id", "left_anti"), "short-queries")
-    if not short.isEmpty():
-        again = _meet(short, rows, k, block, chunk, lambda q, v: np.ones((len(q), len(v)), bool))
-        done = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
-        found = done.unionByName(again)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    for same in sizes:  # in any sound table one length
+        mine = rows.where(F.col("length") == same["length"]).drop("length")
+        queries = mine.where(is_query)
+        found = materialize(_meet(queries, mine, k, block, chunk, lambda q, v, m=same["largest"]: candidates(
+            q, v, m, hashes, width, tables, order, seed)), "neighbours")
+        full = found.groupBy("query_row").count().where(F.col("count") >= min(k, same["n"] - 1)).select(F.col("query_row").alias("row_id"))
+        short = materialize(queries.join(full, "row_id", "left_anti"), "short-queries")
+        if not short.isEmpty():
+            again = _meet(short, mine, k, block, chunk, lambda q, v: np.ones((len(q), len(v)), bool))
+            found = found.join(short.select(F.col("row_id").alias("query_row")), "query_row", "left_anti").unionByName(again)
+        named = found.join(queries.select(F.col("row_id").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
+        out = out.union(named.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return out
