@@ -120,23 +120,35 @@ def attrs_to_json(spans: DataFrame) -> DataFrame:
                         canonical_json("ResourceAttributes").alias("resource_attrs_json"))
 
 
-def server_counterpart(spans: DataFrame) -> DataFrame:
-    """Derive the callee SERVER row of every CLIENT call that has a callee
-    and compare it with the row actually present: name, start (+10 %),
-    duration (85 %) and parent link."""
+def _expected_server(pairs: DataFrame) -> dict[str, F.Column]:
+    """What a call's callee is by rule: the call's route or method as name, 10 % later, 85 % as long."""
     from ..functions.scalars import idiv
-    from .traces import client_server_pairs
 
-    pairs = client_server_pairs(spans, extra=("SpanAttributes",))
     attrs = F.col("p_SpanAttributes")
     rpc = attrs.getItem("rpc.service")
-    exp_name = F.when(rpc.isNotNull(), F.concat(rpc, F.lit("/"), attrs.getItem("rpc.method"))) \
-        .otherwise(F.concat_ws(" ", attrs.getItem("http.request.method"), attrs.getItem("url.path")))
-    exp_start = F.col("p_StartUnixNano") + idiv("p_Duration", 10)
-    exp_dur = idiv(F.col("p_Duration") * 85, 100)
-    return pairs.agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.sum(F.when(F.col("c_SpanName") == exp_name, 1).otherwise(0)).cast("bigint").alias("name_match"),
-        F.sum(F.when(F.col("c_StartUnixNano") == exp_start, 1).otherwise(0)).cast("bigint").alias("start_match"),
-        F.sum(F.when(F.col("c_Duration") == exp_dur, 1).otherwise(0)).cast("bigint").alias("duration_match"),
-    )
+    return {"SpanName": F.when(rpc.isNotNull(), F.concat(rpc, F.lit("/"), attrs.getItem("rpc.method")))
+            .otherwise(F.concat_ws(" ", attrs.getItem("http.request.method"), attrs.getItem("url.path"))),
+            "StartUnixNano": F.col("p_StartUnixNano") + idiv("p_Duration", 10), "Duration": idiv(F.col("p_Duration") * 85, 100)}
+
+
+def counterpart_rows(spans: DataFrame) -> DataFrame:
+    """The SERVER row derived from each CLIENT call that has a callee, and the id of the span that is there."""
+    from .traces import client_server_pairs
+
+    pairs = client_server_pairs(spans, extra=("SpanAttributes",))
+    row = _expected_server(pairs)
+    return pairs.select("TraceId", F.col("p_SpanId").alias("ParentSpanId"), F.lit("Server").alias("SpanKind"),
+                        row["SpanName"].alias("SpanName"), F.col("c_ServiceName").alias("ServiceName"),
+                        row["StartUnixNano"].alias("StartUnixNano"), row["Duration"].alias("Duration"),
+                        F.col("c_SpanId").alias("found_span"))
+
+
+def server_counterpart(spans: DataFrame) -> DataFrame:
+    """Compare the derived callee rows with the rows actually present: name, start and duration."""
+    from .traces import client_server_pairs
+
+    pairs = client_server_pairs(spans, extra=("SpanAttributes",))
+    row = _expected_server(pairs)
+    same = lambda c: F.sum(F.when(F.col(f"c_{c}") == row[c], 1).otherwise(0)).cast("bigint")
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), same("SpanName").alias("name_match"),
+                     same("StartUnixNano").alias("start_match"), same("Duration").alias("duration_match"))

@@ -219,7 +219,8 @@ def with_ctes(select: str, *groups: list[tuple[str, str]], extra: list[tuple[str
     for g in groups:
         ctes.extend(g)
     ctes.extend(extra or [])
-    body = ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes)
+    # The span table is computed once, however often a query joins it with itself.
+    body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'spans' else ''}(\n{q}\n)" for n, q in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"
 
 

@@ -150,6 +150,16 @@ def q_trace_colocation(spark, sf_dir):
     return profile.trace_colocation(spans_of(spark, sf_dir))
 
 
+@register("trace_colocation_by_span", S("""
+SELECT count(*) AS traces, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END)::BIGINT AS traces_on_one_shard,
+       sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS traces_split
+FROM (SELECT TraceId, count(DISTINCT ('0x' || substr(SpanId, 1, 8))::BIGINT % 3) AS n FROM spans GROUP BY TraceId)"""))
+def q_trace_colocation_by_span(spark, sf_dir):
+    """The same test on spans that were dealt to shards one by one, which splits traces."""
+    shard = F.pmod(F.conv(F.substring("SpanId", 1, 8), 16, 10).cast("bigint"), F.lit(3))
+    return profile.trace_colocation(spans_of(spark, sf_dir).withColumn("shard", shard))
+
+
 @register("service_uniformity", S("""
 SELECT count(*) AS services, sum(n)::BIGINT AS total,
        round(sum(n * n) / (sum(n) / count(*)) - sum(n), 4) AS chi_square,
@@ -760,13 +770,19 @@ def q_attrs_to_json(spark, sf_dir):
 
 
 @register("attrs_to_strings", S(f"""
-SELECT TraceId, SpanId, {O.canon_json('SpanAttributes')} AS span_attrs_json FROM spans"""))
+SELECT TraceId, SpanId, {O.canon_json('SpanAttributes')} AS span_attrs_json,
+       '{{"duration_ns":"' || Duration || '","start_ns":"' || StartUnixNano || '"}}' AS ints_json,
+       '{{"error":"' || (StatusCode = 'Error') || '","root":"' || (ParentSpanId = '') || '"}}' AS bools_json FROM spans"""))
 def q_attrs_to_strings(spark, sf_dir):
-    """VARIANT attributes of the JSON layout back to MAP<STRING,STRING>."""
-    from .functions.scalars import canonical_json
+    """VARIANT attributes of the JSON layout, and maps of integers and booleans, to MAP<STRING,STRING>."""
+    from .functions.scalars import attrs_to_strings, canonical_json
 
-    j = encode.encode_json_layout(spans_of(spark, sf_dir))
-    return j.select("TraceId", "SpanId", canonical_json(encode.variant_to_map(F.col("SpanAttributes"))).alias("span_attrs_json"))
+    s = spans_of(spark, sf_dir)
+    j = encode.encode_json_layout(s)
+    ints = F.create_map(F.lit("duration_ns"), F.col("Duration"), F.lit("start_ns"), F.col("StartUnixNano"))
+    bools = F.create_map(F.lit("error"), F.col("StatusCode") == "Error", F.lit("root"), F.col("ParentSpanId") == "")
+    return j.select("TraceId", "SpanId", canonical_json(encode.variant_to_map(F.col("SpanAttributes"))).alias("span_attrs_json"),
+                    canonical_json(attrs_to_strings(ints)).alias("ints_json"), canonical_json(attrs_to_strings(bools)).alias("bools_json"))
 
 
 @register("attrs_by_op_type", S(f"""
@@ -789,11 +805,22 @@ def q_events_to_arrays(spark, sf_dir):
 
 
 @register("links_to_arrays", S("""
-SELECT TraceId, SpanId, 0 AS n_trace_ids, 0 AS n_span_ids, 0 AS n_states, 0 AS n_attributes FROM spans"""))
+SELECT TraceId, SpanId, CASE WHEN ParentSpanId = '' THEN '' ELSE TraceId END AS trace_ids, ParentSpanId AS span_ids,
+       CASE WHEN ParentSpanId = '' THEN '' ELSE '{"link.kind":"parent","link.status":"' || StatusCode || '"}' END AS attributes,
+       CASE WHEN ParentSpanId = '' THEN 0 ELSE 1 END AS n_states FROM spans"""))
 def q_links_to_arrays(spark, sf_dir):
-    m = encode.encode_json_layout(spans_of(spark, sf_dir))
-    return m.select("TraceId", "SpanId", *[F.size(encode.q(f"Links.{c}")).alias(a) for c, a in (
-        ("TraceId", "n_trace_ids"), ("SpanId", "n_span_ids"), ("TraceState", "n_states"), ("Attributes", "n_attributes"))])
+    """Every child linked to its parent, as the parallel arrays of the JSON layout and back."""
+    from .functions.scalars import canonical_json
+
+    s = spans_of(spark, sf_dir)
+    link = F.struct("TraceId", F.col("ParentSpanId").alias("SpanId"), "TraceState", F.create_map(
+        F.lit("link.kind"), F.lit("parent"), F.lit("link.status"), F.col("StatusCode")).alias("Attributes"))
+    linked = s.withColumn("Links", F.when(F.col("ParentSpanId") != "", F.array(link)).otherwise(F.array()))
+    j = encode.encode_json_layout(linked)
+    back = F.transform(encode.q("Links.Attributes"), lambda v: canonical_json(encode.variant_to_map(v)))
+    return j.select("TraceId", "SpanId", F.array_join(encode.q("Links.TraceId"), ",").alias("trace_ids"),
+                    F.array_join(encode.q("Links.SpanId"), ",").alias("span_ids"), F.array_join(back, ",").alias("attributes"),
+                    F.size(encode.q("Links.TraceState")).alias("n_states"))
 
 
 @register("span_events_build", S("""
@@ -818,6 +845,19 @@ def q_server_counterpart(spark, sf_dir):
     return encode.server_counterpart(spans_of(spark, sf_dir))
 
 
+@register("server_counterpart_rows", S(f"""
+SELECT p.TraceId, p.SpanId AS ParentSpanId, 'Server' AS SpanKind,
+       CASE WHEN p.SpanAttributes['rpc.service'] IS NOT NULL
+            THEN p.SpanAttributes['rpc.service'] || '/' || p.SpanAttributes['rpc.method']
+            ELSE concat_ws(' ', p.SpanAttributes['http.request.method'], p.SpanAttributes['url.path']) END AS SpanName,
+       c.ServiceName, p.StartUnixNano + p.Duration // 10 AS StartUnixNano, p.Duration * 85 // 100 AS Duration,
+       c.SpanId AS found_span
+FROM {CS}"""))
+def q_server_counterpart_rows(spark, sf_dir):
+    """The SERVER row that each call with a callee gives, beside the span that is there."""
+    return encode.counterpart_rows(spans_of(spark, sf_dir))
+
+
 @register("layout_parity", S("SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only, count(*) AS rows, count(*) AS right_rows FROM spans"))
 def q_layout_parity(spark, sf_dir):
     s = spans_of(spark, sf_dir)
@@ -1121,7 +1161,17 @@ def q_files_per_partition(spark, sf_dir):
                         ((F.col("parts") > 0) & (F.col("bytes") > 0)).alias("has_parts"))
 
 
-@register("compact_partitions", S("SELECT Timestamp::DATE AS dt, count(*) AS rows, 1::BIGINT AS parts FROM spans GROUP BY 1"))
+@register("files_per_partition_sizes")
+def q_files_per_partition_sizes(spark, sf_dir):
+    """Parts, rows and bytes of each (host, partition); how many files there are is the writer's choice, so no SQL."""
+    path = _written(spark, sf_dir, "spans-sharded-month", lambda s, p: layout.write_sharded_hash(
+        s, 3, p, method="md5prefix", granularity="month"))
+    parts = layout.files_per_partition(spark, path, ("month",))
+    return parts.select(F.concat(F.lit("shard-"), F.col("shard").cast("string")).alias("host"), "month", "parts", "rows", "bytes", "size")
+
+
+@register("compact_partitions", S("""
+SELECT Timestamp::DATE AS dt, count(*) AS rows, ((count(*) + 999999) // 1000000)::BIGINT AS parts FROM spans GROUP BY 1"""))
 def q_compact_partitions(spark, sf_dir):
     """Files of each day after compaction: one for each million rows that it has, or part of it."""
     map_table(spark, sf_dir)
@@ -1527,14 +1577,21 @@ def q_join_span_operation(spark, sf_dir):
     return spans_of(spark, sf_dir).join(dim, "ServiceName").select("TraceId", "SpanId", "service_idx", "version", "host")
 
 
-@register("write_otlp_nested", S("SELECT ServiceName, count(*) AS spans FROM spans GROUP BY 1"))
+@register("write_otlp_nested", S(f"""
+SELECT TraceId, SpanId, ParentSpanId, SpanName, SpanKind, ServiceName, StartUnixNano, Duration, StatusCode,
+       {O.canon_json('SpanAttributes')} AS span_json, {O.canon_json('ResourceAttributes')} AS resource_json, n_events
+FROM spans"""))
 def q_write_otlp_nested(spark, sf_dir):
-    """Nested payloads written as JSON lines, read back and flattened."""
+    """Nested payloads written as JSON lines, read back and flattened: every span again."""
+    from .functions.scalars import canonical_json
+
     payload = nested.group_by_resource(spans_of(spark, sf_dir))
     path = scratch_path(spark, "otlp-json")
     payload.write.mode("overwrite").option("compression", "gzip").json(path)
-    back = spark.read.schema(payload.schema).json(path)
-    return nested.flatten_otlp(back).groupBy("ServiceName").agg(F.count(F.lit(1)).alias("spans"))
+    back = nested.flatten_otlp(spark.read.schema(payload.schema).json(path))
+    return back.select("TraceId", "SpanId", "ParentSpanId", "SpanName", "SpanKind", "ServiceName", "StartUnixNano", "Duration",
+                       "StatusCode", canonical_json("SpanAttributes").alias("span_json"),
+                       canonical_json("ResourceAttributes").alias("resource_json"), F.size("Events").alias("n_events"))
 
 
 def attempts_stream(spark, sf_dir):
@@ -1555,8 +1612,8 @@ def q_stream_achieved_rate(spark, sf_dir):
          .agg(F.sum("spans").cast("bigint").alias("spans"))
          .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "spans",
                  F.round(F.col("spans") / F.lit(2.0), 6).alias("rate")))
-    path, _ = streams.run_available_now(q, "achieved-rate", "complete")
-    return streams.read_result(spark, path, complete=True)
+    path, _ = streams.run_available_now(q, "achieved-rate", "update")
+    return streams.read_latest(spark, path, ["window_start"])
 
 
 @register("stream_batching", S("SELECT count(*) AS rows, true AS by_size, true AS by_timer, true AS within_cap FROM spans"))
