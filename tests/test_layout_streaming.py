@@ -21,6 +21,34 @@ def test_map_json_roundtrip(spark, spans_small):
     assert len(encode.JSON_LAYOUT) == 23 and len(encode.MAP_LAYOUT) == 22
 
 
+def test_a_path_of_the_json_layout_reads_its_subcolumn(spark, spans_small):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    from tracelake.operators import filters
+
+    p = scratch_path(spark, "t-shredded")
+    layout.write_spans_json(spans_small, p, n_tasks=2, granularity=None)
+    table = layout.read_spans(spark, p)
+    found = filters.filter_attr_equals(table, "http.request.method", "POST").select("TraceId", "SpanId")
+    want = filters.filter_attr_equals(spans_small, "http.request.method", "POST").select("TraceId", "SpanId")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SpanAttributes:struct<0:string>" in plan and "EqualTo(SpanAttributes.`0`,POST)" in plan
+    one = whole = 0
+    for name in pathlib.Path(p.removeprefix("file:")).rglob("*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                if col.path_in_schema.startswith("SpanAttributes."):
+                    whole += col.total_compressed_size
+                    one += col.total_compressed_size * ("http.request.method" in col.path_in_schema)
+    print(f"bytes of the subcolumn {one}, of all attributes {whole}")
+    assert 0 < one < 0.1 * whole
+
+
 def test_sharding(spark, spans_small):
     p = scratch_path(spark, "t-shard")
     layout.write_sharded_hash(spans_small, 3, p)

@@ -22,6 +22,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Parquet written by the layout jobs: zstd, as the reference table codec.
     "spark.sql.parquet.compression.codec": "zstd",
+    # VARIANT attributes: frequent keys become Parquet columns of their own, and a path that a query takes is
+    # pushed into the scan, which then reads that column alone.
+    "spark.sql.variant.writeShredding.enabled": "true",
+    "spark.sql.variant.inferShreddingSchema": "true",
+    "spark.sql.variant.pushVariantIntoScan": "true",
 }
 
 
