@@ -76,14 +76,6 @@ def hex_id(digest: Column | str, n_hex: int) -> Column:
     return F.when(h == F.lit("0" * n_hex), F.lit("")).otherwise(h)
 
 
-def span_id_of(key: Column | str) -> Column:
-    return hex_id(F.md5(col(key)), 16)
-
-
-def trace_id_of(key: Column | str) -> Column:
-    return hex_id(F.md5(col(key)), 32)
-
-
 def duration_ns(start_ns: Column | str, end_ns: Column | str) -> Column:
     return col(end_ns) - col(start_ns)
 

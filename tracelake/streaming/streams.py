@@ -24,16 +24,6 @@ def stream_spans(spark: SparkSession, path: str, schema, files_per_trigger: int
             .parquet(path))
 
 
-def stream_seeds_ramped(spark: SparkSession, rows_per_second: int, ramp_seconds: int = 30,
-                        partitions: int | None = None) -> DataFrame:
-    """Trace seeds arriving at a target rate with a linear ramp-up (the
-    built-in ``rate`` source); each row's ``value`` is a trace number."""
-    r = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).option("rampUpTime", f"{ramp_seconds}s")
-    if partitions:
-        r = r.option("numPartitions", partitions)
-    return r.load().select(F.col("value").alias("trace_no"), F.col("timestamp").alias("arrived"))
-
-
 def ingest_rate(spans: DataFrame, watermark: str = "10 minutes", every: str = "1 minute",
                 window: str | None = None) -> DataFrame:
     """Per-window span counts and spans/second (tumbling, or sliding when
