@@ -78,4 +78,8 @@ def test_stages(spark, tmp_path):
 def test_run_on_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from tracelake.llm import exact_dedup
+
+    other = exact_dedup.exact_duplicates(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    assert other.count() == 2  # a run deletes its own tables only

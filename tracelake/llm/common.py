@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +48,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SCRATCH: list[str] = []
+_RECORDED: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what :func:`materialize` has written so far. Only for a caller that needs none of
-    the results built on it any more."""
+@contextmanager
+def recorded_tables() -> Iterator[list[str]]:
+    """The paths of the tables that :func:`materialize` writes inside of the block."""
+    token = _RECORDED.set([])
+    try:
+        yield _RECORDED.get()
+    finally:
+        _RECORDED.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded tables, for a caller that needs none of the results built on them any more."""
     jvm = spark.sparkContext._jvm
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -61,7 +73,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives
     the loss of executors."""
     path = scratch_path(df.sparkSession, name)
-    _SCRATCH.append(path)
+    if (recorded := _RECORDED.get()) is not None:
+        recorded.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
