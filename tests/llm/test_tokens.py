@@ -78,7 +78,6 @@ def test_bpe_round_trip_in_spark(spark, tik):
 def test_token_files(spark, tmp_path):
     df, rows = table(spark)
     tokenizer = tokenizers.Tokenizer.from_file(HF)
-    tokenizer.encode_special_tokens = True
     path = token_files.write_tokens(df.repartition(7), str(tmp_path / "tokens"), HF, end_id=2)
     read = token_files.read_tokens(spark, path)
     got = sorted(read.collect(), key=lambda r: r["start"])
