@@ -374,7 +374,7 @@ def link_statistics(aligned: DataFrame, counts: DataFrame, b_size: int) -> DataF
     """The texts' rows of ``aligned`` without their pairs, with ``n_best`` (links whose pair is a best one) and ``count_sum``
     (of the links' counts)."""
     blocks = _block_pairs(aligned, b_size)
-    known = (blocks.select("block", "a", "b").join(materialize(counts, "pair-counts"), ["a", "b"])
+    known = (blocks.select("block", "a", "b").join(materialize(counts, "pair-counts").hint("merge"), ["a", "b"])
              .select(F.col("block").alias("of"), (F.col("a") * b_size + F.col("b")).alias("pair"), "count", "best"))
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     texts = aligned.where("texts IS NULL").select(*kept, "pairs", "held", "block")
