@@ -16,13 +16,14 @@ from .common import materialize
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # The least ones are written first: Spark splits a hot node only where both sides are plain exchanges.
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -39,4 +40,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(mark) == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(mark)
-        links = materialize(_small_star(_large_star(links)), "links")
+        links = materialize(_small_star(materialize(_large_star(links), "large-star")), "links")

@@ -117,7 +117,8 @@ def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                                               F.col("row_id").alias("c"), F.col("pos").alias("d")).alias("place")), "runs")
     first = (found.groupBy("n", "head", "tail").agg(F.min("place").alias("first"), F.count("*").alias("members"))
              .where("members > 1").drop("members"))
-    later = found.join(first, ["n", "head", "tail"]).where(F.col("place") > F.col("first"))
+    # Written first: Spark splits a hot key only where both sides of the join are plain exchanges.
+    later = found.join(materialize(first, "first-places"), ["n", "head", "tail"]).where(F.col("place") > F.col("first"))
     return later.groupBy("row_id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
 
 

@@ -252,7 +252,8 @@ def component_roots(prints: DataFrame, distance: int) -> DataFrame:
     ``component_id`` for each distinct fingerprint of ``prints`` (``doc_id``, ``fp``)."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = connected_components(fingerprint_links(nodes, distance))
-    placed = (nodes.join(roots, nodes.fp == roots.node, "left")
-              .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return placed.join(ids, "root").select("fp", "root", "component_id")
+    # Both sides of each join are written first: Spark splits a hot key only where they are plain exchanges.
+    placed = materialize(nodes.join(roots, nodes.fp == roots.node, "left")
+                         .select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "placed")
+    ids = materialize(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
+    return materialize(placed.join(ids, "root").select("fp", "root", "component_id"), "roots")
