@@ -125,12 +125,14 @@ def write_arrival_files(df: DataFrame, path: str, n_ranges: int = 16, order_col:
     """Test/replay input for a file stream: ``df`` split into ``n_ranges`` time ranges of
     ``files`` files, written one after another (so file order is arrival order), then an
     optional far-later ``closing`` batch that moves the watermark past every real event."""
+    from ..plans.packing import pack, unpack
     from ..plans.strategies import cut_lineage
 
-    ranged = cut_lineage(df.repartitionByRange(n_ranges, order_col).withColumn("_part", F.spark_partition_id()),
+    ranged = cut_lineage(pack(df).repartitionByRange(n_ranges, order_col).withColumn("_part", F.spark_partition_id()),
                          "arrivals")
     for i in range(n_ranges):
-        ranged.filter(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(path)
+        part = ranged.filter(F.col("_part") == i).drop("_part").repartition(files)
+        unpack(part, df).select(*df.columns).write.mode("append").parquet(path)
     if closing is not None:
         closing.write.mode("append").parquet(path)
     return path
