@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -12,7 +9,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_code
 
 #: A run of the six ASCII white-space characters, and a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,20 +25,7 @@ def ship_package(spark: SparkSession) -> SparkSession:
     """Make a session ready for the operators: batches bounded in bytes, and this package given
     to the executors' Python workers, once a context, as ``--py-files`` would."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if getattr(sc, "_tracelake_shipped", False):
-        return spark
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tracelake-"), "tracelake.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.join("tracelake", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._tracelake_shipped = True
-    return spark
+    return ship_code(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
