@@ -1,7 +1,31 @@
 """Arrival files hold the columns that their streams read."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tracelake import registry
+from tracelake.session import scratch_path
+from tracelake.streaming import streams
 
 
 def test_stream_inputs_hold_what_streams_read(spark):
     assert registry.stream_input(spark, "/root/testdata/sf0.001").columns == registry.STREAM_COLUMNS
+
+
+def test_arrival_files_take_one_shuffle(spark, monkeypatch):
+    """Each file is a copy of its time range; the rows are dealt once and arrive in order of time."""
+    dealt = []
+    whole = DataFrame.repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda df, *by: dealt.append(by) or whole(df, *by))
+    given = spark.range(1000).selectExpr("id AS n", "format_string('%032x', id) AS TraceId", "timestamp_seconds(id) AS Timestamp",
+                                         "map('k', string(id)) AS a")
+    path = streams.write_arrival_files(given, scratch_path(spark, "t-arrivals"), 4, closing=lambda row: row.selectExpr(
+        "n", "TraceId", "timestamp_seconds(99999) AS Timestamp", "a"))
+    found = spark.read.parquet(path).selectExpr("*", "_metadata.file_path AS f", "_metadata.file_modification_time AS t")
+    files = sorted(found.groupBy("f", "t").agg(F.min("Timestamp").alias("lo"), F.max("Timestamp").alias("hi"), F.count("*").alias("n"))
+                   .collect(), key=lambda r: r.lo)
+    assert len(files) == 9 and not dealt
+    assert all(a.hi < b.lo for a, b in zip(files, files[1:]))
+    assert all(a.t <= b.t for a, b in zip(files, files[2:]))  # the two files of a range are written at once
+    kept = found.filter("Timestamp < timestamp_seconds(99999)").selectExpr("n", "TraceId", "Timestamp", "a.k AS k")
+    assert sorted(kept.collect()) == sorted(given.selectExpr("n", "TraceId", "Timestamp", "a.k AS k").collect())

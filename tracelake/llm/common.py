@@ -9,7 +9,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_code
+from ..session import drop_path, scratch_path, ship_code
 
 #: A run of the six ASCII white-space characters, and a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,10 +47,8 @@ def recorded_tables() -> Iterator[list[str]]:
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete recorded tables, for a caller that needs none of the results built on them any more."""
-    jvm = spark.sparkContext._jvm
-    for name in paths:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        drop_path(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

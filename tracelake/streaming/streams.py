@@ -10,12 +10,13 @@ appending a second copy. Checkpoints live in the shared checkpoint folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
 
 
 def stream_spans(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
@@ -121,18 +122,27 @@ def batch_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arrival_files(df: DataFrame, path: str, n_ranges: int = 16, order_col: str = "Timestamp",
-                        closing: DataFrame | None = None, files: int = 2) -> str:
+                        closing: Callable[[DataFrame], DataFrame] | None = None, files: int = 2) -> str:
     """Test/replay input for a file stream: ``df`` split into ``n_ranges`` time ranges of
     ``files`` files, written one after another (so file order is arrival order), then an
-    optional far-later ``closing`` batch that moves the watermark past every real event."""
+    optional far-later batch that moves the watermark past every real event: ``closing`` of one of the rows.
+
+    One shuffle deals the rows, packed, to the time ranges of all files; each file is a copy of its range."""
     from ..plans.packing import pack, unpack
-    from ..plans.strategies import cut_lineage
 
-    ranged = cut_lineage(pack(df).repartitionByRange(n_ranges, order_col).withColumn("_part", F.spark_partition_id()),
-                         "arrivals")
-    for i in range(n_ranges):
-        part = ranged.filter(F.col("_part") == i).drop("_part").repartition(files)
-        unpack(part, df).select(*df.columns).write.mode("append").parquet(path)
+    spark, ranges = df.sparkSession, scratch_path(df.sparkSession, "arrivals")
+    (pack(df, ids=True).repartitionByRange(n_ranges * files, order_col).withColumn("_part", F.spark_partition_id())
+     .write.parquet(ranges))
+    rows = spark.read.parquet(ranges)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # a union of single partitions has one task for each
+    try:
+        for i in range(n_ranges):
+            # a range lies in a file of its own; the others' statistics leave them out
+            parts = [rows.filter(F.col("_part") == i * files + k).drop("_part").coalesce(1) for k in range(files)]
+            unpack(reduce(DataFrame.union, parts), df).select(*df.columns).write.mode("append").parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.unionOutputPartitioning")
+    drop_path(spark, ranges)
     if closing is not None:
-        closing.write.mode("append").parquet(path)
+        closing(spark.read.parquet(path).limit(1)).write.mode("append").parquet(path)
     return path
