@@ -1,5 +1,7 @@
 """Arrival files hold the columns that their streams read."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +31,31 @@ def test_arrival_files_take_one_shuffle(spark, monkeypatch):
     assert all(a.t <= b.t for a, b in zip(files, files[2:]))  # the two files of a range are written at once
     kept = found.filter("Timestamp < timestamp_seconds(99999)").selectExpr("n", "TraceId", "Timestamp", "a.k AS k")
     assert sorted(kept.collect()) == sorted(given.selectExpr("n", "TraceId", "Timestamp", "a.k AS k").collect())
+
+
+def _given(spark, rows):
+    return spark.createDataFrame(rows, "n int, Timestamp timestamp, TraceId string")
+
+
+def test_rows_lie_on_disk_once_while_arrival_files_are_written(spark, monkeypatch):
+    """The rows aren't dealt anew, and a file's folder is deleted as soon as the file is there."""
+    dealt, left = [], []
+    frame, drop = type(spark.range(1)), streams.drop_path
+    whole = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *by: dealt.append(by) or whole(df, *by))
+    monkeypatch.setattr(streams, "drop_path", lambda s, at: left.append((at, len(s.read.parquet(path).inputFiles()))) or drop(s, at))
+    path = scratch_path(spark, "t-arrivals-disk")
+    given = spark.range(1000).selectExpr("id AS n", "timestamp_seconds(id) AS Timestamp")
+    streams.write_arrival_files(given, path, 4)
+    assert not dealt
+    assert [n for _, n in left] == [2, 2, 4, 4, 6, 6, 8, 8, 8] and len({at for at, _ in left}) == 9
+    assert spark.read.parquet(path).count() == 1000
+
+
+def test_arrival_files_of_odd_rows(spark):
+    """Rows without a time, of one time only, repeated ones, and none at all."""
+    at = dt.datetime(2020, 1, 1)
+    for rows in ([(1, None, "a"), (2, at, "b"), (2, at, "b"), (3, dt.datetime(2021, 1, 1), None)], [(1, at, "a")] * 3, [(1, None, "a")], []):
+        path = streams.write_arrival_files(_given(spark, rows), scratch_path(spark, "t-arrivals-odd"), 2)
+        assert sorted(map(str, spark.read.parquet(path).select("n", "Timestamp", "TraceId").collect())) == sorted(
+            map(str, _given(spark, rows).collect()))

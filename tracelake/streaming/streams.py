@@ -127,19 +127,25 @@ def write_arrival_files(df: DataFrame, path: str, n_ranges: int = 16, order_col:
     ``files`` files, written one after another (so file order is arrival order), then an
     optional far-later batch that moves the watermark past every real event: ``closing`` of one of the rows.
 
-    One shuffle deals the rows, packed, to the time ranges of all files; each file is a copy of its range."""
+    The tasks that make the rows write them, packed, to a folder for each file, cut at quantiles of ``order_col``; no shuffle is
+    added. A file is a copy of its folder, which is deleted then: the rows lie on disk once, and one range of them twice."""
     from ..plans.packing import pack, unpack
 
     spark, ranges = df.sparkSession, scratch_path(df.sparkSession, "arrivals")
-    (pack(df, ids=True).repartitionByRange(n_ranges * files, order_col).withColumn("_part", F.spark_partition_id())
-     .write.parquet(ranges))
-    rows = spark.read.parquet(ranges)
+    n, at = n_ranges * files, F.col(order_col).cast("double")
+    cuts = df.select(F.percentile_approx(at, [i / n for i in range(1, n)])).first()[0] or []
+    part = sum((F.coalesce((at > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    packed = pack(df, ids=True).withColumn("_part", part)
+    packed.write.partitionBy("_part").parquet(ranges)
+    rows = spark.read.schema(packed.schema).parquet(ranges)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # a union of single partitions has one task for each
     try:
         for i in range(n_ranges):
-            # a range lies in a file of its own; the others' statistics leave them out
-            parts = [rows.filter(F.col("_part") == i * files + k).drop("_part").coalesce(1) for k in range(files)]
+            own = range(i * files, (i + 1) * files)
+            parts = [rows.filter(F.col("_part") == k).drop("_part").coalesce(1) for k in own]
             unpack(reduce(DataFrame.union, parts), df).select(*df.columns).write.mode("append").parquet(path)
+            for k in own:
+                drop_path(spark, f"{ranges}/_part={k}")
     finally:
         spark.conf.unset("spark.sql.unionOutputPartitioning")
     drop_path(spark, ranges)
