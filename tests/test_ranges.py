@@ -39,3 +39,10 @@ def test_equal_keys_and_no_rows(spark):
     assert sorted(r["id"] for r in out) == list(range(50)) and len({r["p"] for r in out}) == 1
     assert packing.deal_sorted(same.limit(0), 3, ["k"], ["k"]).collect() == []
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_thousands_of_ranges(spark):
+    """As many as an attribute index of over a billion rows has: 200 keys for each."""
+    rows, n = spark.range(700_000), 3_500
+    cuts = [c.id for c in packing._cuts(rows, n, rows.count())]
+    assert cuts == [i * 200 for i in range(1, n)]
