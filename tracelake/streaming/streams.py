@@ -10,13 +10,15 @@ appending a second copy. Checkpoints live in the shared checkpoint folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import drop_path, scratch_path
+from ..session import drop_path, move_files, scratch_path
 
 
 def stream_spans(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
@@ -128,24 +130,32 @@ def write_arrival_files(df: DataFrame, path: str, n_ranges: int = 16, order_col:
     optional far-later batch that moves the watermark past every real event: ``closing`` of one of the rows.
 
     The tasks that make the rows write them, packed, to a folder for each file, cut at quantiles of ``order_col``; no shuffle is
-    added. A file is a copy of its folder, which is deleted then: the rows lie on disk once, and one range of them twice."""
-    from ..plans.packing import pack, unpack
+    added. A file is a copy of its folder, which is deleted then: the rows lie on disk once, and some ranges of them twice. Copies
+    of ranges are made at the same time, and shown one range after another."""
+    from ..plans.packing import dropped_shuffles, pack, unpack
 
     spark, ranges = df.sparkSession, scratch_path(df.sparkSession, "arrivals")
     n, at = n_ranges * files, F.col(order_col).cast("double")
-    cuts = df.select(F.percentile_approx(at, [i / n for i in range(1, n)])).first()[0] or []
-    part = sum((F.coalesce((at > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
-    packed = pack(df, ids=True).withColumn("_part", part)
-    packed.write.partitionBy("_part").parquet(ranges)
+    with dropped_shuffles(spark):
+        cuts = df.select(F.percentile_approx(at, [i / n for i in range(1, n)])).first()[0] or []
+        part = sum((F.coalesce((at > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+        packed = pack(df, ids=True).withColumn("_part", part)
+        packed.write.partitionBy("_part").parquet(ranges)
     rows = spark.read.schema(packed.schema).parquet(ranges)
+
+    def copy(i: int) -> str:
+        parts = [rows.filter(F.col("_part") == k).drop("_part").coalesce(1) for k in range(i * files, (i + 1) * files)]
+        made = f"{ranges}/_copies/{i}"
+        unpack(reduce(DataFrame.union, parts), df).select(*df.columns).write.parquet(made)
+        return made
+
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # a union of single partitions has one task for each
     try:
-        for i in range(n_ranges):
-            own = range(i * files, (i + 1) * files)
-            parts = [rows.filter(F.col("_part") == k).drop("_part").coalesce(1) for k in own]
-            unpack(reduce(DataFrame.union, parts), df).select(*df.columns).write.mode("append").parquet(path)
-            for k in own:
-                drop_path(spark, f"{ranges}/_part={k}")
+        with ThreadPoolExecutor(max(1, min(n_ranges, spark.sparkContext.defaultParallelism // files))) as pool:
+            for i, made in enumerate(pool.map(inheritable_thread_target(spark)(copy), range(n_ranges))):
+                move_files(spark, made, path)
+                for k in range(i * files, (i + 1) * files):
+                    drop_path(spark, f"{ranges}/_part={k}")
     finally:
         spark.conf.unset("spark.sql.unionOutputPartitioning")
     drop_path(spark, ranges)
